@@ -213,25 +213,30 @@ def windowed(
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(df: DataFrame, s: Series, aggs: dict[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
+def running(
+    df: DataFrame, s: Series, aggs: dict[str, tuple[str, Column]], exclusive: bool = False, reverse: bool = False,
+) -> DataFrame:
     """Unbounded running aggregates: ``{out: (kind, expr)}``, kind in sum/max/min/last.
 
-    ``last`` is the last non-null value.  ``exclusive`` stops before the current row.
+    ``last`` is the last non-null value.  ``exclusive`` stops before the current row;
+    ``reverse`` runs from the end of the series towards its start.
     """
     keys = [*s.keys, "_cut"]
     cut = s.cut(df)
     for name, (_, expr) in aggs.items():
         cut = cut.withColumn(f"_v_{name}", expr)
     hi = -1 if exclusive else Window.currentRow
-    inside = Window.partitionBy(*keys).orderBy(*s.order).rowsBetween(Window.unboundedPreceding, hi)
-    earlier = Window.partitionBy(*s.keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    way = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
+    newest = F.min_by if reverse else F.max_by
+    inside = Window.partitionBy(*keys).orderBy(*map(way, s.order)).rowsBetween(Window.unboundedPreceding, hi)
+    earlier = Window.partitionBy(*s.keys).orderBy(way("_cut")).rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*[F.col(c) for c in s.order])
 
     totals, locals_ = [], []
     for name, (kind, _) in aggs.items():
         v = F.col(f"_v_{name}")
         if kind == "last":
-            totals.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_t_{name}"))
+            totals.append(newest(v, F.when(v.isNotNull(), at)).alias(f"_t_{name}"))
             locals_.append(F.last(v, ignorenulls=True).over(inside).alias(f"_l_{name}"))
         else:
             totals.append(_TOTAL[kind](v).alias(f"_t_{name}"))

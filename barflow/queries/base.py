@@ -9,6 +9,11 @@ from barflow.operators.bars import TIMEFRAME_SECONDS, bars_from_ticks
 from barflow.plans.ordered import Series
 from barflow.session import use_utc
 
+# Both sides add this before rounding for comparison, so that a value that is an exact decimal tie
+# (34.260625 at five digits) cannot fall to different sides because of the order of a sum.
+# ``ROUND`` in upper case in SQL is a rounding that belongs to the operator and is left alone.
+NUDGE = 3e-9
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -21,7 +26,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = sql.replace("round(", f"round({NUDGE!r} + ")
         return fn
 
     return keep
@@ -59,7 +64,7 @@ def micros(c: str | Column = "ts") -> Column:
 
 def r(c: str | Column, n: int = 6) -> Column:
     """Rounded for comparison, without negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, n) + 0.0
+    return F.round(F.lit(NUDGE) + (F.col(c) if isinstance(c, str) else c), n) + 0.0
 
 
 def show(df: DataFrame, *cols: str, digits: int = 6, keys: tuple = ("symbol", "ts")) -> DataFrame:
