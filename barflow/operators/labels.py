@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.operators.indicators import true_range
-from barflow.plans.ordered import Block, Series, running, windowed, with_position
+from barflow.plans.ordered import Block, Series, fill_gaps, windowed, with_position
+from barflow.session import reliable_checkpoint
 
 
 def _range_column(df: DataFrame, s: Series, atr_col: str) -> DataFrame:
@@ -18,12 +19,11 @@ def _range_column(df: DataFrame, s: Series, atr_col: str) -> DataFrame:
             return d.withColumn("_tr", true_range(b)).withColumn("_atr", b.roll(F.avg, "_tr", 14, 1)).drop("_tr")
 
         return windowed(df, s, add, back=15)
-    d = running(df, s, {"_next": ("last", F.col(atr_col))}, reverse=True)
-    d = running(d, s, {"_prev": ("last", F.col(atr_col))})
-    filled = F.coalesce(F.col("_next"), F.col("_prev"))
+    d = fill_gaps(df, s, atr_col, "_fill")
+    filled = F.col("_fill")
     # a series without a single value has no barriers at all: fail instead of labelling everything 0
     checked = F.when(filled.isNull(), F.raise_error(F.lit(f"column {atr_col} has no value in a series"))).otherwise(filled)
-    return d.withColumn("_atr", checked.cast("double")).drop("_next", "_prev")
+    return d.withColumn("_atr", checked.cast("double")).drop("_fill")
 
 
 def _first_hit(df: DataFrame, s: Series, up: Column, down: Column, horizon: int, label: str) -> DataFrame:
@@ -56,8 +56,9 @@ def triple_barrier(
 
     If one bar touches both barriers the closer one counts (upper on equal distance).
     """
-    d = _range_column(df, s, atr_col)
-    return _first_hit(d, s, pt * F.col("_atr"), sl * F.col("_atr"), max_bars, "label").drop("_atr", "_seen")
+    d = _range_column(df if "_pos" in df.columns else with_position(df, s), s, atr_col)
+    d = _first_hit(d, s, pt * F.col("_atr"), sl * F.col("_atr"), max_bars, "label").drop("_atr", "_seen")
+    return d if "_pos" in df.columns else d.drop("_pos")
 
 
 def event_time_labels(
@@ -65,7 +66,8 @@ def event_time_labels(
     vol_window: int = 100,
 ) -> DataFrame:
     """Barriers scaled by ATR relative to its own mean; rows without a full horizon ahead get label 0."""
-    d = _range_column(df, s, atr_col)
+    had = "_pos" in df.columns
+    d = _range_column(df if had else with_position(df, s), s, atr_col)
 
     def norm(x: DataFrame, b: Block) -> DataFrame:
         mean = b.roll(F.avg, "_atr", vol_window, 1)
@@ -76,7 +78,9 @@ def event_time_labels(
     d = windowed(d, s, norm, back=vol_window)
     unit = F.col("_atr") * F.col("vol_norm")
     d = _first_hit(d, s, k_tp * unit, k_sl * unit, horizon, "label")
-    return d.withColumn("label", F.when(F.col("_seen") < horizon, 0).otherwise(F.col("label"))).drop("_atr", "_seen")
+    return d.withColumn("label", F.when(F.col("_seen") < horizon, 0).otherwise(F.col("label"))).drop(
+        "_atr", "_seen", *([] if had else ["_pos"])
+    )
 
 
 def label_shares(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -111,10 +115,13 @@ def purge_overlap(df: DataFrame, train_end: Column, test_start: Column, keys: Se
 
 
 def _numbered(df: DataFrame, s: Series, n_splits: int) -> DataFrame:
-    """Positions plus rows per series and fold length."""
-    pos = with_position(df, s)
-    size = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
-    return pos.join(size, list(s.keys)).withColumn("_len", F.expr(f"_n div {n_splits}"))
+    """Positions plus rows per series and fold length.
+
+    The fold edges are looked up in the same table, so it is settled once instead of
+    recomputing the labels for every branch.
+    """
+    d = with_position(df.drop("_pos").select(*s.keys, *dict.fromkeys([*s.order, "ts", "t1"])), s, size="_n")
+    return reliable_checkpoint(d.withColumn("_len", F.expr(f"_n div {n_splits}")))
 
 
 def _fold_edges(numbered: DataFrame, s: Series, n_splits: int, at: str) -> DataFrame:

@@ -27,13 +27,14 @@ def asof_join(
     right_tie: Sequence[str] = (),
     tolerance: Column | None = None,
     direction: str = "backward",
+    prefer: str = "later",
     matched_ts: str | None = None,
     cuts: Cuts | None = None,
 ) -> DataFrame:
     """Left join of each left row to one right row by time.
 
     ``direction``: ``backward`` (last right row at or before), ``forward`` (first at
-    or after) or ``nearest`` (smaller distance; the later one on a tie).  A matching
+    or after) or ``nearest`` (smaller distance; ``prefer`` says which one on a tie).  A matching
     right row wins even when its values are null.  ``tolerance`` is an interval
     column on the distance.  ``right_tie`` orders right rows with equal times.
     """
@@ -82,7 +83,8 @@ def asof_join(
     else:
         gap_back = F.unix_micros("_ts") - F.unix_micros(back["_rts"])
         gap_ahead = F.unix_micros(ahead["_rts"]) - F.unix_micros("_ts")
-        match = F.when(back.isNull() | (gap_ahead <= gap_back), ahead).otherwise(back)
+        closer = gap_ahead <= gap_back if prefer == "later" else gap_ahead < gap_back
+        match = F.when(back.isNull() | closer, ahead).otherwise(back)
         match = F.coalesce(match, back)
     hit = hit.withColumn("_m", match)
     if tolerance is not None:
@@ -91,19 +93,3 @@ def asof_join(
     out = hit.select("_left.*", *[F.col(f"_m._val_{c}").alias(c) for c in values],
                      *([F.col("_m._rts").alias(matched_ts)] if matched_ts else []))
     return out
-
-
-def band_match(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, seconds: float,
-) -> DataFrame:
-    """All (left, right) rows of one key at most ``seconds`` apart, by bucketed equi-join.
-
-    Each right row goes to its own time bucket, each left row to its bucket and both
-    neighbours, so only rows of adjacent buckets ever meet.
-    """
-    width = int(seconds * 1_000_000)
-    lb = F.floor(F.unix_micros(F.col(left_ts)) / F.lit(width))
-    l = left.withColumn("_slot", F.explode(F.array(lb - 1, lb, lb + 1)))
-    r = right.withColumn("_slot", F.floor(F.unix_micros(F.col(right_ts)) / F.lit(width)))
-    near = F.abs(F.unix_micros(F.col(left_ts)) - F.unix_micros(F.col(right_ts))) <= width
-    return l.join(r, [*keys, "_slot"]).where(near).drop("_slot")

@@ -141,13 +141,21 @@ class Series:
         return self.cuts.apply(df, self.order)
 
 
-def with_position(df: DataFrame, s: Series, out: str = "_pos") -> DataFrame:
-    """0-based row number of every row inside its series, without a per-series sort."""
+def with_position(df: DataFrame, s: Series, out: str = "_pos", size: str | None = None) -> DataFrame:
+    """0-based row number of every row inside its series, without a per-series sort.
+
+    ``size`` also attaches the number of rows of the series.  The second read of ``df``
+    (for the cut sizes) only needs the key and order columns.
+    """
     keys = [*s.keys, "_cut"]
     cut = s.cut(df)
     sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*s.keys).orderBy("_cut")
-    starts = sizes.select(*keys, (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
+    whole = Window.partitionBy(*s.keys)
+    starts = sizes.select(
+        *keys, (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
+        *([F.sum("_n").over(whole).alias(size)] if size else []),
+    )
     inside = Window.partitionBy(*keys).orderBy(*s.order)
     return (
         cut.withColumn("_rn", F.row_number().over(inside))
@@ -202,12 +210,16 @@ class Block:
 
 def windowed(
     df: DataFrame, s: Series, fn: Callable[[DataFrame, Block], DataFrame], back: int, ahead: int = 0,
-    keep_position: bool = False,
 ) -> DataFrame:
-    """Run ``fn`` over haloed blocks and keep each row once."""
-    blocked = with_halo(df if "_pos" in df.columns else with_position(df, s), s, back, ahead)
+    """Run ``fn`` over haloed blocks and keep each row once.
+
+    A frame that already carries ``_pos`` is not numbered again and keeps it, so a chain
+    of operators numbers its rows once and then costs one shuffle per step.
+    """
+    had = "_pos" in df.columns
+    blocked = with_halo(df if had else with_position(df, s), s, back, ahead)
     out = fn(blocked, Block(s.keys)).where("_core").drop("_blk", "_core")
-    return out if keep_position else out.drop("_pos")
+    return out if had else out.drop("_pos")
 
 
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -267,6 +279,28 @@ def running(
     return out.drop("_cut", *drop)
 
 
+def fill_gaps(df: DataFrame, s: Series, col: str, out: str) -> DataFrame:
+    """Next known value, else the last known one (backward fill, then forward fill)."""
+    keys = [*s.keys, "_cut"]
+    cut = s.cut(df)
+    v, at = F.col(col), F.struct(*s.order)
+    known = F.when(v.isNotNull(), at)
+    w = Window.partitionBy(*keys).orderBy(*s.order)
+    by_cut = Window.partitionBy(*s.keys).orderBy("_cut")
+    carry = cut.groupBy(*keys).agg(F.min_by(v, known).alias("_f"), F.max_by(v, known).alias("_l")).select(
+        *keys,
+        F.first("_f", ignorenulls=True).over(by_cut.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_l", ignorenulls=True).over(by_cut.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+    )
+    d = cut.withColumns({
+        "_ahead": F.first(v, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "_back": F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    }).join(carry, keys)
+    return d.withColumn(out, F.coalesce("_ahead", "_after", "_back", "_before")).drop(
+        "_cut", "_ahead", "_back", "_after", "_before"
+    )
+
+
 def runs(df: DataFrame, s: Series, state: Column, out: str = "run_id") -> DataFrame:
     """Number maximal stretches of equal ``state`` (gaps and islands) per series."""
     flagged = windowed(

@@ -9,6 +9,7 @@ from barflow.operators import bars as B
 from barflow.operators import indicators as I
 from barflow.operators import labels as L
 from barflow.operators import signals as S
+from barflow.plans.ordered import with_position
 from barflow.queries.base import bar_series, bars, micros, query, r, show, sql_round
 from barflow.queries.indicator_queries import (
     BB_SQL, DON_SQL, ICHI_SQL, KELT_SQL, TR_SQL, VWAP_SQL, WITH_BARS, lag, recursive_ema, roll,
@@ -142,7 +143,8 @@ lab AS (SELECT b.*, CASE WHEN hit.hi IS NULL THEN 0 WHEN f.high >= b.close + 2.5
 
 
 def labelled(spark, sf):
-    return L.triple_barrier(I.add_features(bars(spark, sf), bar_series(), I.atr()), bar_series())
+    numbered = with_position(bars(spark, sf), bar_series())
+    return L.triple_barrier(I.add_features(numbered, bar_series(), I.atr()), bar_series())
 
 
 @query("labels_triple_barrier", f"{LABEL_SQL} SELECT symbol, ts, CAST(label AS BIGINT) AS label, t1 FROM lab")
@@ -167,7 +169,7 @@ SELECT b.symbol, b.ts, round(vol_norm, 6) + 0.0 AS vol_norm, CAST(CASE WHEN b.i
 FROM vn b LEFT JOIN hit USING (symbol, i) LEFT JOIN bars f ON f.symbol = b.symbol AND f.i = hit.hi
 JOIN bars t ON t.symbol = b.symbol AND t.i = coalesce(hit.hi, least(b.i + 240, b.last_i))""")
 def labels_event_time(spark, sf):
-    d = I.add_features(bars(spark, sf), bar_series(), I.atr())
+    d = I.add_features(with_position(bars(spark, sf), bar_series()), bar_series(), I.atr())
     return show(L.event_time_labels(d, bar_series()), "vol_norm", "label", "t1")
 
 

@@ -3,3 +3,4 @@
 from barflow.queries.base import QUERIES, SQL  # noqa: F401
 from barflow.queries import indicator_queries  # noqa: F401
 from barflow.queries import label_queries  # noqa: F401
+from barflow.queries import join_queries  # noqa: F401
