@@ -5,3 +5,4 @@ from barflow.queries import indicator_queries  # noqa: F401
 from barflow.queries import label_queries  # noqa: F401
 from barflow.queries import join_queries  # noqa: F401
 from barflow.queries import quality_queries  # noqa: F401
+from barflow.queries import stats_queries  # noqa: F401
