@@ -168,10 +168,12 @@ def coin_token(symbol: str | Column) -> Column:
 
 
 def epoch_to_timestamp(x: str | Column) -> Column:
-    """Seconds below 1e12, milliseconds below 1e15, nanoseconds above."""
+    """Seconds below 1e12, milliseconds below 1e15, nanoseconds above (whole numbers stay exact)."""
     x = _c(x)
-    micros = F.when(x < 1e12, x * 1e6).when(x < 1e15, x * 1e3).otherwise(x / 1e3)
-    return F.timestamp_micros(micros.cast("bigint"))
+    whole = F.call_function("div", x.try_cast("bigint"), F.lit(1000))
+    return F.when(x < 1e12, F.timestamp_micros((x * 1e6).cast("bigint"))).when(
+        x < 1e15, F.timestamp_micros((x * 1e3).cast("bigint"))
+    ).otherwise(F.timestamp_micros(whole))
 
 
 def text_to_timestamp(x: str | Column) -> Column:

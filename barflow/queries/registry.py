@@ -6,3 +6,5 @@ from barflow.queries import label_queries  # noqa: F401
 from barflow.queries import join_queries  # noqa: F401
 from barflow.queries import quality_queries  # noqa: F401
 from barflow.queries import stats_queries  # noqa: F401
+from barflow.queries import report_queries  # noqa: F401
+from barflow.queries import path_queries  # noqa: F401
