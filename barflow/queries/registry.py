@@ -8,3 +8,4 @@ from barflow.queries import quality_queries  # noqa: F401
 from barflow.queries import stats_queries  # noqa: F401
 from barflow.queries import report_queries  # noqa: F401
 from barflow.queries import path_queries  # noqa: F401
+from barflow.queries import source_queries  # noqa: F401
