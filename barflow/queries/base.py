@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = sql.replace("round(", f"round({NUDGE!r} + ")
+            SQL[name] = re.sub(r"\bround\((?!3e-09)", f"round({NUDGE!r} + ", sql)
         return fn
 
     return keep

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +31,27 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def reliable_checkpoint(df: DataFrame, fallback_dir: str = "/tmp/barflow-checkpoints") -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder (never a local checkpoint).
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    The folder is whatever ``spark.checkpoint.dir`` names; only a session that
-    has none (unit tests) gets ``fallback_dir``.
+    Only a session that names none, as in tests, gets a temporary folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    made = tempfile.mkdtemp(prefix="spark-barflow-")
+    spark.sparkContext.setCheckpointDir(made)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table or stream checkpoint in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared checkpoint folder (never a local checkpoint)."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", fallback_dir))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
