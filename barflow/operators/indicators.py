@@ -280,15 +280,16 @@ def kalman(out: str = "price_kalman", col: str = "close", q: float = 0.01, obs:
     rates = [0.0, *[-math.log1p(-k) for k in gains[1:]]]
     cum = [sum(rates[: i + 1]) for i in range(warm)]
     rate, level = rates[-1], cum[-1]
-    cum_lit, gain_lit = F.array(*map(F.lit, cum)), F.array(*map(F.lit, gains))
     late = warm - 1
 
-    def total(p):
-        return F.when(p > late, level + (p - late) * F.lit(rate)).otherwise(
-            F.get(cum_lit, F.greatest(p, F.lit(0)).cast("int"))
-        )
-
     def add(d, b):
+        cum_lit, gain_lit = F.array(*map(F.lit, cum)), F.array(*map(F.lit, gains))
+
+        def total(p):
+            return F.when(p > late, level + (p - late) * F.lit(rate)).otherwise(
+                F.get(cum_lit, F.greatest(p, F.lit(0)).cast("int"))
+            )
+
         p = F.col("_pos")
         k = F.when(p == 0, 1.0).when(p > late, gains[-1]).otherwise(F.get(gain_lit, F.least(p, F.lit(late)).cast("int")))
         return decayed_scan(d, b, p, total, k * F.col(col), out)
@@ -311,10 +312,10 @@ def fractional_weights(d: float = 0.4, cutoff: float = 1e-4, width: int = 100) -
 def fractional_diff(d: float = 0.4, col: str = "close", out: str | None = None) -> Feature:
     weights = fractional_weights(d)
     n = len(weights)
-    oldest_first = F.array(*[F.lit(w) for w in reversed(weights)])
     out = out or f"frac_diff_d{int(d * 100):02d}"
 
     def add(df, b):
+        oldest_first = F.array(*[F.lit(w) for w in reversed(weights)])
         past = F.collect_list(col).over(b.frame(-(n - 1), 0))
         df = df.withColumn("_past", past)
         dot = F.aggregate(F.zip_with("_past", oldest_first, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)

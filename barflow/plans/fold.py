@@ -81,6 +81,7 @@ def interval_summary(lo: Sequence[float], hi: Sequence[float], left: Callable, r
     Below lo[i] the state becomes ``left(i)``, above hi[i] ``right(i)``; from then on it is known and
     evolves by ``step(state, i)``.  Known states meet quickly, so few pieces remain.
     """
+    lo, hi = [float(x) for x in lo], [float(x) for x in hi]
     bottom, top, alive = -math.inf, math.inf, True
     pieces: list[list] = []  # [from, to, closed_from, closed_to, state]
     for i in range(len(lo)):

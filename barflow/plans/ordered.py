@@ -104,7 +104,7 @@ def depth_cuts(df: DataFrame, order: Sequence[str], n: int | None = None) -> Dep
         return DepthCuts()
     probe = df.select(order_value(df, order[0]).alias("_at"), *[F.col(c) for c in order[1:2]])
     raw = probe.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n)
-    heavy = sorted({v for v in raw if raw.count(v) > 2})
+    heavy = sorted({v for v in raw if raw.count(v) >= 2})
     ties = []
     if heavy and len(order) > 1:
         for at in heavy:

@@ -10,3 +10,4 @@ from barflow.queries import report_queries  # noqa: F401
 from barflow.queries import path_queries  # noqa: F401
 from barflow.queries import source_queries  # noqa: F401
 from barflow.queries import stream_queries  # noqa: F401
+from barflow.queries import model_queries  # noqa: F401

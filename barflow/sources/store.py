@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,7 +113,10 @@ def ingest_csv(spark: SparkSession, csv: str, path: str, symbol: str, timeframe:
         d = d.join(existing_months(spark, path, keys), [*keys, "yyyymm"], "left_anti")
     watch = Observation()
     write_months(d.observe(watch, F.count(F.lit(1)).alias("rows")), path, keys)
-    return int(watch.get["rows"])
+    try:
+        return int(watch.get["rows"])
+    except Py4JJavaError:  # nothing was left to write: the optimiser removed the plan and its metrics
+        return 0
 
 
 def merge_second_files(frames: Sequence[DataFrame], keys: Sequence[str] = ("symbol", "ts"), arrival: str = "id") -> DataFrame:
