@@ -209,8 +209,8 @@ def excursions(trades: DataFrame, bars: DataFrame, step_seconds: float, keys: Se
         trades, bars, keys, F.col("entry_ts"), F.col("exit_ts"), step_seconds,
         {"_hi": ("max", "high"), "_lo": ("min", "low")}, [trade_id],
     )
-    up = F.col("_hi") / F.col("entry_price") - 1
-    down = F.col("_lo") / F.col("entry_price") - 1
+    up = ratio("_hi", "entry_price") - 1
+    down = ratio("_lo", "entry_price") - 1
     long = F.col("direction") > 0
     return d.withColumns({
         "mfe": F.greatest(F.when(long, up).otherwise(-down), F.lit(0.0)),

@@ -187,7 +187,7 @@ def book_features(snapshots: DataFrame, s: Series, timeframe: str, bars: DataFra
     out = align_to_bars(
         bars, f, ["l2_microprice", "l2_spread_bps", "l2_imbalance", "l2_ofi5", "l2_spread_p95", "l2_count"], keys
     )
-    gap = (F.col("l2_microprice") - F.col("close")) / F.col("close")
+    gap = F.try_divide(F.col("l2_microprice") - F.col("close"), "close")
     return out.withColumn("l2_micro_vs_close", F.when(F.col("close") > 0, gap).otherwise(0.0))
 
 

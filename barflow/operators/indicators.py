@@ -372,15 +372,15 @@ def price_shape() -> Feature:
         low14, high14 = b.roll(F.min, "low", 14), b.roll(F.max, "high", 14)
         vol20 = b.roll(F.avg, "volume", 20)
         return d.withColumns({
-            **{f"dist_sma_{n}": F.col("close") / b.roll(F.avg, "close", n) - 1 for n in (7, 30)},
+            **{f"dist_sma_{n}": ratio("close", b.roll(F.avg, "close", n)) - 1 for n in (7, 30)},
             "sma_align": flag(b.roll(F.avg, "close", 50) > b.roll(F.avg, "close", 200)),
             "stoch_k": 100 * (F.col("close") - low14) / nonzero(high14 - low14, 1e-4),
             **{f"ret_lag_{k}": b.lag("ret", k) for k in (1, 2, 3, 5)},
             "volume_momentum": ratio("volume", b.roll(F.avg, "volume", 14)),
             "volume_surge": flag(F.col("volume") > vol20 * 1.5),
             "volume_drop": flag(F.col("volume") < vol20 * 0.5),
-            **{f"dist_low_{n}": F.col("close") / b.roll(F.min, "low", n) - 1 for n in (15, 30)},
-            "range_pct": (F.col("high") - F.col("low")) / F.col("close"),
+            **{f"dist_low_{n}": ratio("close", b.roll(F.min, "low", n)) - 1 for n in (15, 30)},
+            "range_pct": ratio(F.col("high") - F.col("low"), "close"),
         })
 
     return Feature(add, 202)

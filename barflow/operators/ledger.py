@@ -174,7 +174,7 @@ def _size_flat(trades: DataFrame, s: Series, initial: float, share: float, fees:
         "entry_price": c("entry_close") * (1 + slip * c("direction")), "exit_price": c("exit_close") * (1 - slip * c("direction")),
         "_fee": F.lit(taker) + F.when(c("forced"), taker).otherwise(maker),
     })
-    d = d.withColumn("_g", (c("exit_price") - c("entry_price")) / c("entry_price") * c("direction") - c("_fee") - c("funding_share"))
+    d = d.withColumn("_g", F.try_divide(c("exit_price") - c("entry_price"), "entry_price") * c("direction") - c("_fee") - c("funding_share"))
     d = d.withColumn("_f", 1 + share * c("size_mult") * c("_g"))
     order = Series(s.keys, ("exit_pos", "entry_pos"), _position_cuts(s), s.rows)
     grow = F.when(c("_f") > 0, F.ln(F.when(c("_f") > 0, c("_f"))))

@@ -50,7 +50,7 @@ def _volume_flag(out: str, n: int, factor: float, above: bool) -> Feature:
 
 
 def _floor_distance(out: str, n: int) -> Feature:
-    return Feature(lambda d, b: d.withColumn(out, (F.col("close") - b.roll(F.min, "low", n)) / F.col("close")), n)
+    return Feature(lambda d, b: d.withColumn(out, F.try_divide(F.col("close") - b.roll(F.min, "low", n), "close")), n)
 
 
 def _returns() -> Feature:

@@ -70,7 +70,7 @@ def mean_pairwise_correlation(rets: DataFrame) -> DataFrame:
     times = full.withColumn("_k", F.lit(0)).join(F.broadcast(width), "_k").where("_n = _width").select("ts", "_width")
     d = d.join(times, "ts")
     moments = d.groupBy("symbol").agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"))
-    z = d.join(moments, "symbol").withColumn("_z", (F.col("ret") - F.col("_m")) / F.col("_s"))
+    z = d.join(moments, "symbol").withColumn("_z", F.try_divide(F.col("ret") - F.col("_m"), "_s"))
     per_ts = z.groupBy("ts").agg(F.sum("_z").alias("_sum"), F.first("_width").alias("_width"))
     n = F.first("_width")
     total = F.sum(F.col("_sum") * F.col("_sum")) / (F.count(F.lit(1)) - 1)

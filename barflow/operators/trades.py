@@ -35,7 +35,7 @@ def fee_columns(preset: str | Column) -> tuple[Column, Column]:
 
 def with_pnl(trades: DataFrame) -> DataFrame:
     """PnL net of fees and funding, and return on size."""
-    raw = (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * F.col("direction") * F.col("size")
+    raw = F.try_divide(F.col("exit_price") - F.col("entry_price"), "entry_price") * F.col("direction") * F.col("size")
     d = trades.withColumn("pnl", raw - F.col("fees") - F.col("funding"))
     return d.withColumn("return_pct", F.when(F.col("size") > 0, F.col("pnl") / F.col("size")).otherwise(0.0))
 
@@ -62,14 +62,14 @@ def performance(trades: DataFrame, equity: DataFrame, s: Series, per_year: float
     at = F.struct(*s.order)
     curve = d.groupBy(*keys).agg(
         F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_sd"), F.stddev_samp(F.when(F.col("_r") < 0, F.col("_r"))).alias("_dn"),
-        F.min((F.col("equity") - F.col("_peak")) / F.col("_peak")).alias("max_drawdown"), F.count(F.lit(1)).alias("_n"),
+        F.min(F.try_divide(F.col("equity") - F.col("_peak"), "_peak")).alias("max_drawdown"), F.count(F.lit(1)).alias("_n"),
         F.min_by("equity", at).alias("_first"), F.max_by("equity", at).alias("_last"),
     )
     j = money.join(curve, keys)
     scale = math.sqrt(per_year)
     sharpe = F.when(F.col("_sd") > 0, scale * F.col("_m") / F.col("_sd")).otherwise(0.0)
     sortino = F.when(F.col("_dn") > 0, scale * F.col("_m") / F.col("_dn")).otherwise(0.0)
-    annual = F.pow(F.col("_last") / F.col("_first"), per_year / F.col("_n")) - 1
+    annual = F.pow(F.try_divide("_last", "_first"), per_year / F.col("_n")) - 1
     mdd = F.abs("max_drawdown")
     return j.select(
         *keys, "n_trades", F.round("total_pnl", 2).alias("total_pnl"), F.round(F.col("total_pnl") + F.col("total_fees"), 2).alias("gross_pnl"),
@@ -159,7 +159,8 @@ def book_walk(levels: str, size: Column, buy: Column, mid: Column) -> Column:
 
     end = F.aggregate(F.col(levels), start, step)
     avg = F.try_divide(end["notional"], end["filled"])
-    slip = F.when(buy, (avg / mid - 1) * 1e4).otherwise((1 - avg / mid) * 1e4)
+    rel = F.try_divide(avg, mid)
+    slip = F.when(buy, (rel - 1) * 1e4).otherwise((1 - rel) * 1e4)
     out = lambda fill, price, bps, used: F.struct(
         fill.alias("fill_size"), price.alias("avg_price"), bps.alias("slippage_bps"), used.alias("levels_used")
     )
@@ -194,7 +195,7 @@ def trailing_stops(trades: DataFrame, bars: DataFrame, s: Series, percent: float
         )
 
     d = d.withColumn("_st", F.aggregate(F.coalesce("_path", F.array().cast("array<struct<ts:timestamp,close:double>>")), start, step))
-    best, worst = F.col("_st.high") / entry - 1, F.col("_st.low") / entry - 1
+    best, worst = F.try_divide("_st.high", entry) - 1, F.try_divide("_st.low", entry) - 1
     return d.withColumns({
         "stop_ts": F.col("_st.hit_ts"), "stop_price": F.col("_st.hit_price"),
         "mfe_pct": 100 * F.greatest(F.when(long, best).otherwise(-worst), F.lit(0.0)),
@@ -267,7 +268,7 @@ def breaker_state(trades: DataFrame, s: Series, brier: DataFrame, daily_limit: f
     fresh = d.where(F.unix_micros("ts") >= F.unix_micros("_end") - window_minutes * 60_000_000)
     p99 = exact_quantiles(fresh, keys, "latency_ms", [0.99], "_q").select(*keys, F.get("_q", F.lit(0)).alias("latency_p99"))
     curve = running(running(trades, s, {"_eq": ("sum", F.col("pnl"))}).withColumn("_eq", F.col("_eq") + initial), s, {"_peak": ("max", F.col("_eq"))})
-    dd = curve.groupBy(*keys).agg(F.max((F.col("_peak") - F.col("_eq")) / F.col("_peak")).alias("drawdown"))
+    dd = curve.groupBy(*keys).agg(F.max(F.try_divide(F.col("_peak") - F.col("_eq"), "_peak")).alias("drawdown"))
     j = ends.select(*keys, "n_trades").join(agg, keys).join(p99, keys, "left").join(dd, keys).join(brier, keys, "left")
     trigger = (
         F.when(F.col("daily_r") <= -daily_limit, "daily_loss").when(F.col("losses") >= max_losses, "consecutive_losses")

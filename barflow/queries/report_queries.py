@@ -41,16 +41,16 @@ def results(spark, sf):
     return _orders(spark, sf).groupBy("strategy", "symbol", "timeframe").agg(
         F.count(F.lit(1)).alias("n_trades"), (100 * F.avg(win)).alias("win_rate_pct"), F.sum(x).alias("total_pnl"),
         (F.sum(x) + F.count(F.lit(1)) * 2.5).alias("gross_pnl"), (F.count(F.lit(1)) * 2.5).alias("total_fees"),
-        (F.avg(x) / F.stddev_samp(x)).alias("sharpe"), (F.avg(x) / F.stddev_samp(F.when(x < 0, x))).alias("sortino"), (F.avg(x) / 100).alias("calmar"),
+        F.try_divide(F.avg(x), F.stddev_samp(x)).alias("sharpe"), F.try_divide(F.avg(x), F.stddev_samp(F.when(x < 0, x))).alias("sortino"), (F.avg(x) / 100).alias("calmar"),
         (F.min(x) / 10).alias("max_drawdown_pct"),
-        (F.sum(F.when(x > 0, x).otherwise(0.0)) / F.sum(F.when(x < 0, -x).otherwise(0.0))).alias("profit_factor"),
+        F.try_divide(F.sum(F.when(x > 0, x).otherwise(0.0)), F.sum(F.when(x < 0, -x).otherwise(0.0))).alias("profit_factor"),
     )
 
 
 def walk_forward(spark, sf):
     d = _orders(spark, sf).where((F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp")) & (F.col("timeframe") != "1w"))
     return d.groupBy(F.expr("substr(strategy, 3)").alias("strategy"), "timeframe", "symbol").agg(
-        (F.avg("x") / F.stddev_samp("x")).alias("wf_mean_sharpe"), F.avg(F.when(F.col("x") > 0, 1.0).otherwise(0.0)).alias("wf_consistency"),
+        F.try_divide(F.avg("x"), F.stddev_samp("x")).alias("wf_mean_sharpe"), F.avg(F.when(F.col("x") > 0, 1.0).otherwise(0.0)).alias("wf_consistency"),
         (F.max(F.unix_micros("o_orderdate")) + F.max("o_orderkey")).alias("ts"),
     )
 
