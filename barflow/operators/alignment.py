@@ -13,6 +13,7 @@ from barflow.operators.bars import TIMEFRAME_SECONDS
 from barflow.plans.asof import asof_join
 from barflow.plans.ordered import Series, running, windowed
 from barflow.plans.ranges import range_extrema
+from barflow.session import reliable_checkpoint
 
 
 def merge_funding(bars: DataFrame, funding: DataFrame, keys: Sequence[str] = ("symbol",), fill: bool = True,
@@ -121,10 +122,11 @@ def training_frame(bars: DataFrame, funding: DataFrame | None = None, news: Data
         d = asof_join(d, funding, ["symbol"], "ts", "ts", ["funding_rate"])
     if news is not None:
         s = Series.sampled(news, ["symbol"], ["ts", "id"])
-        mean = trailing_mean(news, s, "score", 86_400, "news_24h")
-        d = asof_join(d, mean, ["symbol"], "ts", "ts", ["news_24h"], right_tie=["id"])
+        mean = reliable_checkpoint(trailing_mean(news, s, "score", 86_400, "news_24h"))
+        d = asof_join(reliable_checkpoint(d), mean, ["symbol"], "ts", "ts", ["news_24h"], right_tie=["id"])
     if macro is not None and metrics:
-        d = merge_series(d, macro, metrics)
+        # every as-of join reads its left side for the carries and for the match
+        d = merge_series(reliable_checkpoint(d), macro, metrics)
     return d
 
 

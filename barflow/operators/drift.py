@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.plans.ordered import Series, running
 from barflow.plans.quantiles import exact_quantiles, value_counts
+from barflow.session import reliable_checkpoint
 
 # fixed values: thresholds of the drift report and features that may pause trading
 PSI_WARN, PSI_PAUSE, WASSERSTEIN_WARN = 0.10, 0.25, 0.15
@@ -45,8 +46,8 @@ def baseline(long: DataFrame, keys: Sequence[str], n_bins: int = 10, min_values:
     stats = q.join(moments, keys).select(
         *keys, "mean", "std", F.get("q", F.lit(0)).alias("q05"), F.get("q", F.lit(1)).alias("q95"), "n", "bin_edges"
     )
-    props = bin_shares(long, stats, keys)
-    return stats.join(props, keys)
+    stats = reliable_checkpoint(stats)  # one row per feature, used twice below
+    return stats.join(bin_shares(long, stats, keys), keys)
 
 
 def bin_shares(long: DataFrame, edges: DataFrame, keys: Sequence[str], clip: bool = False) -> DataFrame:
@@ -112,6 +113,7 @@ def drift_report(
 ) -> DataFrame:
     """Severity ok / warn / pause per (keys, feature); only hard features can pause."""
     k = [*keys, "feature"]
+    base = reliable_checkpoint(base)  # a baseline is a small stored table; every measure below reads it
     enough = long.groupBy(*k).agg(F.count(F.lit(1)).alias("n_actual")).where(F.col("n_actual") >= min_values)
     d = psi(base, long, keys).join(wasserstein_relative(base, long, keys), k).join(enough, k)
     is_hard = F.col("feature").isin(list(hard))

@@ -12,6 +12,7 @@ from barflow.functions.numeric import at_least, clip, flag, normal_cdf, ratio
 from barflow.operators.indicators import bar_return, recent_rows
 from barflow.plans.ordered import Series, running, windowed, with_position
 from barflow.plans.quantiles import exact_quantiles, value_counts
+from barflow.session import reliable_checkpoint
 
 
 def returns(df: DataFrame, s: Series, col: str = "close", out: str = "ret") -> DataFrame:
@@ -191,6 +192,7 @@ def tail_risk(rets: DataFrame, weights: DataFrame, alpha: float = 0.05, keys: Se
     scen = rets.where(F.col("ret").isNotNull()).join(weights, "symbol").groupBy(*keys, "ts").agg(
         F.sum(F.col("ret") * F.col("weight")).alias("_r")
     )
+    scen = reliable_checkpoint(scen)  # one number per book and scenario, read by the quantile and the tail mean
     q = exact_quantiles(scen, keys, "_r", [alpha], "_q").select(*keys, "n", F.get("_q", F.lit(0)).alias("var"))
     d = scen.join(q, keys)
     return d.groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.plans.ordered import Series, running
+from barflow.session import reliable_checkpoint
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weights: dict | None = None) -> DataFrame:
@@ -25,9 +26,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """
     keys = list(keys)
     d = df.withColumn("_v", F.col(value).cast("double"))
-    counts = value_counts(d, keys, "_v")
-    total = d.where(F.col("_v").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    s = Series.sampled(d, keys, ["_v"])
+    # distinct values with their counts: settled, because sizes, carries and ranks all read them
+    counts = reliable_checkpoint(value_counts(d, keys, "_v"))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    s = Series.sampled(counts, keys, ["_v"])
     cum = running(counts, s, {"_upto": ("sum", F.col("_n"))}).join(total, keys)
     at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))

@@ -10,6 +10,7 @@ from barflow.operators import alignment as A
 from barflow.operators import bars as B
 from barflow.plans.asof import asof_join
 from barflow.plans.ordered import Series
+from barflow.session import spread
 from barflow.queries.base import TICKS_SQL, bar_series, bars, bars_sql, micros, query, r, show, sql_round, table, ticks
 
 
@@ -119,7 +120,7 @@ def join_fear_greed(spark, sf):
 
 def news(spark, sf):
     """Documents as a news feed: one every 43 minutes, title = whole text, score from its length."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(
         F.col("doc_id").alias("id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("doc_id") * 2_580_000_000).alias("ts"),
         F.col("text").alias("title"), "source", "lang", ((F.col("n_chars") - 1500) / 1000.0).alias("score"),

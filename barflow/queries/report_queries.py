@@ -11,6 +11,7 @@ from barflow.operators import ranking as K
 from barflow.operators import reports as R
 from barflow.operators import trades as D
 from barflow.plans.ordered import Series
+from barflow.session import spread
 from barflow.queries.base import TICKS_SQL, bar_series, bars, bars_sql, micros, query, r, show, sql_round, table, ticks
 from barflow.queries.join_queries import COVER_SQL, KW_TONE, NEWS_SQL, _any, _present, news
 
@@ -198,7 +199,7 @@ LINES_SQL = """lines AS (SELECT event_type || '.log' AS file, epoch_us(ts) AS ts
 
 
 def _lines(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARNING").when(F.col("event_type") == "click", "CRITICAL").otherwise("INFO")
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","), F.lpad(F.pmod(F.floor(F.unix_micros("ts") / 1000), F.lit(1000)).cast("string"), 3, "0"))
     line = F.concat(stamp, F.lit(" - worker - "), level, F.lit(" - order "), F.col("user_id").cast("string"), F.lit(" for BTC_USDT and ETH/USDT failed:  PID "),
@@ -421,7 +422,7 @@ def book_walk_fills(spark, sf):
     buy = F.col("volume") > 50
     lv = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.struct(
         F.when(buy, F.col("price") * (1 + 0.001 * j)).otherwise(F.col("price") * (1 - 0.001 * j)).alias("price"), ((F.col("volume") + j) / 6).alias("qty")))
-    t = ticks(spark, sf).withColumn("levels", lv)
+    t = spread(ticks(spark, sf)).withColumn("levels", lv)
     d = t.select("id", D.book_walk("levels", F.col("taker"), buy, F.col("price")).alias("_f")).select("id", "_f.*")
     return d.select("id", r("fill_size").alias("fill_size"), r("avg_price").alias("avg_price"), r("slippage_bps", 5).alias("slippage_bps"), F.col("levels_used").cast("bigint").alias("levels_used"))
 
@@ -431,7 +432,7 @@ def book_top_levels(spark, sf):
     from barflow.functions.book import top_of_book
 
     side = lambda f, q: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.struct((F.col("price") * f * (1 + 0.001 * j)).alias("price"), ((F.col(q) + j) / 6).alias("qty")))
-    t = ticks(spark, sf).select("id", side(1.0, "volume").alias("bids"), side(1.001, "taker").alias("asks"))
+    t = spread(ticks(spark, sf)).select("id", side(1.0, "volume").alias("bids"), side(1.001, "taker").alias("asks"))
     d = top_of_book(t, 3)
     return show(d, "p_bid", "p_ask", "v_bid", "v_ask", keys=("id",))
 
@@ -546,12 +547,12 @@ def _text_sql(src: str, key: str) -> str:
 
 @query("text_tone_documents", _text_sql("documents", "doc_id"))
 def text_tone_documents(spark, sf):
-    return TEXT_OUT(table(spark, sf, "documents"), "doc_id")
+    return TEXT_OUT(spread(table(spark, sf, "documents")), "doc_id")
 
 
 @query("text_tone_conversations", _text_sql("(SELECT conv_id * 1000000 + turn AS k, text FROM conversations)", "k"))
 def text_tone_conversations(spark, sf):
-    return TEXT_OUT(table(spark, sf, "conversations").withColumn("k", F.col("conv_id") * 1_000_000 + F.col("turn")), "k")
+    return TEXT_OUT(spread(table(spark, sf, "conversations")).withColumn("k", F.col("conv_id") * 1_000_000 + F.col("turn")), "k")
 
 
 @query("label_tone", """SELECT doc_id, CASE WHEN toxic = 1 THEN -ROUND(q, 3) WHEN quality = 1 THEN ROUND(q, 3) ELSE 0.0::DOUBLE END AS tone FROM (SELECT *, n_chars / (n_chars + 700.0::DOUBLE) AS q FROM documents JOIN labels USING (doc_id))""")

@@ -49,6 +49,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that arrives in fewer partitions than there are cores.
+
+    Only small inputs (a single unsplittable file) are affected; a large scan keeps its own splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared checkpoint folder (never a local checkpoint)."""
     sc = df.sparkSession.sparkContext
