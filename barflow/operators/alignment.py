@@ -80,13 +80,9 @@ def merge_news_sentiment(bars: DataFrame, news: DataFrame, causal: bool = False)
     if causal:
         h = h.withColumns({c: F.col(c) + F.expr("INTERVAL 1 HOUR") for c in ("hour", "last_hour")})
     h = h.withColumnRenamed("hour", "_hour")
-    last = h.groupBy().agg(F.max("last_hour").alias("_last")).withColumn("_k", F.lit(0))
-    d = (
-        bars.withColumn("_k", F.lit(0)).join(F.broadcast(last), "_k", "left")  # exactly one row
-        .withColumn("_hour", F.least(F.date_trunc("hour", "ts"), F.col("_last")))
-        .join(h.select("_hour", "sentiment"), "_hour", "left")
-    )
-    return d.withColumn("news_sentiment", F.coalesce("sentiment", F.lit(0.0))).drop("_hour", "_last", "_k", "sentiment")
+    last = h.agg(F.max("last_hour")).scalar()
+    d = bars.withColumn("_hour", F.least(F.date_trunc("hour", "ts"), last)).join(h.select("_hour", "sentiment"), "_hour", "left")
+    return d.withColumn("news_sentiment", F.coalesce("sentiment", F.lit(0.0))).drop("_hour", "sentiment")
 
 
 def trailing_mean(df: DataFrame, s: Series, value: str, seconds: float, out: str) -> DataFrame:

@@ -67,8 +67,8 @@ def mean_pairwise_correlation(rets: DataFrame) -> DataFrame:
     """
     d = rets.where(F.col("ret").isNotNull())
     full = d.groupBy("ts").agg(F.count(F.lit(1)).alias("_n"))
-    width = d.agg(F.count_distinct("symbol").alias("_width")).withColumn("_k", F.lit(0))
-    times = full.withColumn("_k", F.lit(0)).join(F.broadcast(width), "_k").where("_n = _width").select("ts", "_width")
+    width = d.agg(F.count_distinct("symbol")).scalar()
+    times = full.where(F.col("_n") == width).select("ts", F.col("_n").alias("_width"))
     d = d.join(times, "ts")
     moments = d.groupBy("symbol").agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"))
     z = d.join(moments, "symbol").withColumn("_z", F.try_divide(F.col("ret") - F.col("_m"), "_s"))
@@ -82,14 +82,10 @@ def mean_pairwise_correlation(rets: DataFrame) -> DataFrame:
 
 def risk_parity(assets: DataFrame, mean_corr: DataFrame, eps: float = 1e-9) -> DataFrame:
     """Weights from conviction (prob - 0.5) * 2 over volatility, scaled by 1 - mean correlation, absolute sum 1."""
-    penalty = mean_corr.select(F.greatest(1 - F.col("mean_corr"), F.lit(0.0)).alias("_pen"), F.lit(0).alias("_k"))
-    d = assets.withColumn("_k", F.lit(0)).join(F.broadcast(penalty), "_k")  # a single row
-    d = d.withColumn("_w", (F.col("prob") - 0.5) * 2 / F.greatest("vol", F.lit(eps)) * F.col("_pen"))
-    norm = d.groupBy("_k").agg(F.sum(F.abs("_w")).alias("_norm"))
-    d = d.join(F.broadcast(norm), "_k")
-    return d.withColumn("weight", F.when(F.col("_norm") > eps, F.col("_w") / F.col("_norm")).otherwise(F.col("_w"))).drop(
-        "_k", "_pen", "_w", "_norm"
-    )
+    penalty = mean_corr.select(F.greatest(1 - F.col("mean_corr"), F.lit(0.0))).scalar()
+    d = assets.withColumn("_w", (F.col("prob") - 0.5) * 2 / F.greatest("vol", F.lit(eps)) * penalty)
+    d = d.withColumn("_norm", d.agg(F.sum(F.abs("_w"))).scalar())
+    return d.withColumn("weight", F.when(F.col("_norm") > eps, F.try_divide("_w", "_norm")).otherwise(F.col("_w"))).drop("_w", "_norm")
 
 
 def ou_calibration(df: DataFrame, s: Series, dt: float = 1.0) -> DataFrame:

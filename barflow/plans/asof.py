@@ -50,9 +50,15 @@ def asof_join(
         payload.alias("_right"), tie.alias("_tie"),
     )
     both = lrows.unionByName(rrows, allowMissingColumns=True)
+    order = ["_ts"]
+    if direction == "backward":
+        # left rows of one crowded instant may be spread over sub-cuts behind the right rows of that
+        # instant: the carry from the earlier cut gives them the same match
+        crowd = F.when(F.col("_side") == 1, F.pmod(F.xxhash64("_left"), F.lit(1_000_000)) + 1).otherwise(0)
+        both, order = both.withColumn("_crowd", crowd), ["_ts", "_crowd"]
     if cuts is None:
-        cuts = depth_cuts(both, ["_ts"])
-    both = cuts.apply(both, ["_ts"])
+        cuts = depth_cuts(both, order)
+    both = cuts.apply(both, order).drop("_crowd")
     part = [*keys, "_cut"]
     at = F.when(F.col("_side") == 0, F.struct("_ts", "_tie"))
     carry_src = both.groupBy(*part).agg(

@@ -166,15 +166,14 @@ def stale_agents(heartbeats: DataFrame, now: Column, seconds: float, key: str =
 
 
 def live_news(stream: DataFrame, view: str, checkpoint: str, path: str, hours: int = 48, every: str | None = "5 minutes") -> StreamingQuery:
-    """Keep a view over the last hours of news; each refresh appends the batch and re-points the view."""
+    """Keep the global view ``global_temp.<view>`` over the last hours of news; each refresh appends its batch and re-points it."""
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
         all_news = spark.read.parquet(path)
-        newest = all_news.groupBy().agg(F.max("ts").alias("_newest")).withColumn("_k", F.lit(0))
-        recent = all_news.withColumn("_k", F.lit(0)).join(F.broadcast(newest), "_k")  # one row
-        recent.where(F.col("ts") >= F.col("_newest") - F.make_dt_interval(hours=F.lit(hours))).drop("_k", "_newest", "batch_id").createOrReplaceTempView(view)
+        newest = all_news.agg(F.max("ts")).scalar()
+        all_news.where(F.col("ts") >= newest - F.make_dt_interval(hours=F.lit(hours))).drop("batch_id").createOrReplaceGlobalTempView(view)
 
     w = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

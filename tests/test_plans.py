@@ -161,3 +161,11 @@ def test_null_position_column_is_kept_when_present(spark, walk):
     d = windowed(with_position(df, s), s, lambda x, b: x, back=3)
     assert "_pos" in d.columns and d.count() == df.count()
     assert "_pos" not in windowed(df, s, lambda x, b: x, back=3).columns
+
+
+def test_asof_with_a_crowded_instant(spark):
+    """Most left rows share one time; they are split over cuts and still all match."""
+    left = pd.DataFrame({"k": "a", "ts": pd.to_datetime(["2024-01-01"] * 20 + ["2024-01-02"] * 900 + ["2024-01-03"] * 20), "row": range(940)})
+    right = pd.DataFrame({"k": "a", "ts": pd.to_datetime(["2023-12-31", "2024-01-02", "2024-01-04"]), "v": [1.0, 2.0, 3.0]})
+    got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "ts", "ts", ["v"]).toPandas()
+    assert got.groupby("ts")["v"].agg(["min", "max", "count"]).to_numpy().tolist() == [[1, 1, 20], [2, 2, 900], [2, 2, 20]]

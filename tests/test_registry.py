@@ -32,3 +32,16 @@ def test_matches_duckdb(spark, name):
     names = [d[0] for d in res.description]
     want = sorted((tuple(r[names.index(c)] for c in cols) for r in res.fetchall()), key=str)
     assert sorted(names) == cols and got == want
+
+
+@pytest.mark.parametrize("name", ["join_funding", "join_news_sentiment", "trade_signal_audit", "news_coin_tags", "coverage_matrix", "trade_excursions",
+                                  "threshold_scores", "risk_parity_weights", "portfolio_beta", "runs_model_grid", "splits_walk_forward"])
+def test_no_cross_or_loop_joins(spark, name):
+    plan = entry_point.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = entry_point.queries()["asof_backward"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type," in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp" in plan and "props" not in plan

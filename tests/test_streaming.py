@@ -111,3 +111,14 @@ def test_topic_replay_and_bad_rows(spark, tmp_path):
     ], "value string")
     got = jobs.closed_bars(k).collect()
     assert len(got) == 1 and got[0]["symbol"] == "BTCUSDT" and got[0]["timeframe"] == "1m" and got[0]["taker_buy_base"] == 4.0
+
+
+def test_live_news_view_keeps_the_last_hours(spark, tmp_path):
+    from barflow.session import scratch_path
+
+    path, schema = str(tmp_path / "n"), "ts timestamp, title string"
+    for day in ("2025-01-01", "2025-01-03", "2025-01-04"):
+        spark.createDataFrame([(pd.Timestamp(day).to_pydatetime(), day)], schema).coalesce(1).write.mode("append").parquet(path)
+    q = jobs.live_news(jobs.read_files(spark, path, schema), "live_news", scratch_path(spark, "t-news"), scratch_path(spark, "t-news-out"), 48, every=None)
+    q.awaitTermination()
+    assert sorted(r["title"] for r in spark.table("global_temp.live_news").collect()) == ["2025-01-03", "2025-01-04"]
