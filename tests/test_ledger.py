@@ -22,7 +22,7 @@ def market(spark, n=400, seed=1, hot=1.0):
 
 
 def loop(pdf, hold, slippage=None, initial=10_000.0):
-    """Reference semantics written as the obvious per-bar loop."""
+    """The ledger rules as the obvious per-bar loop."""
     slip = lambda size: slippage if slippage is not None else min(0.005, 0.001 * math.sqrt(max(size, 1) / 50_000))
     equity, pos, trades, curve = initial, None, [], []
     signal = pdf.signal.shift(1).fillna(0.0).to_numpy()
