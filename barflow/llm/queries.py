@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import packing, piece_bpe, pieces
+from barflow.llm import packing, piece_bpe, pieces, simhash
 from barflow.llm.common import table
 
 QUERIES: dict = {}
@@ -31,6 +31,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_simhash_anchors")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"), width=4, threshold=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op6_piece_bpe")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
