@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from barflow.session import scratch_path, use_utc
 
+# Rows that a function of an Arrow batch gets at a time.
+ROWS_AT_ONCE = 256
+
 # ASCII white space; a word is a run of anything else.
 SPACE = " \t\n\x0b\x0c\r"
-WORD_GAP = "[\\x20\\x09-\\x0D]+"
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,11 +41,11 @@ def text_of(column: str = "text") -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch of ``df``."""
+    """Apply a function of an Arrow batch to all rows of ``df``, ``ROWS_AT_ONCE`` at a time to bound the worker's memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield fn(batch.slice(at, ROWS_AT_ONCE))
 
     return df.mapInArrow(run, schema)

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from barflow.llm.common import kind, map_batches, text_of
 
 MARK = "▁"
-# Chunks whose encodings a worker remembers (about 300 bytes each), and the longest it remembers.
-REMEMBERED = 600_000
+# Chunks whose encodings a worker remembers (about 250 bytes each), and the longest it remembers.
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 
 _MODELS: dict[str, PieceModel] = {}
@@ -47,7 +47,9 @@ class PieceModel:
         pieces = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         plain = [not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i)) for i in range(len(pieces))]
         self.ids = {p: i for i, p in enumerate(pieces) if plain[i]}
-        self.cost = {p: -lib.get_score(i) for p, i in self.ids.items()}
+        scores = sorted({lib.get_score(i) for i in self.ids.values()}, reverse=True)
+        order = {score: r for r, score in enumerate(scores)}
+        self.rank = {p: order[lib.get_score(i)] for p, i in self.ids.items()}
         self.control = {i for i in range(len(pieces)) if lib.is_control(i)}
         self.marked = {i for p, i in self.ids.items() if p[0] == MARK}
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(pieces) if lib.is_byte(i)}
@@ -57,42 +59,46 @@ class PieceModel:
         self.raw[lib.unk_id()] = " ⁇ ".encode()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces that span words; chunks would not be independent")
-        # Line feeds part chunks too, unless a piece holds one.
-        self.chunks = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if not any("\n" in p for p in self.ids) else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.lines = not any("\n" in p for p in self.ids)  # line feeds part chunks too, unless a piece holds one
+        self.chunks = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if self.lines else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.feed = lib.encode("\n")
         self.known: dict[str, bytes] = {}
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of one chunk by the agenda."""
-        cost, symbols, n = self.cost, list(chunk), len(chunk)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in cost:
-                agenda.append((cost[pair], i, pair))
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, pair = heapq.heappop(agenda)
-            j = right[i] if symbols[i] else n
-            if j >= n or symbols[i] + symbols[j] != pair:
-                continue  # one of the two has been merged since
-            symbols[i], symbols[j] = pair, ""
-            k = right[i] = right[j]
-            if k < n:
-                left[k] = i
-                after = pair + symbols[k]
-                if after in cost:
-                    heapq.heappush(agenda, (cost[after], i, after))
-            h = left[i]
-            if h >= 0:
-                before = symbols[h] + pair
-                if before in cost:
-                    heapq.heappush(agenda, (cost[before], h, before))
+        """Ids of one chunk by the agenda: numbers (rank of the score, then place), smallest first."""
+        rank, symbols, n = self.rank, list(chunk), len(chunk)
+        agenda = [r * n + i for i, r in enumerate(map(rank.get, map(str.__add__, symbols, symbols[1:]))) if r is not None]
+        if agenda:
+            heapq.heapify(agenda)
+            pop, push, left, right = heapq.heappop, heapq.heappush, list(range(-1, n - 1)), list(range(1, n + 1))
+            while agenda:
+                r, i = divmod(pop(agenda), n)
+                j = right[i]
+                if j >= n or not symbols[i]:
+                    continue
+                pair = symbols[i] + symbols[j]
+                if rank.get(pair) != r:
+                    continue  # one of the two has been merged since
+                symbols[i], symbols[j] = pair, ""
+                k = right[i] = right[j]
+                if k < n:
+                    left[k] = i
+                    r = rank.get(pair + symbols[k])
+                    if r is not None:
+                        push(agenda, r * n + i)
+                h = left[i]
+                if h >= 0:
+                    r = rank.get(symbols[h] + pair)
+                    if r is not None:
+                        push(agenda, r * n + h)
         ids, out = self.ids, []
         for s in symbols:
             if s:
                 found = ids.get(s)
-                out.extend([found] if found is not None else [self.byte_id[b] for b in s.encode()])
+                if found is None:
+                    out += [self.byte_id[b] for b in s.encode()]
+                else:
+                    out.append(found)
         return out
 
     def decode(self, ids) -> str:
@@ -101,36 +107,54 @@ class PieceModel:
         first = next((i for i in ids if i not in self.control), None)
         return text[1:] if first in self.marked else text
 
-    def check(self, chunks: list[str], found: list[list[int]]) -> None:
-        """Compare with the library.  It puts a mark before each text: that of the chunk, or one before a line feed, both taken off again."""
-        texts = [c[1:] if c[0] == MARK else f"\n{c}" for c in chunks]
-        theirs = self.library.encode(texts, num_threads=1)
-        feed = self.library.encode("\n")
-        for chunk, text, own, other in zip(chunks, texts, found, theirs, strict=True):
-            # a lone mark is an empty text for the library
-            whole = own if chunk[0] == MARK else feed + own
-            if whole != other and text:
-                raise ValueError(f"encoding differs from the sentencepiece library for {chunk[:200]!r}: {own[:50]} and {other[:50]}")
-        wholes = [own if c[0] == MARK else feed + own for c, own in zip(chunks, found, strict=True)]
-        for whole, other in zip(wholes, self.library.decode(wholes, num_threads=1), strict=True):
-            if self.decode(whole) != other:
-                raise ValueError(f"decoding differs from the sentencepiece library for {whole[:50]}")
+    def code_new(self, words: list[str], check: bool) -> list[bytes]:
+        """Ids of words as :meth:`cut` gives them, compared with the library's."""
+        feed, lib = self.feed, self.library
+        found = [self.feed[1:] + (self.merge(w[1:]) if len(w) > 1 else []) if w[0] == "\n" else self.merge(w if w[0] == MARK else MARK + w) for w in words]
+        if check and words:
+            # the library puts a mark before each text; before a line feed it stands alone and is taken off
+            wholes = [feed[:1] + own if w[0] == "\n" else own for w, own in zip(words, found, strict=True)]
+            texts = [w[1:] if w[0] == MARK else w for w in words]
+            for text, own, other in zip(texts, wholes, lib.encode(texts, num_threads=1), strict=True):
+                if own != other and text:
+                    raise ValueError(f"encoding differs from the sentencepiece library for {text[:200]!r}: {own[:50]} and {other[:50]}")
+            for own, other in zip(wholes, lib.decode(wholes, num_threads=1), strict=True):
+                if self.decode(own) != other:
+                    raise ValueError(f"decoding differs from the sentencepiece library for {own[:50]}")
+        return [np.array(ids, "<i4").tobytes() for ids in found]
+
+    def cut(self, text: str) -> list[str]:
+        """Words no merge can leave.  A word stands for itself with a mark before it, unless it begins with marks or a line feed."""
+        if MARK not in text:
+            words = text.replace("\n", " \n").split(" ") if self.lines else text.split(" ")
+            if "" not in words:
+                return words
+        if not text:
+            return []
+        # runs of blanks: a chunk is the run and what follows it
+        chunks = self.chunks.findall(MARK + text.replace(" ", MARK))
+        out = []
+        for c in chunks:
+            if c[0] == MARK:
+                out.append(c if c[1:2] in (MARK, "") or c[1:2] == "\n" else c[1:])
+            elif out and out[-1] == "\n" and c != "\n":
+                out[-1] = "\n" + c
+            else:
+                out.append(c)
+        return out
 
     def encode_batch(self, texts: list[str], check: bool) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        cut = [self.chunks.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        coded = [list(map(known.get, chunks)) for chunks in cut]
-        new = list({c for chunks, codes in zip(cut, coded, strict=True) if None in codes for c, code in zip(chunks, codes, strict=True) if code is None})
+        cut = [self.cut(t) for t in texts]
+        coded = [list(map(known.get, words)) for words in cut]
+        new = list({w for words, codes in zip(cut, coded, strict=True) if None in codes for w, code in zip(words, codes, strict=True) if code is None})
         if new:
-            found = [self.merge(c) for c in new]
-            if check:
-                self.check(new, found)
-            fresh = {c: np.array(ids, "<i4").tobytes() for c, ids in zip(new, found, strict=True)}
-            known.update((c, b) for c, b in fresh.items() if len(c) <= LONGEST_REMEMBERED)
-            coded = [[fresh[c] if code is None else code for c, code in zip(chunks, codes, strict=True)] if None in codes else codes for chunks, codes in zip(cut, coded, strict=True)]
+            fresh = dict(zip(new, self.code_new(new, check), strict=True))
+            known.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST_REMEMBERED)
+            coded = [[fresh[w] if code is None else code for w, code in zip(words, codes, strict=True)] if None in codes else codes for words, codes in zip(cut, coded, strict=True)]
         return [b"".join(codes) for codes in coded]
 
 

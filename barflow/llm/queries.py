@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import packing, piece_bpe, pieces, simhash
+from barflow.llm import packing, piece_bpe, pieces, quality, simhash
 from barflow.llm.common import table
 
 QUERIES: dict = {}
@@ -51,3 +51,10 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     cut = pieces.cut_documents(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE)
     return packing.pack(cut, SEQUENCE)
+
+
+@query("op9_decision_list")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rules = quality.fit_list(docs, table(spark, sf, "labels"))
+    return quality.judge(docs, rules, keep=["doc_id"]).select("doc_id", *quality.BASE, "base_failed", "kept")
