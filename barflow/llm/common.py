@@ -40,12 +40,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function of an Arrow batch to all rows of ``df``, ``ROWS_AT_ONCE`` at a time to bound the worker's memory."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
+    """Apply a function of an Arrow batch to all rows of ``df``, ``rows`` at a time to bound the worker's memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                yield fn(batch.slice(at, ROWS_AT_ONCE))
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import packing, piece_bpe, pieces, quality, simhash
+from barflow.llm import packing, piece_bpe, pieces, quality, simhash, substring, suffix_levels
 from barflow.llm.common import table
 
 QUERIES: dict = {}
@@ -58,3 +58,16 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     rules = quality.fit_list(docs, table(spark, sf, "labels"))
     return quality.judge(docs, rules, keep=["doc_id"]).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+@query("op4_suffix_levels")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_levels.remove_bytes(table(spark, sf, "documents"), keep=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["hi"] - s["lo"]))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_rabin_karp_windows")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

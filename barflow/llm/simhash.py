@@ -9,8 +9,8 @@ bits, whose covering radius is one, and all values of the other bits.  A fingerp
 replicated to every anchor within the covering radius plus the block's threshold.  Two linked fingerprints therefore meet at the
 home anchor of either (triangle inequality), and all comparisons are made anchor by anchor, with no candidate left out.
 
-Equal fingerprints are one row before replication, whatever the number of copies.  An anchor emits a spanning forest
-of its links, not its pairs.  An anchor with more than ``crowd`` rows is dealt out to pairs of its shares.
+Equal fingerprints are one row before replication, whatever the number of copies.  An anchor emits a minimum spanning
+forest of its links, not its pairs.  An anchor with more than ``crowd`` rows is dealt out to pairs of its shares.
 """
 
 from __future__ import annotations
@@ -109,97 +109,90 @@ def block_codes(threshold: int, blocks: int) -> list[BlockCode]:
     return [BlockCode(w, sum(widths[:i]), 1 + threshold // blocks) for i, w in enumerate(widths)]
 
 
+def _distance(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Differing bits between fingerprints (in 64-bit words) and one of them, or pairwise by broadcasting."""
+    return np.bitwise_count(rows ^ one).sum(axis=-1, dtype=np.int16)
+
+
 def _forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (positions) that connect what the links between home rows and all rows connect; each row is visited once."""
+    """Edges (positions) of a minimum spanning forest of the links among home rows and what they link to, nearest links first."""
     homes = np.flatnonzero(home)
-    linked: list[np.ndarray] = []
-    step = max(1, 2_000_000 // len(fps))
+    involved = np.zeros(len(fps), bool)
+    step = max(1, 1_000_000 // len(fps))
     for at in range(0, len(homes), step):  # rows without a link, nearly all of them, end here
         part = homes[at : at + step]
-        near = np.bitwise_count(fps[part, None] ^ fps[None, :]) <= threshold
-        linked.append(part[near.sum(axis=1) > 1])
-    todo = np.concatenate(linked) if linked else homes[:0]
-    if not len(todo):
-        return todo, todo
-    is_home = np.zeros(len(fps), bool)
-    is_home[todo] = True
-    unseen = np.ones(len(fps), bool)
-    a, b = [], []
-    for start in todo.tolist():
-        if not unseen[start]:
-            continue
-        unseen[start] = False
-        queue = [start]
-        while queue:
-            x = queue.pop()
-            if not is_home[x]:
-                continue
-            rest = np.flatnonzero(unseen)
-            found = rest[np.bitwise_count(fps[rest] ^ fps[x]) <= threshold]
-            if len(found):
-                unseen[found] = False
-                a.append(np.full(len(found), x))
-                b.append(found)
-                queue.extend(found.tolist())
-    # rows seen from one home may also be near a home of another tree: join those trees
-    c, d = [], []
-    roots = np.full(len(fps), -1)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        roots[x[0]] = roots[x[0]] if roots[x[0]] >= 0 else i
-        roots[y] = roots[x[0]]
-    for x in todo.tolist():
-        others = np.flatnonzero((roots >= 0) & (roots != roots[x]) & ~is_home)
-        if len(others):
-            found = others[np.bitwise_count(fps[others] ^ fps[x]) <= threshold]
-            _, one = np.unique(roots[found], return_index=True)
-            c += [x] * len(one)
-            d += found[one].tolist()
-    return np.concatenate([*a, np.array(c, int)]), np.concatenate([*b, np.array(d, int)])
-
-
-def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, crowd: int = 4096) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints ``fp`` that connect all fingerprints within ``threshold`` bits (a spanning subset)."""
-    codes = block_codes(threshold, blocks)
+        near = np.bitwise_count(fps[part, None, 0] ^ fps[None, :, 0]) <= threshold
+        np.put_along_axis(near, part[:, None], False, axis=1)
+        x, y = np.nonzero(near)
+        if fps.shape[1] > 1 and len(x):
+            held = _distance(fps[part[x]], fps[y]) <= threshold
+            x, y = x[held], y[held]
+        involved[part[x]] = involved[y] = True
+    rows = np.flatnonzero(involved)
+    if not len(rows):
+        return rows, rows
+    points, far = fps[rows], threshold + 1
+    nearest, parent = np.full(len(rows), far, np.int16), np.zeros(len(rows), np.int64)
+    done = np.int16(2 * far)
+    a, b, at = [], [], 0
+    for _ in range(len(rows)):
+        if nearest[at] < far:
+            a.append(parent[at])
+            b.append(at)
+        nearest[at] = done
+        now = _distance(points, points[at])
+        better = (now < nearest) & (nearest <= far)
+        nearest[better], parent[better] = now[better], at
+        at = int(np.argmin(nearest))
+    return rows[np.array(a, int)], rows[np.array(b, int)]
+
+
+def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_threshold: int | None = None, crowd: int = 4096) -> DataFrame:
+    """Links ``a, b`` (a < b) between the distinct rows of the columns ``fp``, ``fp2``, ... (64 bits each) within ``threshold`` bits.
+
+    They are minimum spanning forests of the links at each anchor, so they connect all that the links connect and hold every
+    link of a minimum spanning forest of them all.  Anchors are those of ``fp``.  Without ``block_threshold`` (bits that may differ in a
+    block) no link is missed.  ``a`` and ``b`` are structs of the fingerprint columns, or plain longs if there is one.
+    """
+    names = [c for c in ("fp", "fp2", "fp3", "fp4") if c in distinct.columns]
+    width, n = len(names), len(names)
+    codes = block_codes(threshold if block_threshold is None else block_threshold * blocks, blocks)
 
     def replicate(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = batch.column(0).to_numpy().view(np.uint64)
         parts = [code.anchors(fps) for code in codes]
+        row = pa.array(np.concatenate([r for r, _, _ in parts]))
         anchor = np.concatenate([a + (np.int64(i) << 32) for i, (_, a, _) in enumerate(parts)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(fps.view(np.int64)[np.concatenate([r for r, _, _ in parts])]), pa.array(np.concatenate([h for _, _, h in parts]))],
-            ["anchor", "fp", "home"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(anchor), *[c.take(row) for c in batch.columns], pa.array(np.concatenate([h for _, _, h in parts]))], ["anchor", *names, "home"])
 
-    spread = map_batches(distinct.select("fp"), replicate, "anchor bigint, fp bigint, home boolean")
+    fields = ", ".join(f"{c} bigint" for c in names)
+    spread = map_batches(distinct.select(*names), replicate, f"anchor bigint, {fields}, home boolean", 2048)
     crowded = spread.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(crowd)).cast("int").alias("shares")).where("shares > 1")
     shares = settle(crowded, "crowded")  # written first, so that its size decides how it is joined
     share = F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")
     others = F.sequence(F.lit(0), F.col("shares") - 1)
-    # row in share s meets every share t in the cell (min, max)
+    # a row in share s meets every share t in the cell (min, max)
     cells = F.transform(others, lambda t: F.least(t, share) * F.col("shares") + F.greatest(t, share))
     dealt = (
         spread.join(shares, "anchor", "left")
-        .select("anchor", F.explode(F.when(F.col("shares").isNull(), F.array(F.lit(-1))).otherwise(cells)).alias("cell"), "fp", "home")
+        .select("anchor", F.explode(F.when(F.col("shares").isNull(), F.array(F.lit(-1))).otherwise(cells)).alias("cell"), *names, "home")
         .repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def edges(group: np.ndarray) -> pa.RecordBatch | None:
+        def edges(group: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.r_[True, (group[1:, 0] != group[:-1, 0]) | (group[1:, 1] != group[:-1, 1])])
             found = []
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(group)], strict=True):
-                home = group[lo:hi, 3].astype(bool)
+                home = group[lo:hi, -1].astype(bool)
                 if hi - lo > 1 and home.any():
-                    fps = np.ascontiguousarray(group[lo:hi, 2]).view(np.uint64)
-                    x, y = _forest(fps, home, threshold)
+                    x, y = _forest(np.ascontiguousarray(group[lo:hi, 2 : 2 + width]).view(np.uint64), home, threshold)
                     if len(x):
-                        found.append(group[lo:hi, 2][np.stack([x, y])])
+                        found.append(np.concatenate([group[lo + x, 2 : 2 + width], group[lo + y, 2 : 2 + width]], axis=1))
             if found:
-                pairs = np.concatenate(found, axis=1)
-                return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
-            return None
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found).T], [f"{s}{i}" for s in "ab" for i in range(n)])
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
@@ -208,17 +201,15 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, crowd: int =
             last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
             cut = last[-1] + 1 if len(last) else 0  # the last group may go on in the next batch
             if cut or held and (held[-1][-1, :2] != rows[0, :2]).any():
-                out = edges(np.concatenate([*held, rows[:cut]]))
+                yield from edges(np.concatenate([*held, rows[:cut]]))
                 held = []
-                if out is not None:
-                    yield out
             held.append(rows[cut:])
         if held:
-            out = edges(np.concatenate(held))
-            if out is not None:
-                yield out
+            yield from edges(np.concatenate(held))
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
+    ends = [F.struct(*[F.col(f"{s}{i}").alias(c) for i, c in enumerate(names)]) if n > 1 else F.col(f"{s}0") for s in "ab"]
+    pairs = dealt.mapInArrow(compare, ", ".join(f"{s}{i} bigint" for s in "ab" for i in range(n)))
+    return pairs.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
