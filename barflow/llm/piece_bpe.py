@@ -24,7 +24,7 @@ from barflow.llm.common import kind, map_batches, text_of
 
 MARK = "▁"
 # Chunks whose encodings a worker remembers (about 250 bytes each), and the longest it remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 
 _MODELS: dict[str, PieceModel] = {}

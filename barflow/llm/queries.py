@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import packing, piece_bpe, pieces, quality, simhash, substring, suffix_levels
+from barflow.llm import packing, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity
 from barflow.llm.common import table
 
 QUERIES: dict = {}
@@ -31,6 +31,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# A document with this score or more is toxic.
+TOXIC = 0.7
+
+
+@query("op1_compression_toxicity")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit_documents(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 @query("op2_simhash_anchors")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), width=4, threshold=4)

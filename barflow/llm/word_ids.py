@@ -8,7 +8,7 @@ import numpy as np
 
 from barflow.llm.common import SPACE
 
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 _GAP = re.compile(f"[^{re.escape(SPACE)}]+")
 _CODERS: dict[str, WordCoder] = {}
