@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import packing, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity
+from barflow.llm import packing, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity, url_rules
 from barflow.llm.common import table
 
 QUERIES: dict = {}
@@ -84,3 +84,36 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# The path rules of the contract, and words whose pages are not wanted.
+PATH_RULES = [
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
+]
+UNWANTED_WORDS = ["adult", "betting", "casino", "escort", "gambling", "hentai", "poker", "porn", "sex", "slots", "viagra", "warez", "xxx"]
+URL_SQL = """
+WITH cut AS (
+  SELECT page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS raw, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM cut),
+ruled AS (
+  SELECT *, CASE {cases} END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE {verdicts} WHEN regexp_matches(lower(host || chr(10) || path), '(^|[^a-z0-9])({words})($|[^a-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled"""
+
+
+def _url_sql() -> str:
+    order = sorted(PATH_RULES, key=lambda r: -len(r[0] + r[1]))
+    cases = " ".join(f"WHEN ('.' || host) LIKE '%.{host}' AND starts_with(path, '{path}') THEN '{host}{path}'" for host, path, _ in order)
+    verdicts = " ".join(f"WHEN rule = '{host}{path}' THEN '{verdict}'" for host, path, verdict in order)
+    return URL_SQL.format(cases=cases, verdicts=verdicts, words="|".join(UNWANTED_WORDS))
+
+
+@query("op5_url_token_rules", _url_sql())
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [url_rules.path_rule(*r) for r in PATH_RULES] + [url_rules.word_rule(w) for w in UNWANTED_WORDS]
+    judged = url_rules.apply_rules(table(spark, sf, "pages"), url_rules.rule_table(spark, rules), ["page_id"])
+    return judged.select(
+        "page_id", "host", "path", F.when(F.col("hit.weight") >= url_rules.PATH_WEIGHT, F.col("hit.rule")).alias("rule"), F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"),
+    )

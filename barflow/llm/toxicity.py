@@ -73,7 +73,7 @@ def learn_stems(toxic: list[str], ordinary: list[str], ratio: float = 25.0) -> l
     if not toxic or not ordinary:
         return []
     t, o = _surroundings(toxic), _surroundings(ordinary)
-    least = max(3, len(toxic) // 60)
+    least = max(3, round(0.35 * len(toxic) ** 0.5))
     good = {s: n for s, n in t.items() if n >= least and n / len(toxic) >= ratio * (o.get(s, 0) + 0.2) / len(ordinary)}
     roots = {s for s in good if not any(s[:n] in good for n in range(LETTERS[0], len(s.rstrip())))}
     longest = set()
