@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import packing, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity, url_rules
+from barflow.llm import packing, page_diff, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity, url_rules
 from barflow.llm.common import table
 
 QUERIES: dict = {}
@@ -117,3 +117,9 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(
         "page_id", "host", "path", F.when(F.col("hit.weight") >= url_rules.PATH_WEIGHT, F.col("hit.rule")).alias("rule"), F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"),
     )
+
+
+@query("op10_page_differencing")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    found = page_diff.extract(table(spark, sf, "pages"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
