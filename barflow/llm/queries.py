@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import packing, page_diff, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity, url_rules
-from barflow.llm.common import table
+from barflow.llm import chroma, packing, page_diff, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity, url_rules
+from barflow.llm.common import map_batches, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -123,3 +125,35 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = page_diff.extract(table(spark, sf, "pages"), ["page_id", "url"])
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# Notes of the recordings that vectors are played as: samples of a note, sample rate.
+NOTE, RATE = 400, 8000
+
+
+def played(vectors: DataFrame) -> DataFrame:
+    """``vec_id, audio``: each vector as a WAV recording with a note for each component, on a scale of four octaves from its least to its greatest value."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for v in batch.column(1).to_pylist():
+            v = np.array([x for x in v or () if x is not None and np.isfinite(x)], float)
+            span = float(v.max() - v.min()) if len(v) else 0.0
+            pitch = 110.0 * 2 ** (np.round(48 * (v - v.min()) / span) / 12) if span else np.full(len(v), 110.0)
+            phase = np.cumsum(np.repeat(2 * np.pi * pitch / RATE, NOTE))
+            out.append(chroma.write_wav(0.8 * np.sin(phase), RATE))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "audio"])
+
+    return map_batches(vectors.select("vec_id", "embedding"), run, "vec_id bigint, audio binary", 64)
+
+
+@query("op3_chroma_fingerprints")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    prints = chroma.fingerprints(played(vectors), "vec_id", settings=chroma.Settings(rate=RATE, frame=2048, hop=NOTE, low=100.0, high=2000.0))
+    classes, links = chroma.align(prints, vectors.where("vec_id % 50 = 0").select("vec_id"), "vec_id")
+    best = links.groupBy("found").agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "query", "offset")).alias("best"))
+    return classes.join(best, F.col("class_id") == F.col("found"), "left").select(
+        "vec_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.query").alias("best_query"), F.col("best.offset").alias("best_offset"),
+        F.round("best.errors", 6).alias("best_errors"),
+    )
