@@ -23,10 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.llm.anchors import distinct_texts, mix, text_key
 from barflow.llm.common import kind, map_batches, settle, text_of
 from barflow.llm.components import components
 
 SEED = 42
+# How similar texts are found for a wanted share of common shingles: two fingerprints, links of 27 of their 128 bits (a pair with similarity 0.8 differs in
+# 19 on average, in more than 27 once in thirty times), anchors of four blocks of which one may differ in two bits.  Links are then checked exactly.
+SIMILAR = {"threshold": 27, "blocks": 4, "block_threshold": 2}
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -67,6 +71,19 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     return map_batches(docs.select(F.col(id_col), text_of(text_col).alias("text")), run, f"`{id_col}` {kind(docs, id_col)}, fp bigint")
 
 
+def set_fingerprints(docs: DataFrame, width: int, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep``, ``tk`` (hash of the text), ``fp`` and ``fp2`` (64 bits each) of the set of shingles of every whole text."""
+    n = len(keep)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(n + 1).to_pylist()]
+        pairs = [np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64) for hashes in (sets, [mix(h) for h in sets])]
+        return pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *map(pa.array, pairs)], [*keep, "tk", "fp", "fp2"])
+
+    fields = ", ".join([*(f"`{c}` {kind(docs, c)}" for c in keep), "tk bigint, fp bigint, fp2 bigint"])
+    return map_batches(docs.select(*keep, text_key(text_col).alias("tk"), text_of(text_col).alias("_text")), run, fields)
+
+
 class BlockCode:
     """Anchors of one block of ``width`` bits, ``shift`` bits up: a Hamming code on its low bits times all values of the rest."""
 
@@ -121,12 +138,12 @@ def _forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarr
     step = max(1, 1_000_000 // len(fps))
     for at in range(0, len(homes), step):  # rows without a link, nearly all of them, end here
         part = homes[at : at + step]
-        near = np.bitwise_count(fps[part, None, 0] ^ fps[None, :, 0]) <= threshold
+        bits = np.bitwise_count(fps[part, None, 0] ^ fps[None, :, 0])
+        for word in range(1, fps.shape[1]):
+            bits += np.bitwise_count(fps[part, None, word] ^ fps[None, :, word])
+        near = bits <= threshold
         np.put_along_axis(near, part[:, None], False, axis=1)
         x, y = np.nonzero(near)
-        if fps.shape[1] > 1 and len(x):
-            held = _distance(fps[part[x]], fps[y]) <= threshold
-            x, y = x[held], y[held]
         involved[part[x]] = involved[y] = True
     rows = np.flatnonzero(involved)
     if not len(rows):
@@ -223,3 +240,48 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, id_col:
     classes = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def similarity(a: str, b: str, width: int) -> float:
+    """Share of common shingles among all of two texts (Jaccard); two texts without words are equal."""
+    x, y = (set(shingle_hashes(t, width).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, tk, root`` of every row: rows have one ``root`` if links of ``least`` similarity or more (exact, of shingle sets) connect their texts.
+
+    Candidates are the fingerprint links of ``SIMILAR``, nearest first; ``tk`` is the hash of the text.  Null and blank texts are alike.
+    """
+    rows = settle(set_fingerprints(docs, width, [id_col], text_col), "fingerprints")
+    texts = rows.select("tk", "fp", "fp2").distinct()
+    heads = texts.groupBy("fp", "fp2").agg(F.min("tk").alias("head"))
+    same = texts.join(heads, ["fp", "fp2"]).where("tk <> head").select(F.col("head").alias("a"), F.col("tk").alias("b"))
+    found = settle(links(heads, **SIMILAR), "links")
+    ends = [heads.select(F.struct("fp", "fp2").alias(s), F.col("head").alias(f"{s}_head")) for s in "ab"]
+    far = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    pairs = settle(same.union(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    # each text once: those of any pair
+    needed = settle(
+        distinct_texts(docs, text_col).join(pairs.select(F.col("a").alias("tk")).union(pairs.select(F.col("b").alias("tk"))).distinct(), "tk", "left_semi")
+        .groupBy("tk").agg(F.any_value("text").alias("text")), "texts",
+    )
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = [similarity(x, y, width) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(good))
+
+    sides = [needed.select(F.col("tk").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
+    checked = map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b"), check, "a bigint, b bigint")
+    roots = components(settle(checked, "checked"))
+    return rows.join(roots, rows.tk == roots.node, "left").select(id_col, "tk", F.coalesce("root", "tk").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` without near-duplicates: of each group of :func:`similar_groups` the one with the smallest id stays (a null id is smallest)."""
+    groups = settle(similar_groups(docs, width, least, id_col, text_col), "groups")
+    chosen = groups.groupBy("root").agg(F.min(F.struct(id_col, "tk")).alias("k")).select(F.col("k")[id_col].alias("_id"), F.col("k.tk").alias("_tk"))
+    kept = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_tk")), "left_semi")
+    repeated = groups.groupBy(id_col, "tk").count().where("count > 1")
+    # rows that are repeated as they are have one key: one of them stays
+    return kept.dropDuplicates([id_col, text_col]) if repeated.limit(1).count() else kept

@@ -164,10 +164,11 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches:
     return family.spans(docs, text_col)
 
 
-def remove_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: int = 2, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+def remove_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: int = 2, keep: list[str] | None = None, text_col: str = "text", as_text: bool = False) -> DataFrame:
     """``keep`` (default: all columns but the text), ``n_bytes``, ``spans`` and ``kept`` (binary) of every row.
 
-    ``kept`` is the UTF-8 text without the bytes of ``spans`` (half-open, maximal, ascending); it may cut a character.  A null text is empty.
+    ``kept`` is the UTF-8 text without the bytes of ``spans`` (half-open, maximal, ascending); it may cut a character.  With ``as_text`` it is a string
+    without the rests of cut characters.  A null text is empty.
     Matches never cross documents; a repeated row is a copy.  Clashing columns of the input are replaced.
     """
     new = ("n_bytes", "spans", "kept")
@@ -182,9 +183,10 @@ def remove_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: in
             edges = [0, *(e for span in own for e in span), len(raw)]
             n_bytes.append(len(raw))
             spans.append([{"lo": lo, "hi": hi} for lo, hi in own])
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
         span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], [*keep, *new])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string() if as_text else pa.binary())], [*keep, *new])
 
     found = with_spans(docs, repeated_bytes(docs, length, gram, batches, text_col), keep, text_col)
-    return map_batches(found, run, ", ".join([*fields, "n_bytes bigint, spans array<struct<lo:int,hi:int>>, kept binary"]))
+    return map_batches(found, run, ", ".join([*fields, "n_bytes bigint, spans array<struct<lo:int,hi:int>>", "kept string" if as_text else "kept binary"]))
