@@ -112,15 +112,18 @@ class PieceModel:
         feed, lib = self.feed, self.library
         found = [self.feed[1:] + (self.merge(w[1:]) if len(w) > 1 else []) if w[0] == "\n" else self.merge(w if w[0] == MARK else MARK + w) for w in words]
         if check and words:
-            # the library puts a mark before each text; before a line feed it stands alone and is taken off
-            wholes = [feed[:1] + own if w[0] == "\n" else own for w, own in zip(words, found, strict=True)]
-            texts = [w[1:] if w[0] == MARK else w for w in words]
-            for text, own, other in zip(texts, wholes, lib.encode(texts, num_threads=1), strict=True):
-                if own != other and text:
-                    raise ValueError(f"encoding differs from the sentencepiece library for {text[:200]!r}: {own[:50]} and {other[:50]}")
-            for own, other in zip(wholes, lib.decode(wholes, num_threads=1), strict=True):
-                if self.decode(own) != other:
-                    raise ValueError(f"decoding differs from the sentencepiece library for {own[:50]}")
+            # The library puts a mark before each text; before a line feed it stands alone.  Words that blanks part are coded as if alone, so
+            # all of them are one text; chunks of several marks are texts of their own.
+            plain = [(w, feed[:1] + own if w[0] == "\n" else own) for w, own in zip(words, found, strict=True) if w[0] != MARK]
+            odd = [(w[1:], own) for w, own in zip(words, found, strict=True) if w[0] == MARK and len(w) > 1]
+            together = [(" ".join(w for w, _ in plain), [i for _, own in plain for i in own])] if plain else []
+            for text, own in [*together, *odd]:
+                other = lib.encode(text, num_threads=1)
+                if own != other:
+                    wrong = [w for w, ids in plain if lib.encode(w) != ids][:3] or [text[:200]]
+                    raise ValueError(f"encoding differs from the sentencepiece library for {wrong}")
+                if self.decode(own) != lib.decode(own):
+                    raise ValueError(f"decoding differs from the sentencepiece library for {text[:200]!r}")
         return [np.array(ids, "<i4").tobytes() for ids in found]
 
     def cut(self, text: str) -> list[str]:

@@ -248,10 +248,36 @@ def similarity(a: str, b: str, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(sets: list[np.ndarray], width_bits: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose exact similarity is ``least`` or more, the nearest fingerprints tested first.
+
+    Pairs that are already connected need no test.  Fingerprints further apart than ``width_bits`` of 128 are not tested.
+    """
+    n = len(sets)
+    fps = np.array([[fingerprint(h), fingerprint(mix(h))] for h in sets], np.uint64)
+    label, edges = np.arange(n), []
+    x, y = np.triu_indices(n, 1)
+    bits = np.concatenate([_distance(fps[i + 1 :], fps[i]) for i in range(n)]) if n > 1 else np.zeros(0, np.int16)
+    near = np.flatnonzero(bits <= width_bits)
+    x, y, bits = x[near], y[near], bits[near]
+    for level in np.unique(bits):
+        here = np.flatnonzero(bits == level)
+        here = here[label[x[here]] != label[y[here]]]
+        for i, j in zip(x[here].tolist(), y[here].tolist(), strict=True):
+            if label[i] != label[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                union = len(sets[i]) + len(sets[j]) - both
+                if not union or both >= least * union:
+                    edges.append((i, j))
+                    label[label == label[j]] = label[i]
+    return edges
+
+
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", share: int = 1000) -> DataFrame:
     """``id_col, tk, root`` of every row: rows have one ``root`` if links of ``least`` similarity or more (exact, of shingle sets) connect their texts.
 
-    Candidates are the fingerprint links of ``SIMILAR``, nearest first; ``tk`` is the hash of the text.  Null and blank texts are alike.
+    Candidates are the fingerprint links of ``SIMILAR``; texts that these connect are brought together, a group of more than ``share`` texts in pairs of
+    its shares, and checked exactly.  ``tk`` is the hash of the text.  Null and blank texts are alike.
     """
     rows = settle(set_fingerprints(docs, width, [id_col], text_col), "fingerprints")
     texts = rows.select("tk", "fp", "fp2").distinct()
@@ -260,19 +286,34 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col:
     found = settle(links(heads, **SIMILAR), "links")
     ends = [heads.select(F.struct("fp", "fp2").alias(s), F.col("head").alias(f"{s}_head")) for s in "ab"]
     far = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    pairs = settle(same.union(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # each text once: those of any pair
-    needed = settle(
-        distinct_texts(docs, text_col).join(pairs.select(F.col("a").alias("tk")).union(pairs.select(F.col("b").alias("tk"))).distinct(), "tk", "left_semi")
-        .groupBy("tk").agg(F.any_value("text").alias("text")), "texts",
-    )
+    loose = components(same.union(far))
+    members = settle(loose.union(loose.select(F.col("root").alias("node"), "root")).distinct(), "members")
+    shares = settle(members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(share)).cast("int").alias("shares")).where("shares > 1"), "shares")
+    own = F.pmod(F.col("node"), F.col("shares")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda t: F.least(t, own) * F.col("shares") + F.greatest(t, own))
+    places = members.join(shares, "root", "left").select("root", "node", F.explode(F.when(F.col("shares").isNull(), F.array(F.lit(-1))).otherwise(cells)).alias("cell"))
+    together = places.join(distinct_texts(docs, text_col), F.col("node") == F.col("tk")).select("root", "cell", "tk", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = {}, None
+
+        def edges() -> pa.RecordBatch:
+            keys = list(group)
+            pairs = _verified(list(group.values()), SIMILAR["threshold"] + 9, least)
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in pairs], pa.int64()), pa.array([keys[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = [similarity(x, y, width) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return batch.select(["a", "b"]).filter(pa.array(good))
-
-    sides = [needed.select(F.col("tk").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
-    checked = map_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b"), check, "a bigint, b bigint")
+        for batch in batches:
+            for root, cell, tk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (root, cell):
+                    if len(group) > 1:
+                        yield edges()
+                    group, key = {}, (root, cell)
+                if tk not in group:  # copies of a text
+                    group[tk] = np.unique(shingle_hashes(text, width))
+        if len(group) > 1:
+            yield edges()
+
+    checked = together.repartition("root", "cell").sortWithinPartitions("root", "cell").mapInArrow(check, "a bigint, b bigint")
     roots = components(settle(checked, "checked"))
     return rows.join(roots, rows.tk == roots.node, "left").select(id_col, "tk", F.coalesce("root", "tk").alias("root"))
 
