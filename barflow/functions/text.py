@@ -144,11 +144,11 @@ def coin_tags(title: str | Column, keywords: dict[str, Sequence[str]] | None = N
 
 
 def log_signature(line: str | Column) -> Column:
-    """Log line with volatile tokens replaced; the 240-character cut is part of the signature format."""
+    """Whole log line with volatile tokens replaced."""
     s = F.trim(_c(line))
     for pattern, token in LOG_TOKENS:
         s = F.regexp_replace(s, pattern, token)
-    return F.substring(s, 1, 240)
+    return s
 
 
 def squeeze_spaces(text: str | Column) -> Column:
@@ -203,14 +203,14 @@ def clean_news(
 ) -> DataFrame:
     """Raw feed rows in the news schema; rows without title, url or time are dropped.
 
-    500 / 120 / 8 characters are the widths of the stored columns; tone is computed on the full title.
+    Texts are kept whole: a cut URL would make different articles equal.
     """
     return (
         df.select(
-            ts.alias("ts"), F.substring(squeeze_spaces(title), 1, 500).alias("title"),
-            F.substring(F.coalesce(url, F.lit("")), 1, 500).alias("url"), F.lit(source).alias("source"),
-            F.substring(F.coalesce(language, F.lit("")), 1, 8).alias("language"), tone.alias("tone"),
-            coin.alias("coin"), F.substring(F.coalesce(domain, F.lit("")), 1, 120).alias("domain"),
+            ts.alias("ts"), squeeze_spaces(title).alias("title"),
+            F.coalesce(url, F.lit("")).alias("url"), F.lit(source).alias("source"),
+            F.coalesce(language, F.lit("")).alias("language"), tone.alias("tone"),
+            coin.alias("coin"), F.coalesce(domain, F.lit("")).alias("domain"),
         )
         .where((F.col("title") != "") & (F.col("url") != "") & F.col("ts").isNotNull())
     )

@@ -430,7 +430,7 @@ def vpin(n: int = 50) -> Feature:
     return Feature(add, n)
 
 
-def add_on_balance(df: DataFrame, s: Series, last_rows: int = 1000) -> DataFrame:
+def add_on_balance(df: DataFrame, s: Series, last_rows: int) -> DataFrame:
     """On-balance style flow (running total of signed volume) and volume change; last rows of each series."""
     d = windowed(
         df, s,

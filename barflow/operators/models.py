@@ -50,30 +50,33 @@ def score_batches(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], fe
                   out: str = "p") -> DataFrame:
     """Probability of a fitted model for every row, in Arrow batches.
 
-    Missing feature columns and nulls count as 0.  If the model expects another number of features, or
-    fails, every row gets null, so that downstream filters block (fail closed).
+    Missing feature columns and nulls count as 0.  If the model expects another number of features, or fails on a row of zeros (tried once
+    on the driver), every row gets null, so that downstream filters block (fail closed).  A failure on later input fails the job, so the
+    result does not depend on the batches.
     """
     features = list(features)
     for c in features:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(0.0))
     mismatch = expected is not None and expected != len(features)
+    if not mismatch:
+        try:
+            predict(np.zeros((1, len(features))))
+        except Exception:  # a broken model must block, not pass
+            mismatch = True
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             p = np.full(len(pdf), np.nan)
             if not mismatch:
-                try:
-                    p = np.asarray(predict(pdf[features].fillna(0).to_numpy(float)), dtype=float)
-                except Exception:  # a broken model must block, not pass
-                    p = np.full(len(pdf), np.nan)
+                p = np.asarray(predict(pdf[features].fillna(0).to_numpy(float)), dtype=float)
             yield pdf.assign(**{out: pd.Series(p, index=pdf.index).astype(object).where(~np.isnan(p), None)})
 
     return df.mapInPandas(run, schema)
 
 
-def model_signal(p: str, long_at: float = 0.55, short_at: float = 0.45):
+def model_signal(p: str, long_at: float = 0.52, short_at: float = 0.48):
     """+1 / -1 / 0 from a probability; null gives 0."""
     return F.when(F.col(p) > long_at, 1.0).when(F.col(p) < short_at, -1.0).otherwise(0.0)
 

@@ -193,12 +193,12 @@ def log_severity(line: Column, benign: str | None = None) -> Column:
     return F.when(~line.rlike(benign), kind) if benign else kind
 
 
-def error_signatures(lines: DataFrame, since: Column | None = None, benign: str | None = None) -> DataFrame:
-    """Error groups of ``lines(file, ts, id, line)``: count, first and last time, newest sample (300 characters)."""
+def error_signatures(lines: DataFrame, since: Column | None = None, benign: str | None = None, width: int | None = None) -> DataFrame:
+    """Error groups of ``lines(file, ts, id, line)``: count, first and last time, newest sample; ``width`` cuts the sample for display."""
     d = lines.withColumn("kind", log_severity(F.col("line"), benign)).where(F.col("kind").isNotNull())
     if since is not None:
         d = d.where(F.col("ts") >= since)
     return d.groupBy("kind", "file", log_signature("line").alias("signature")).agg(
         F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.max_by(F.substring(F.trim(F.col("line")), 1, 300), F.struct("ts", "id")).alias("sample"),
+        F.max_by(F.trim(F.col("line")) if width is None else F.substring(F.trim(F.col("line")), 1, width), F.struct("ts", "id")).alias("sample"),
     )

@@ -364,7 +364,7 @@ feature_query(
     o AS (SELECT *, sum(dir * volume) OVER (PARTITION BY symbol ORDER BY ts) AS obv FROM a)
     SELECT symbol, ts, {sql_round('obv, volume_delta', 4)} FROM o WHERE rk <= 1000""")
 def indicator_on_balance_flow(spark, sf):
-    return show(I.add_on_balance(bars(spark, sf), bar_series()), "obv", "volume_delta", digits=4)
+    return show(I.add_on_balance(bars(spark, sf), bar_series(), last_rows=1000), "obv", "volume_delta", digits=4)
 
 
 feature_query(

@@ -50,7 +50,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-(x[:, 0] * 0.03 - x[:, 1] * 0.02 + x[:, 2])))
 
 
-@query("model_batch_scores", f"""WITH {TICKS_SQL}, s AS (SELECT id, 1 / (1 + exp(-(volume * 0.03 - price * 0.02 + 0))) AS p FROM ticks) SELECT id, round(p, 6) + 0.0 AS p, CASE WHEN p > 0.55 THEN 1.0::DOUBLE WHEN p < 0.45 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS signal FROM s""")
+@query("model_batch_scores", f"""WITH {TICKS_SQL}, s AS (SELECT id, 1 / (1 + exp(-(volume * 0.03 - price * 0.02 + 0))) AS p FROM ticks) SELECT id, round(p, 6) + 0.0 AS p, CASE WHEN p > 0.52 THEN 1.0::DOUBLE WHEN p < 0.48 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS signal FROM s""")
 def model_batch_scores(spark, sf):
     t = ticks(spark, sf).select("id", "volume", "price")
     d = M.score_batches(t, _logistic, ["volume", "price", "absent_feature"], expected=3)

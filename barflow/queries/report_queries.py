@@ -211,11 +211,11 @@ def _sql_sig(col: str) -> str:
     s = f"trim({col})"
     for pattern, token in T.LOG_TOKENS:
         s = f"regexp_replace({s}, '{pattern}', '{token}', 'g')"
-    return f"substr({s}, 1, 240)"
+    return s
 
 
 @query("log_error_signatures", f"""WITH {LINES_SQL}, k AS (SELECT *, CASE upper(regexp_extract(line, '{R.LEVEL_PATTERN}', 1)) WHEN 'ERROR' THEN 'critical' WHEN 'CRITICAL' THEN 'critical' WHEN 'FATAL' THEN 'critical' WHEN 'WARNING' THEN 'warning' END AS kind FROM lines)
-  SELECT kind, file, {_sql_sig('line')} AS signature, count(*) AS "count", min(ts) AS first_seen, max(ts) AS last_seen, arg_max(substr(trim(line), 1, 300), ts) AS sample FROM k WHERE kind IS NOT NULL GROUP BY 1, 2, 3""")
+  SELECT kind, file, {_sql_sig('line')} AS signature, count(*) AS "count", min(ts) AS first_seen, max(ts) AS last_seen, arg_max(trim(line), ts) AS sample FROM k WHERE kind IS NOT NULL GROUP BY 1, 2, 3""")
 def log_error_signatures(spark, sf):
     return show(R.error_signatures(_lines(spark, sf)), "count", "first_seen", "last_seen", "sample", keys=("kind", "file", "signature"))
 
@@ -438,7 +438,7 @@ def book_top_levels(spark, sf):
 
 
 @query("trailing_stops", f"""WITH {TICKS_SQL}, {bars_sql()}, t AS (SELECT id, symbol, us - us % 900000000 AS eb, price AS e, CASE WHEN taker > 25 THEN 1 ELSE -1 END AS dir FROM ticks),
-  p AS (SELECT t.id, t.e, t.dir, f.ts, f.close, greatest(e, max(f.close) OVER w) AS hi, least(e, min(f.close) OVER w) AS lo FROM t JOIN bars b ON b.symbol = t.symbol AND b.ts = t.eb JOIN bars f ON f.symbol = b.symbol AND f.i BETWEEN b.i + 1 AND b.i + 48
+  p AS (SELECT t.id, t.e, t.dir, f.ts, f.close, greatest(e, max(f.close) OVER w) AS hi, least(e, min(f.close) OVER w) AS lo FROM t JOIN bars b ON b.symbol = t.symbol AND b.ts = t.eb JOIN bars f ON f.symbol = b.symbol AND f.i > b.i
     WINDOW w AS (PARTITION BY t.id ORDER BY f.ts)),
   h AS (SELECT id, min(ts) AS stop_ts FROM p WHERE CASE WHEN dir > 0 THEN close <= hi * 0.98 ELSE close >= lo * 1.02 END GROUP BY 1),
   q AS (SELECT p.id, any_value(e) AS e, any_value(dir) AS dir, max(hi) AS hi, min(lo) AS lo, any_value(stop_ts) AS stop_ts, max(CASE WHEN ts = stop_ts THEN close END) AS stop_price FROM p LEFT JOIN h USING (id) WHERE stop_ts IS NULL OR ts <= stop_ts GROUP BY 1)
@@ -592,7 +592,7 @@ def schema_coercion(spark, sf):
     return show(d, "symbol", "timeframe", "open", "close", keys=("ts",))
 
 
-@query("news_clean", """WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, source, lang FROM documents) SELECT doc_id, substr(t, 1, 500) AS title, 'https://news.test/' || doc_id AS url, 'feed' AS source, lang AS language, source AS domain, 'ALL' AS coin, 1704067200000000 + doc_id * 2580000000 // 1000000 * 1000000 AS ts FROM d WHERE t <> '' AND lang <> 'de'""")
+@query("news_clean", """WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, source, lang FROM documents) SELECT doc_id, t AS title, 'https://news.test/' || doc_id AS url, 'feed' AS source, lang AS language, source AS domain, 'ALL' AS coin, 1704067200000000 + doc_id * 2580000000 // 1000000 * 1000000 AS ts FROM d WHERE t <> '' AND lang <> 'de'""")
 def news_clean(spark, sf):
     d = news(spark, sf)
     url = F.when(F.col("lang") == "de", "").otherwise(F.concat(F.lit("https://news.test/"), F.col("id").cast("string")))

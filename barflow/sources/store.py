@@ -39,10 +39,11 @@ def register(spark: SparkSession, root: str, tables: Sequence[str] | None = None
         scan(spark, root, t).createOrReplaceTempView(t)
 
 
-def run_sql(spark: SparkSession, text: str, args: list | dict | None = None, cap: int = 10_000) -> DataFrame:
-    """Parameterised read query; without a LIMIT of its own it returns at most ``cap`` rows."""
+def run_sql(spark: SparkSession, text: str, args: list | dict | None = None, cap: int | None = None) -> DataFrame:
+    """Parameterised read query; ``cap`` limits the rows of a query that has no LIMIT of its own."""
     df = spark.sql(text, args=args)
-    return df if re.search(r"\blimit\s+\S+\s*;?\s*$", text, re.IGNORECASE) else df.limit(cap)
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", " ", text, flags=re.DOTALL)  # a LIMIT in a comment or a string is none
+    return df if cap is None or re.search(r"\blimit\b", bare, re.IGNORECASE) else df.limit(cap)
 
 
 def path_tokens(path: Column) -> tuple[Column, Column]:

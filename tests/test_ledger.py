@@ -111,3 +111,33 @@ def test_strategies_are_separate_series(spark):
     got = G.position_trades(long.withColumn("side_filter", F.lit(0.0)), s, 20).toPandas()
     a, b = (got[got.strategy == x].sort_values("entry_pos") for x in ("s1", "s2"))
     assert list(a.entry_pos) == list(b.entry_pos) and list(a.direction) == [-d for d in b.direction]
+
+
+def test_trailing_stop_has_no_holding_limit(spark):
+    import datetime as dt
+
+    from barflow.operators.trades import trailing_stops
+
+    start = dt.datetime(2025, 1, 1)
+    rng = np.random.default_rng(5)
+    closes = {"A": [100.0] * 60 + [90.0, 95.0], "B": list(100 * np.exp(np.cumsum(rng.normal(0, 0.004, 300)))), "C": []}
+    bars = [(k, start + dt.timedelta(hours=i), float(c)) for k, v in closes.items() for i, c in enumerate(v)]
+    trades = [(n, k, start + dt.timedelta(hours=int(i)), 100.0 + n % 3, d) for n, (k, i, d) in enumerate((k, i, d) for k in "ABC" for i in (0, 7, 50, 61, 299, 400) for d in (1, -1))]
+    df = spark.createDataFrame(trades, "id long, symbol string, entry_bar timestamp, entry_price double, direction int")
+    got = {r["id"]: r for r in trailing_stops(df, spark.createDataFrame(bars, "symbol string, ts timestamp, close double"), Series.on_grid(["symbol"], "ts", 3600), 2.0).collect()}
+    assert len(got) == len(trades)
+    for n, k, bar, entry, d in trades:
+        at = int((bar - start).total_seconds() // 3600)
+        high = low = entry
+        stop = None
+        for i in range(at + 1, len(closes[k])) if at < len(closes[k]) else ():
+            c = closes[k][i]
+            high, low = max(high, c), min(low, c)
+            if (c <= high * 0.98) if d > 0 else (c >= low * 1.02):
+                stop = (start + dt.timedelta(hours=i), c)
+                break
+        r = got[n]
+        assert (r["stop_ts"], r["stop_price"]) == (stop or (None, None))
+        best, worst = (high / entry - 1, low / entry - 1) if d > 0 else (1 - low / entry, 1 - high / entry)
+        assert abs(r["mfe_pct"] - 100 * max(best, 0)) < 1e-9 and abs(r["mae_pct"] - 100 * min(worst, 0)) < 1e-9
+    assert got[0]["stop_ts"] == start + dt.timedelta(hours=60)

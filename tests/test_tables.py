@@ -184,6 +184,9 @@ def test_row_cap_unless_the_query_has_its_own(spark):
     spark.range(50).createOrReplaceTempView("many")
     assert store.run_sql(spark, "SELECT * FROM many", cap=10).count() == 10
     assert store.run_sql(spark, "SELECT * FROM many LIMIT 20", cap=10).count() == 20
+    assert store.run_sql(spark, "SELECT * FROM many LIMIT 20 OFFSET 0 -- all", cap=10).count() == 20
+    assert store.run_sql(spark, "SELECT * FROM many -- limit 5", cap=10).count() == 10
+    assert store.run_sql(spark, "SELECT * FROM many").count() == 50
 
 
 def test_upsert_rewrites_only_touched_months(spark, tmp_path):
