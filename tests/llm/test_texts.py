@@ -126,7 +126,7 @@ def test_any_ids_decode_like_the_library():
 
 def test_a_difference_from_the_library_fails():
     model = piece_bpe.PieceModel(MODEL)
-    model.rank = {p: 40_000 - r for p, r in model.rank.items()}
+    model.rank = {}
     with pytest.raises(ValueError, match="differs"):
         model.encode_batch(["international relations"], True)
 
