@@ -17,8 +17,10 @@ No step needs a task to hold more than one cut or one block (plus halo).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -42,12 +44,18 @@ class GridCuts:
         return df.withColumn(out, F.expr(f"floor(unix_micros(`{order[0]}`) / {width}L)"))
 
 
+# Sub-cuts that are compared at once when a row's sub-cut is looked up.
+STRIDE = 48
+# Quantiles of the tie-break column that one heavy instant can be cut at.
+MOST_SUBCUTS = 2_048
+
+
 @dataclass(frozen=True)
 class DepthCuts:
     """Equal-depth cuts from sampled quantiles: any (series, cut) holds about 1/n of the rows.
 
-    ``splits`` cut the time axis; ``ties`` lists instants that alone hold more
-    than one cut's share, with the quantiles of the tie-break column inside them.
+    ``splits`` cut the time axis.  An instant that alone holds more than one cut's share is itself a split; ``ties`` has, for such
+    instants, the quantiles of the tie-break column inside them.
     """
 
     splits: tuple[float, ...] = ()
@@ -62,60 +70,68 @@ class DepthCuts:
             ).transform(df)
         else:
             df = df.withColumn("_slice", F.lit(0.0))
-        sub = F.lit(0)
-        if len(order) > 1:
-            tie = F.col(order[1]).cast("double")
-            for at, bounds in self.ties:
-                inside = F.lit(1)
-                for b in bounds:
-                    inside = inside + (tie >= b).cast("int")
-                # rows of the same slice after the heavy instant must sort behind its sub-cuts
-                sub = F.when(F.col("_at") == at, inside).when(
-                    (F.col("_at") > at) & (F.col("_slice") == _slice_of(self.splits, at)), len(bounds) + 2
-                ).otherwise(sub)
-        return df.withColumn(out, (F.col("_slice") * 1_000 + sub).cast("bigint")).drop("_at", "_slice")
+        sub = F.lit(0).cast("bigint")
+        if len(order) > 1 and self.ties:
+            # literal arrays by slice (a heavy instant is the first of its slice); the bounds of all instants lie end to end in one array
+            inside = dict(self.ties)
+            lists = [list(inside.get(at, ())) for at in (None, *self.splits)]
+            coarse = [x[STRIDE - 1 :: STRIDE] for x in lists]
+            heavy = _literal([at if at in inside else None for at in (None, *self.splits)], "double")
+            at_slice = lambda parts: F.get(_literal(list(accumulate((len(x) for x in parts[:-1]), initial=0)), "int"), F.col("_slice").cast("int"))
+            size = lambda parts: F.get(_literal([len(x) for x in parts], "int"), F.col("_slice").cast("int"))
+            flat = lambda parts: _literal([b for x in parts for b in x], "double")
+            below = lambda bounds: F.size(F.filter(bounds, lambda b: F.col("_cut_tie") >= b))
+            df = df.withColumns({"_cut_heavy": F.get(heavy, F.col("_slice").cast("int")), "_cut_tie": order_value(df, order[1])})
+            df = df.withColumn("_cut_skip", below(F.slice(flat(coarse), at_slice(coarse) + 1, size(coarse))) * STRIDE)
+            own = F.col("_cut_skip") + below(F.slice(flat(lists), at_slice(lists) + F.col("_cut_skip") + 1, F.greatest(F.lit(0), F.least(F.lit(STRIDE), size(lists) - F.col("_cut_skip")))))
+            # rows of the slice after the heavy instant sort behind its sub-cuts
+            sub = F.when(F.col("_at") == F.col("_cut_heavy"), own.cast("bigint")).when(F.col("_at") > F.col("_cut_heavy"), F.lit(2**31)).otherwise(sub)
+        return df.withColumn(out, F.col("_slice").cast("bigint") * 2**32 + sub).drop("_at", "_slice", "_cut_heavy", "_cut_tie", "_cut_skip")
 
 
 Cuts = GridCuts | DepthCuts
 
 
-def _slice_of(splits: Sequence[float], at: float) -> float:
-    return float(sum(1 for s in splits if at >= s))
+def _literal(values: Sequence, kind: str) -> Column:
+    """An array literal (one parsed text, not a column for each value)."""
+    return F.expr(f"cast(array({', '.join('null' if v is None else f'{v!r}D' if kind == 'double' else str(v) for v in values)}) as array<{kind}>)")
 
 
 def order_value(df: DataFrame, name: str) -> Column:
-    """The leading order column as a double (microseconds for timestamps)."""
+    """An order column as a double: microseconds for timestamps, the first six bytes for strings (equal beginnings stay together)."""
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if kind == "date":
         return F.unix_date(name).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
 def depth_cuts(df: DataFrame, order: Sequence[str], n: int | None = None) -> DepthCuts:
-    """Sample the order column (one column-pruned pass) and return equal-depth cuts.
+    """Equal-depth cuts by two column-pruned passes at most: quantiles of the order column, and those of the tie-break column in heavy instants.
 
-    Same idea as the sampling pass of a distributed sort; only ``n`` numbers
-    come back to the driver.
+    Same idea as the sampling pass of a distributed sort; about ``n`` numbers come back to the driver.
     """
     n = n or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n == 1:
         return DepthCuts()
-    probe = df.select(order_value(df, order[0]).alias("_at"), *[F.col(c) for c in order[1:2]])
-    raw = probe.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n)
-    heavy = sorted({v for v in raw if raw.count(v) >= 2})
+    probe = df.select(order_value(df, order[0]).alias("_at"), *[order_value(df, c).alias("_tie") for c in order[1:2]])
+    shares = Counter(probe.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n))
+    heavy = {at: count for at, count in shares.items() if count >= 2}
     ties = []
     if heavy and len(order) > 1:
-        for at in heavy:
-            share = raw.count(at)
-            inner = (
-                probe.where(F.col("_at") == at)
-                .select(F.col(order[1]).cast("double").alias("_tie"))
-                .approxQuantile("_tie", [i / share for i in range(1, share)], 0.25 / share)
-            )
-            ties.append((at, tuple(sorted(set(inner)))))
-    return DepthCuts(tuple(sorted(set(raw))), tuple(ties))
+        m = min(MOST_SUBCUTS, max(heavy.values()))
+        found = (
+            probe.join(F.broadcast(df.sparkSession.createDataFrame([(at,) for at in heavy], "_at double")), "_at")  # n / 2 instants at most
+            .groupBy("_at").agg(F.percentile_approx("_tie", [i / m for i in range(1, m)], max(1_000, 4 * m)).alias("_q")).collect()
+        )
+        for r in found:
+            share = min(heavy[r["_at"]], m)
+            if r["_q"]:
+                ties.append((r["_at"], tuple(sorted({float(r["_q"][i * m // share - 1]) for i in range(1, share)}))))
+    return DepthCuts(tuple(sorted(shares)), tuple(sorted(ties)))
 
 
 @dataclass(frozen=True)

@@ -169,3 +169,20 @@ def test_asof_with_a_crowded_instant(spark):
     right = pd.DataFrame({"k": "a", "ts": pd.to_datetime(["2023-12-31", "2024-01-02", "2024-01-04"]), "v": [1.0, 2.0, 3.0]})
     got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "ts", "ts", ["v"]).toPandas()
     assert got.groupby("ts")["v"].agg(["min", "max", "count"]).to_numpy().tolist() == [[1, 1, 20], [2, 2, 900], [2, 2, 20]]
+
+
+@pytest.mark.parametrize("tie", ["long", "string"])
+@pytest.mark.parametrize("instants,n", [(1, 2400), (500, 2000)])
+def test_crowded_instants_are_cut(spark, instants, n, tie):
+    from barflow.plans.ordered import depth_cuts
+
+    rows = 8000
+    at = F.when(F.col("id") % 4 < 3, (F.col("id") % instants) * 1000).otherwise(F.col("id") * 7).cast("long")
+    df = spark.range(rows).select(at.alias("ts"), F.lpad(F.xxhash64("id").cast("string"), 20, "0").alias("u") if tie == "string" else F.xxhash64("id").alias("u"))
+    cut = depth_cuts(df, ["ts", "u"], n).apply(df, ["ts", "u"]).cache()
+    assert cut.columns == ["ts", "u", "_cut"]
+    # cuts follow the order, and none is much larger than its share
+    got = [r["_cut"] for r in cut.orderBy("ts", "u").collect()]
+    assert got == sorted(got)
+    if tie == "long":
+        assert cut.groupBy("_cut").count().agg(F.max("count")).first()[0] <= max(60, 12 * rows / n)
