@@ -46,7 +46,8 @@ class WordCoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        cut = [_GAP.findall(t) for t in texts]
+        # split() also parts words at four separators that the tokenizer does not take for white space
+        cut = [_GAP.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         coded = [list(map(known.get, words)) for words in cut]
         new = list({w for words, codes in zip(cut, coded, strict=True) if None in codes for w, code in zip(words, codes, strict=True) if code is None})
         if new:
