@@ -28,10 +28,12 @@ from barflow.llm.common import kind, map_batches, settle, text_of
 from barflow.llm.components import components
 
 SEED = 42
-# How similar texts are found for a wanted share of common shingles: two fingerprints, links of 27 of their 128 bits (a pair with similarity 0.8 differs in
-# 19 on average, in more than 27 once in thirty times), anchors of four blocks of which one may differ in two bits.  Links are then checked exactly.
-SIMILAR = {"threshold": 27, "blocks": 4, "block_threshold": 2}
+# How similar texts are found for a wanted share of common shingles: four fingerprints, links of 29 of the first two's 128 bits (a pair with similarity 0.8
+# differs in 19 on average, in more than 29 once in a hundred times), anchors of the 16 blocks of all four, one of which may differ in one bit (one pair in
+# two hundred at 0.8 has none such).  Links are then checked exactly.
+SIMILAR = {"threshold": 29, "blocks": 4, "block_threshold": 1}
 BITS = 64
+WORDS = ("fp", "fp2", "fp3", "fp4")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -72,15 +74,18 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
 
 
 def set_fingerprints(docs: DataFrame, width: int, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, ``tk`` (hash of the text), ``fp`` and ``fp2`` (64 bits each) of the set of shingles of every whole text."""
+    """``keep``, ``tk`` (hash of the text), ``fp`` to ``fp4`` (64 bits each) of the set of shingles of every whole text."""
     n = len(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(n + 1).to_pylist()]
-        pairs = [np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64) for hashes in (sets, [mix(h) for h in sets])]
-        return pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *map(pa.array, pairs)], [*keep, "tk", "fp", "fp2"])
+        words = []
+        for _ in WORDS:
+            words.append(np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64))
+            sets = [mix(h) for h in sets]
+        return pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *map(pa.array, words)], [*keep, "tk", *WORDS])
 
-    fields = ", ".join([*(f"`{c}` {kind(docs, c)}" for c in keep), "tk bigint, fp bigint, fp2 bigint"])
+    fields = ", ".join([*(f"`{c}` {kind(docs, c)}" for c in keep), "tk bigint", *(f"{c} bigint" for c in WORDS)])
     return map_batches(docs.select(*keep, text_key(text_col).alias("tk"), text_of(text_col).alias("_text")), run, fields)
 
 
@@ -165,25 +170,25 @@ def _forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarr
 
 
 def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_threshold: int | None = None, crowd: int = 4096) -> DataFrame:
-    """Links ``a, b`` (a < b) between the distinct rows of the columns ``fp``, ``fp2``, ... (64 bits each) within ``threshold`` bits.
+    """Links ``a, b`` (a < b) between the distinct rows of the columns ``fp``, ``fp2`` (64 bits each) within ``threshold`` bits.
 
     They are minimum spanning forests of the links at each anchor, so they connect all that the links connect and hold every
-    link of a minimum spanning forest of them all.  Anchors are those of ``fp``.  Without ``block_threshold`` (bits that may differ in a
-    block) no link is missed.  ``a`` and ``b`` are structs of the fingerprint columns, or plain longs if there is one.
+    link of a minimum spanning forest of them all.  Blocks of ``fp`` to ``fp4``, as far as there are such columns, have anchors.  Without
+    ``block_threshold`` (bits that may differ in a block) no link of ``fp`` alone is missed.  ``a`` and ``b`` are structs of the fingerprint columns, or plain longs if there is one.
     """
-    names = [c for c in ("fp", "fp2", "fp3", "fp4") if c in distinct.columns]
+    anchored = [c for c in WORDS if c in distinct.columns]
+    names = anchored[:2]
     width, n = len(names), len(names)
     codes = block_codes(threshold if block_threshold is None else block_threshold * blocks, blocks)
 
     def replicate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        parts = [code.anchors(fps) for code in codes]
+        parts = [code.anchors(c.to_numpy().view(np.uint64)) for c in batch.columns for code in codes]
         row = pa.array(np.concatenate([r for r, _, _ in parts]))
         anchor = np.concatenate([a + (np.int64(i) << 32) for i, (_, a, _) in enumerate(parts)])
-        return pa.RecordBatch.from_arrays([pa.array(anchor), *[c.take(row) for c in batch.columns], pa.array(np.concatenate([h for _, _, h in parts]))], ["anchor", *names, "home"])
+        return pa.RecordBatch.from_arrays([pa.array(anchor), *[c.take(row) for c in batch.columns[:n]], pa.array(np.concatenate([h for _, _, h in parts]))], ["anchor", *names, "home"])
 
     fields = ", ".join(f"{c} bigint" for c in names)
-    spread = map_batches(distinct.select(*names), replicate, f"anchor bigint, {fields}, home boolean", 2048)
+    spread = map_batches(distinct.select(*anchored), replicate, f"anchor bigint, {fields}, home boolean", 2048)
     crowded = spread.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(crowd)).cast("int").alias("shares")).where("shares > 1")
     shares = settle(crowded, "crowded")  # written first, so that its size decides how it is joined
     share = F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")
@@ -280,8 +285,8 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col:
     its shares, and checked exactly.  ``tk`` is the hash of the text.  Null and blank texts are alike.
     """
     rows = settle(set_fingerprints(docs, width, [id_col], text_col), "fingerprints")
-    texts = rows.select("tk", "fp", "fp2").distinct()
-    heads = texts.groupBy("fp", "fp2").agg(F.min("tk").alias("head"))
+    texts = rows.select("tk", *WORDS).distinct()
+    heads = texts.groupBy("fp", "fp2").agg(F.min("tk").alias("head"), *[F.min_by(c, "tk").alias(c) for c in WORDS[2:]])
     same = texts.join(heads, ["fp", "fp2"]).where("tk <> head").select(F.col("head").alias("a"), F.col("tk").alias("b"))
     found = settle(links(heads, **SIMILAR), "links")
     ends = [heads.select(F.struct("fp", "fp2").alias(s), F.col("head").alias(f"{s}_head")) for s in "ab"]
@@ -299,7 +304,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col:
 
         def edges() -> pa.RecordBatch:
             keys = list(group)
-            pairs = _verified(list(group.values()), SIMILAR["threshold"] + 9, least)
+            pairs = _verified(list(group.values()), SIMILAR["threshold"] + 7, least)
             return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in pairs], pa.int64()), pa.array([keys[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
