@@ -52,19 +52,18 @@ def code(word: str) -> bytes:
     return b"".join(parts) + (xxhash.xxh32_digest(word) if word.endswith(" ") else b"")
 
 
-def _surroundings(texts: list[str]) -> dict[str, int]:
-    """In how many different surroundings (neighbour words of the first use in a text) each stem is found: copies count once."""
+def _surroundings(texts: list[str], only: set[str]) -> dict[str, int]:
+    """In how many different surroundings (neighbour words of the first use in a text) the stems ``only`` are found: copies count once."""
     seen = defaultdict(set)
     for text in texts:
         words, own = words_of(text), set()
         for i, w in enumerate(words):
             if w not in own:
                 own.add(w)
-                around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
                 for s in stems(w):
-                    if s not in own:
+                    if s not in own and s in only:
                         own.add(s)
-                        seen[s].add(around)
+                        seen[s].add(hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")))
     return {s: len(v) for s, v in seen.items()}
 
 
@@ -72,8 +71,11 @@ def learn_stems(toxic: list[str], ordinary: list[str], ratio: float = 25.0) -> l
     """Stems that are at least ``ratio`` times as frequent in toxic texts, the commonest last."""
     if not toxic or not ordinary:
         return []
-    t, o = _surroundings(toxic), _surroundings(ordinary)
     least = max(3, round(0.35 * len(toxic) ** 0.5))
+    texts = Counter(s for text in toxic for s in {s for w in set(words_of(text)) for s in stems(w)})
+    common = {s for s, n in texts.items() if n >= least}
+    del texts
+    t, o = _surroundings(toxic, common), _surroundings(ordinary, common)
     good = {s: n for s, n in t.items() if n >= least and n / len(toxic) >= ratio * (o.get(s, 0) + 0.2) / len(ordinary)}
     roots = {s for s in good if not any(s[:n] in good for n in range(LETTERS[0], len(s.rstrip())))}
     longest = set()
