@@ -169,12 +169,13 @@ def _forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarr
     return rows[np.array(a, int)], rows[np.array(b, int)]
 
 
-def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_threshold: int | None = None, crowd: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_threshold: int | None = None, crowd: int = 4096, stars: bool = False) -> DataFrame:
     """Links ``a, b`` (a < b) between the distinct rows of the columns ``fp``, ``fp2`` (64 bits each) within ``threshold`` bits.
 
     They are minimum spanning forests of the links at each anchor, so they connect all that the links connect and hold every
     link of a minimum spanning forest of them all.  Blocks of ``fp`` to ``fp4``, as far as there are such columns, have anchors.  Without
-    ``block_threshold`` (bits that may differ in a block) no link of ``fp`` alone is missed.  ``a`` and ``b`` are structs of the fingerprint columns, or plain longs if there is one.
+    ``block_threshold`` (bits that may differ in a block) no link of ``fp`` alone is missed.  With ``stars`` each tree of a forest is told as pairs with its
+    smallest row instead: these connect the same, and are mostly the same at all anchors of a group.  ``a`` and ``b`` are structs of the fingerprint columns, or plain longs if there is one.
     """
     anchored = [c for c in WORDS if c in distinct.columns]
     names = anchored[:2]
@@ -211,6 +212,16 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_thresh
                 home = group[lo:hi, -1].astype(bool)
                 if hi - lo > 1 and home.any():
                     x, y = _forest(np.ascontiguousarray(group[lo:hi, 2 : 2 + width]).view(np.uint64), home, threshold)
+                    if stars and len(x):
+                        tree: dict[int, int] = {}
+                        for parent, child in zip(x.tolist(), y.tolist(), strict=True):  # parents come before their children
+                            tree[child] = tree.setdefault(parent, parent)
+                        least: dict[int, int] = {}
+                        for row in np.lexsort(group[lo:hi, 2 : 2 + width].T[::-1]).tolist():
+                            if row in tree:
+                                least.setdefault(tree[row], row)
+                        pairs = [(least[t], row) for row, t in tree.items() if least[t] != row]
+                        x, y = np.array(pairs, int).T
                     if len(x):
                         found.append(np.concatenate([group[lo + x, 2 : 2 + width], group[lo + y, 2 : 2 + width]], axis=1))
             if found:
@@ -288,7 +299,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col:
     texts = rows.select("tk", *WORDS).distinct()
     heads = texts.groupBy("fp", "fp2").agg(F.min("tk").alias("head"), *[F.min_by(c, "tk").alias(c) for c in WORDS[2:]])
     same = texts.join(heads, ["fp", "fp2"]).where("tk <> head").select(F.col("head").alias("a"), F.col("tk").alias("b"))
-    found = settle(links(heads, **SIMILAR), "links")
+    found = settle(links(heads, **SIMILAR, stars=True), "links")
     ends = [heads.select(F.struct("fp", "fp2").alias(s), F.col("head").alias(f"{s}_head")) for s in "ab"]
     far = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     loose = components(same.union(far))
