@@ -10,7 +10,6 @@ so copies share their result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import map_batches, text_of
+from barflow.llm.common import map_batches, settle, text_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -143,54 +142,38 @@ def text_key(text_col: str = "text") -> Column:
     return F.xxhash64(text_of(text_col))
 
 
-def scan(occurrences: DataFrame, runs: Runs) -> DataFrame:
-    """Bring equal grams together, in the order of (gram, context), and tell what repeats.
+def apart(keys: DataFrame) -> DataFrame:
+    """Counted keys dealt out otherwise than by key: the join to their rows then shuffles both sides itself, and only such a join is split where it is crowded."""
+    return keys.repartition(F.xxhash64(F.lit(1), *keys.columns))
 
-    ``occurrences`` has ``OCCURRENCE`` and ``old`` boolean (rows of an existing index).  Returns rows of three kinds:
-    0, each distinct context of the new rows, with its number of ``copies``; 1, a text whose whole context there occurs elsewhere too;
-    2, a context with unlike contexts around the same gram (one of them new): these may share parts.
+
+def scan(occurrences: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tell what repeats: (distinct contexts of the new rows with their number of ``copies``, found).
+
+    ``occurrences`` and ``old`` (rows of an existing index) have ``OCCURRENCE``.  ``found`` has rows of two kinds: 1, a text whose whole context there occurs
+    elsewhere too; 2, a context with unlike contexts around the same gram (one of them new): these may share parts.
+
+    No task holds the group of a gram: grams, then their contexts, are counted on the map side first, and the counts are joined to the rows, whose
+    crowded partitions Spark can split.  Only rows of grams that occur twice go beyond the first join.
     """
-    kinds = "kind tinyint, " + OCCURRENCE
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def tell(rows: np.ndarray) -> pa.RecordBatch:
-            g, c, copies, old = rows[:, 0], rows[:, 1], rows[:, 5], rows[:, 6]
-            new_g = np.r_[True, g[1:] != g[:-1]]
-            new_c = new_g | np.r_[True, c[1:] != c[:-1]]
-            context, group = np.cumsum(new_c) - 1, np.cumsum(new_g) - 1
-            first = np.flatnonzero(new_c)
-            total = np.bincount(context, copies).astype(np.int64)
-            whole = total[context] > 1
-            # a text that the index has counted as repeated needs no second mention
-            one = rows[whole & ~((old == 1) & (copies > 1))]
-            added = np.bincount(context, old == 0) > 0
-            unlike = (np.bincount(group[first])[group[first]] > 1) & (np.bincount(group, old == 0) > 0)[group[first]]
-            level = rows[first][added].copy()
-            level[:, 5] = total[added]
-            two = rows[first][unlike].copy()
-            two[:, 5] = total[unlike]
-            out = np.concatenate([level, one, two])
-            kind = np.repeat(np.arange(3, dtype=np.int8), [len(level), len(one), len(two)])
-            types = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32]
-            return pa.RecordBatch.from_arrays([pa.array(kind), *[pa.array(out[:, i].astype(t)) for i, t in enumerate(types)]], ["kind", "g", "c", "tk", "tl", "pos", "copies"])
-
-        for batch in batches:
-            rows = np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns], axis=1)
-            if not len(rows):
-                continue
-            before = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-            cut = before[-1] + 1 if len(before) else 0  # the last gram may go on in the next batch
-            if cut or held and held[-1][-1, 0] != rows[0, 0]:
-                yield tell(np.concatenate([*held, rows[:cut]]))
-                held = []
-            held.append(rows[cut:])
-        if held:
-            yield tell(np.concatenate(held))
-
-    ordered = occurrences.select("g", "c", "tk", "tl", "pos", "copies", F.col("old").cast("int")).repartition("g").sortWithinPartitions("g", "c")
-    return ordered.mapInArrow(run, kinds)
+    rows = occurrences.withColumn("old", F.lit(False))
+    if old is not None:
+        rows = rows.union(old.withColumn("old", F.lit(True)))
+    twice = apart(rows.groupBy("g").agg(F.sum("copies").alias("n")).where("n > 1").select("g"))
+    told = settle(rows.join(twice.withColumn("again", F.lit(True)), "g", "left"), "grams")
+    again = told.where("again")
+    contexts = settle(
+        again.groupBy("g", "c").agg(F.min(F.struct("tk", "tl", "pos")).alias("at"), F.sum("copies").cast("int").alias("copies"), F.max(~F.col("old")).alias("added"))
+        .select("g", "c", "at.tk", "at.tl", "at.pos", "copies", "added"),
+        "contexts",
+    )
+    columns = ["g", "c", "tk", "tl", "pos", "copies"]
+    level = told.where("again is null and not old").select(*columns).union(contexts.where("added").select(*columns))
+    # a text that the index has counted as repeated needs no second mention
+    whole = again.where("not (old and copies > 1)").join(contexts.where("copies > 1").select("g", "c"), ["g", "c"])
+    unlike = apart(contexts.groupBy("g").agg(F.count("*").alias("n"), F.max("added").alias("new")).where("n > 1 and new").select("g"))
+    found = whole.select(F.lit(1).cast("tinyint").alias("kind"), *columns).union(contexts.join(unlike, "g").select(F.lit(2).cast("tinyint").alias("kind"), *columns))
+    return level, settle(found, "found")
 
 
 def whole_spans(found: DataFrame, runs: Runs) -> DataFrame:
@@ -199,6 +182,13 @@ def whole_spans(found: DataFrame, runs: Runs) -> DataFrame:
     return found.where("kind = 1").select("tk", "tl", lo.alias("lo"), hi.alias("hi")).where(F.col("hi") - F.col("lo") >= runs.length)
 
 
+def repeated(windows: DataFrame, runs: Runs) -> DataFrame:
+    """Spans ``tk, tl, lo, hi`` of those ``windows`` (``h1, h2, tk, tl, lo``) whose hashes are found at two places."""
+    place = F.struct("tk", "lo")
+    twice = apart(windows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h1", "h2"))
+    return windows.join(twice, ["h1", "h2"]).select("tk", "tl", "lo", (F.col("lo") + runs.length).alias("hi"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of half-open spans as maximal ones."""
     out: list[list[int]] = []

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.anchors import Rolling, Runs, at_texts, mix, own_spans, scan, whole_spans, with_spans
-from barflow.llm.common import kind, map_batches, settle
+from barflow.llm.anchors import Rolling, Runs, at_texts, mix, own_spans, repeated, scan, whole_spans, with_spans
+from barflow.llm.common import kind, map_batches
 
 
 def _windows(around: DataFrame, runs: Runs) -> DataFrame:
@@ -43,12 +43,9 @@ def _windows(around: DataFrame, runs: Runs) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 12, text_col: str = "text") -> DataFrame:
     """``tk, tl, lo, hi``: word spans of each text that are covered by repeated windows (not merged)."""
     runs = Runs(window, gram, True)
-    found = settle(scan(runs.occurrences(docs, text_col).withColumn("old", F.lit(False)), runs).where("kind > 0"), "anchors")
+    _, found = scan(runs.occurrences(docs, text_col))
     windows = _windows(at_texts(found.where("kind = 2").select("tk", "tl", "pos"), docs, text_col), runs)
-    place = F.struct("tk", "lo")
-    twice = windows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h1", "h2")
-    parts = windows.join(twice, ["h1", "h2"]).select("tk", "tl", "lo", (F.col("lo") + window).alias("hi"))
-    return whole_spans(found, runs).union(parts)
+    return whole_spans(found, runs).union(repeated(windows, runs))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

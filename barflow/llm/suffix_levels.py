@@ -12,22 +12,27 @@ the documents.  A level of the family is such an array as a sorted Parquet table
 Unsettled neighbours are settled byte by byte: their contexts are sorted lexicographically (the suffixes, and the reversed prefixes),
 and for each split of a run into a part before and a part from the anchor on, two contexts share that run just if the common
 prefixes in both orders reach that far.
+
+Groups of more than ``TOGETHER`` neighbours are never held by one task, but settled run by run: the runs through an anchor that start near it, and those
+that start further before it, each have bytes in common; where unlike contexts share these, all runs of that half are hashed (96 bits) and counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.anchors import OCCURRENCE, Runs, at_texts, own_spans, scan, text_key, whole_spans, with_spans
+from barflow.llm.anchors import OCCURRENCE, Rolling, Runs, apart, at_texts, mix, own_spans, repeated, scan, text_key, whole_spans, with_spans
 from barflow.llm.common import kind, map_batches, settle
 
-# Contexts that are settled together (whole groups; a larger group is settled alone).
+# Contexts that are settled together by sorting, as whole groups; a gram with more unlike contexts is settled by counting.
 TOGETHER = 20_000
 
 
@@ -70,27 +75,68 @@ def settle_contexts(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_r
     return before, after
 
 
-def _settled(around: DataFrame, runs: Runs) -> DataFrame:
-    """Spans ``tk, tl, lo, hi`` of unsettled contexts that share runs."""
+def _pieces(around: DataFrame, runs: Runs) -> DataFrame:
+    """``large, g, c, tk, tl, lo, raw``: the context of each unsettled anchor, at ``lo``, or (``large``) both halves of the runs through it.
+
+    A run through an anchor starts at most ``half`` bytes before it, or further.  All runs of the first half hold the bytes from the anchor to where the shortest of
+    them ends, those of the second the bytes from where the latest starts to the end of the gram; ``g`` is then the hash of these bytes,
+    and ``raw`` are the bytes that the runs of the half cover, from place ``lo`` on.
+    """
     reach = runs.length - runs.gram
+    half = reach // 2
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for tk, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            rows += [(p["g"], p["c"], tk, p["tl"], p["pos"], raw[max(0, p["pos"] - reach) : p["pos"] + runs.length]) for p in places if p["tl"] == len(raw)]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["g", "c", "tk", "tl", "pos", "context"])
+            for p in places:
+                pos, tl = p["pos"], len(raw)
+                if p["tl"] != tl:
+                    continue
+                if not p["large"]:
+                    rows.append((False, p["g"], p["c"], tk, tl, pos, raw[max(0, pos - reach) : pos + runs.length]))
+                    continue
+                # (side, starts before the anchor from and to, bytes that all of these runs hold)
+                for side, far, near, held in ((0, half, 0, (pos, pos + runs.length - half)), (1, reach, half + 1, (pos - half - 1, pos + runs.gram))):
+                    first, last = max(0, pos - far), min(pos - near, tl - runs.length)
+                    if first <= last:
+                        h = xxhash.xxh64_intdigest(raw[held[0] : held[1]], seed=side) - 2**63
+                        rows.append((True, h, p["c"], tk, tl, first, raw[first : last + runs.length]))
+        types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["large", "g", "c", "tk", "tl", "lo", "raw"])
+
+    return map_batches(around, fetch, "large boolean, g bigint, c bigint, tk bigint, tl int, lo int, raw binary")
+
+
+def _windows(halves: DataFrame, runs: Runs) -> DataFrame:
+    """``h1, h2, tk, tl, lo`` of all runs in ``raw``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raws = batch.column(3).to_pylist()
+        values, ends = runs.tokens(raws)
+        sizes = np.diff(ends) - runs.length + 1
+        own = np.repeat(np.arange(len(raws)), sizes)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = ends[own] + step
+        h1 = mix(Rolling(values)(at, at + runs.length)).view(np.int64)
+        h2 = mix(Rolling(mix(values + np.uint64(1)))(at, at + runs.length)).astype(np.uint32).view(np.int32)
+        tk, tl, lo = (batch.column(i).to_numpy()[own] for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, tk, tl, (lo + step).astype(np.int32))], ["h1", "h2", "tk", "tl", "lo"])
+
+    return map_batches(halves.select("tk", "tl", "lo", "raw"), run, "h1 bigint, h2 int, tk bigint, tl int, lo int")
+
+
+def _sorted(contexts: DataFrame, runs: Runs) -> DataFrame:
+    """Spans ``tk, tl, lo, hi`` of contexts of small groups that share runs."""
+    reach = runs.length - runs.gram
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            c, pos, tl = t["c"].to_numpy(), t["pos"].to_numpy().astype(np.int64), t["tl"].to_numpy().astype(np.int64)
-            first = np.sort(np.unique(np.stack([t["g"].to_numpy(), c], axis=1), axis=0, return_index=True)[1])  # copies of a context
-            texts = t["context"].take(pa.array(first)).to_pylist()
-            pos, tl, tk = pos[first], tl[first], t["tk"].to_numpy()[first]
+            texts, tk = t["raw"].to_pylist(), t["tk"].to_numpy()
+            pos, tl = t["lo"].to_numpy().astype(np.int64), t["tl"].to_numpy().astype(np.int64)
             n_left, n_right = np.minimum(pos, reach), np.minimum(tl - pos, runs.length)
             size = reach + runs.length
             # the anchor of every context at the same column
@@ -100,8 +146,13 @@ def _settled(around: DataFrame, runs: Runs) -> DataFrame:
             columns = [tk[hit], tl[hit].astype(np.int32), (pos - before)[hit].astype(np.int32), (pos + after)[hit].astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["tk", "tl", "lo", "hi"])
 
-        n = 0
+        n, last = 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)  # copies of a context follow each other
+            fresh = np.r_[last is None or bool((keys[0] != last).any()), (keys[1:] != keys[:-1]).any(axis=1)]
+            batch, last = batch.filter(pa.array(fresh)), keys[-1]
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
                 g = part.column(0).to_numpy()
@@ -116,8 +167,25 @@ def _settled(around: DataFrame, runs: Runs) -> DataFrame:
         if held:
             yield spans(held)
 
-    rows = map_batches(around, fetch, "g bigint, c bigint, tk bigint, tl int, pos int, context binary")
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(match, "tk bigint, tl int, lo int, hi int")
+    rows = contexts.select("g", "c", "tk", "tl", "lo", "raw").repartition("g").sortWithinPartitions("g", "c")
+    return rows.mapInArrow(match, "tk bigint, tl int, lo int, hi int")
+
+
+def _counted(halves: DataFrame, runs: Runs) -> DataFrame:
+    """Spans ``tk, tl, lo, hi`` of runs that unlike contexts share: only halves whose common bytes are found in unlike contexts are hashed run by run."""
+    shared = apart(halves.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g"))
+    return repeated(_windows(halves.join(shared, "g"), runs), runs)
+
+
+def _settled(unsettled: DataFrame, docs: DataFrame, runs: Runs, text_col: str, together: int) -> DataFrame:
+    """Spans ``tk, tl, lo, hi`` of ``unsettled`` contexts (``g, c, tk, tl, pos``) that share runs."""
+    large = settle(unsettled.select("g", "c").distinct().groupBy("g").count().where(F.col("count") > together).select("g"), "large")
+    marked = unsettled.join(large.withColumn("large", F.lit(True)), "g", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    pieces = _pieces(at_texts(marked, docs, text_col), runs)
+    if large.isEmpty():
+        return _sorted(pieces, runs)
+    pieces = settle(pieces, "pieces")
+    return _sorted(pieces.where("not large"), runs).union(_counted(pieces.where("large"), runs))
 
 
 @dataclass
@@ -128,6 +196,7 @@ class SuffixFamily:
     runs: Runs = field(default_factory=lambda: Runs(200, 32, False))
     levels: list[tuple[int, DataFrame]] = field(default_factory=list)
     found: list[DataFrame] = field(default_factory=list)
+    together: int = TOGETHER
 
     def _merge(self) -> None:
         """Merge equal-sized levels, the smallest first, until all sizes differ."""
@@ -140,12 +209,10 @@ class SuffixFamily:
     def add(self, batch: DataFrame, text_col: str = "text") -> None:
         """Merge-scan a batch of documents against the levels, then add it as a level."""
         self._merge()
-        rows = self.runs.occurrences(batch, text_col).withColumn("old", F.lit(False))
-        for _, level in self.levels:
-            rows = rows.union(level.withColumn("old", F.lit(True)))
-        told = settle(scan(rows, self.runs), "scan")
-        self.levels.append((1, told.where("kind = 0").drop("kind")))
-        self.found.append(told.where("kind > 0"))
+        old = reduce(DataFrame.union, [level for _, level in self.levels]) if self.levels else None
+        level, found = scan(self.runs.occurrences(batch, text_col), old)
+        self.levels.append((1, level))
+        self.found.append(found)
 
     def spans(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``tk, tl, lo, hi``: byte spans of texts covered by repeated strings; ``docs`` are all documents added."""
@@ -153,7 +220,7 @@ class SuffixFamily:
         for more in self.found[1:]:
             found = found.union(more)
         unsettled = found.where("kind = 2").select("tk", "tl", "pos", "g", "c")
-        return whole_spans(found, self.runs).union(_settled(at_texts(unsettled, docs, text_col), self.runs))
+        return whole_spans(found, self.runs).union(_settled(unsettled, docs, self.runs, text_col, self.together))
 
 
 def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: int = 2, text_col: str = "text") -> DataFrame:

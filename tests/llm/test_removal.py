@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from barflow.llm.anchors import Runs
+from barflow.llm.anchors import Runs, text_key
 from barflow.llm.substring import remove_repeats
 from barflow.llm.suffix_levels import SuffixFamily, remove_bytes
 
@@ -97,6 +97,82 @@ def test_words_of_odd_rows(odd):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in remove_repeats(odd).collect()), key=str) == want
 
 
+def largest_read(spark, run):
+    """Most shuffled rows that one task reads while ``run`` runs, when Spark may split what is crowded."""
+    split = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    split |= {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    was = {k: spark.conf.get(k, None) for k in split}
+    sc = spark.sparkContext
+    store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        all_of = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {all_of.apply(i).stageId(): all_of.apply(i).attemptId() for i in range(all_of.size())}
+
+    try:
+        for k, v in split.items():
+            spark.conf.set(k, v)
+        before = stages()
+        run()
+        most = 0
+        for k, attempt in stages().items():
+            if k not in before:
+                tasks = store.taskList(k, attempt, 10_000)
+                found = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+                most = max([most, *(m.get().shuffleReadMetrics().recordsRead() for m in found if m.isDefined())])
+        return most
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("remove", ["bytes", "words"])
+def test_no_task_holds_all_texts_with_a_common_line(spark, make, remove):
+    rng = random.Random(9)
+    n, word = 4000, lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(14)]
+    texts = [" ".join([*(word() for _ in range(40)), *line, *(word() for _ in range(40))]) for _ in range(n)]
+    docs = make(list(enumerate(texts))).repartition(40).cache()
+    docs.count()
+    found = []
+
+    def run():
+        if remove == "bytes":
+            family = SuffixFamily(spark, together=100)
+            family.add(docs)
+            found.extend(family.spans(docs).collect())
+        else:
+            found.extend(r for r in remove_repeats(docs).collect() if r["spans"])
+
+    assert largest_read(spark, run) < n // 2
+    docs.unpersist()
+    assert not found  # the line is shorter than a run
+
+
+def text_key_of(docs, i, seen={}):  # noqa: B006
+    if not seen:
+        seen.update({r["doc_id"]: r["tk"] for r in docs.select("doc_id", text_key().alias("tk")).collect()})
+    return seen[i]
+
+
+def test_runs_over_both_edges_of_a_shared_passage(make):
+    rng = random.Random(10)
+    some = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, texts = some(75), []
+    for _ in range(60):
+        a, b = rng.randint(0, 40), rng.randint(35, 75)
+        texts.append(some(rng.randint(0, 50)) + passage[a:b] + some(rng.randint(0, 50)))
+    docs, raw = make(list(enumerate(texts))), [t.encode() for t in texts]
+    for length, gram in ((31, 8), (30, 29), (20, 20)):
+        want = {(text_key_of(docs, i), at) for i, spans in enumerate(spans_of(raw, length)) for lo, hi in spans for at in range(lo, hi)}
+        for together in (0, 5):
+            family = SuffixFamily(docs.sparkSession, Runs(length, gram, False), together=together)
+            family.add(docs.where("doc_id < 25"))
+            family.add(docs.where("doc_id >= 25"))
+            assert {(r["tk"], at) for r in family.spans(docs).collect() for at in range(r["lo"], r["hi"])} == want
+
+
 def test_empty_tables(make):
     assert remove_bytes(make([])).count() == 0
     assert remove_repeats(make([])).count() == 0
