@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 # Path rules weigh this and their length, so that they come before all word rules.
 PATH_WEIGHT = 1_000_000
-TOKEN = "[a-z0-9\\x{80}-\\x{10ffff}]+"
+# What a token is, in rules and in URLs alike; anything else is a mark.
+TOKEN = "[a-z0-9]+"
 
 
 @dataclass(frozen=True)
@@ -36,13 +37,13 @@ def path_rule(host: str, path: str, verdict: str) -> Rule:
     """
     name = host + path
     segments = path.split("/")[1:-1]
-    tokens = [t for part in [*host.split("."), *segments] for t in re.findall("[a-z0-9]+", part.lower())]
+    tokens = [t for part in [*host.split("."), *segments] for t in re.findall(TOKEN, part.lower())]
     return Rule(name, f"^(?:[^\\n]*\\.)?{re.escape(host)}\\n{re.escape(path)}", tuple(dict.fromkeys(tokens)), verdict, PATH_WEIGHT + len(name))
 
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
     """Fits URLs that hold a word between marks anywhere in host or path."""
-    tokens = tuple(dict.fromkeys(re.findall("[a-z0-9]+", word.lower())))
+    tokens = tuple(dict.fromkeys(re.findall(TOKEN, word.lower())))
     return Rule(word, f"(?i)(?:^|[^a-z0-9]){re.escape(word)}(?:$|[^a-z0-9])", tokens, verdict, len(word))
 
 
