@@ -4,6 +4,8 @@ Pages are ordered by host and path; a page is paired with the neighbours before
 the path is the nearer.  Text lines (blocks) of the two are aligned by their longest common subsequence, and shared lines are deleted as
 template.
 
+A copy of a page (the same blocks under another URL of the host) tells nothing about the template, so copies are one page when neighbours are sought.
+
 Differencing alone is not enough where the template's words change from page to page, and too much where two articles share a line.  So the
 page's own marks are respected: blocks inside an ``article`` or ``main`` element are never deleted for being shared, and what
 is marked as something else than text (menus, footers, forms, adverts, comments...) never counts as text.  Differencing decides
@@ -187,14 +189,19 @@ def _common(a: str, b: str) -> int:
 
 
 def shared_with_neighbour(keyed: DataFrame) -> DataFrame:
-    """``key, gone``: places of the blocks that a page shares with its nearest neighbour, for pages that share any.
+    """``key, gone``: places of the blocks that a page shares with its nearest neighbour that is no copy of it, for pages that share any.
 
-    ``keyed`` has ``key, host, path, places, lines`` (hashes of unmarked blocks and where they stand).  Only hashes are ordered: in ranges of
+    ``keyed`` has ``key, host, path, seq, main, places, lines`` (hash of all blocks, whether any is marked as main text, hashes of unmarked blocks and where they
+    stand).  Pages of one ``seq`` on a host are copies and count as one, the first.  Without any other page on the host, copies lose
+    their unmarked blocks only if they have main text.  Only hashes are ordered: in ranges of
     (host, path), so a hot host is many partitions, joined over the cuts by the first and last page of each.
     """
     order = ["host", "path", "key"]
     size = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = settle(keyed.distinct().repartitionByRange(size, *order).withColumn("part", F.spark_partition_id()), "lines")
+    pages = settle(keyed, "pages")
+    ones = pages.groupBy("host", "seq").agg(F.min(F.struct("path", "key")).alias("at"), (F.min("key") != F.max("key")).alias("copied"), F.max("main").alias("main"), F.first("lines").alias("lines"))
+    ones = ones.select("host", "at.path", "at.key", "seq", (F.col("copied") & F.col("main")).alias("alone"), "lines")
+    ordered = settle(ones.repartitionByRange(size, *order).withColumn("part", F.spark_partition_id()), "lines")
     edges = ordered.groupBy("part").agg(F.min(F.struct(*order, "lines")).alias("first"), F.max(F.struct(*order, "lines")).alias("last"))
     by = Window.orderBy("part")  # a row for each partition
     around = edges.select("part", F.lag("last").over(by).alias("before"), F.lead("first").over(by).alias("after"))
@@ -205,11 +212,14 @@ def shared_with_neighbour(keyed: DataFrame) -> DataFrame:
 
         def gone(row, before, after) -> list[int]:
             near = max((x for x in (before, after) if x is not None and x["host"] == row["host"]), key=lambda x: _common(x["path"], row["path"]), default=None)
-            return [row["places"][i] for i in sorted(shared_lines(row["lines"], near["lines"]))] if near is not None and row["lines"] and near["lines"] else []
+            if near is None:
+                return [*range(len(row["lines"]))] if row["alone"] else []
+            return sorted(shared_lines(row["lines"], near["lines"])) if row["lines"] and near["lines"] else []
 
         def rows_of(found) -> pa.RecordBatch:
-            found = [(k, g) for k, g in found if g]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], ["key", "gone"])
+            found = [(r["host"], r["seq"], g) for r, g in found if g]
+            types = [pa.string(), pa.int64(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types)], ["host", "seq", "gone"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -217,31 +227,35 @@ def shared_with_neighbour(keyed: DataFrame) -> DataFrame:
                 for row in batch.slice(at, ROWS_AT_ONCE).to_pylist():
                     if waiting is not None:
                         same = waiting["part"] == row["part"]
-                        found.append((waiting["key"], gone(waiting, previous or waiting["before"], row if same else waiting["after"])))
+                        found.append((waiting, gone(waiting, previous or waiting["before"], row if same else waiting["after"])))
                         previous = waiting if same else None
                     waiting = row
                 yield rows_of(found)
         if waiting is not None:
-            yield rows_of([(waiting["key"], gone(waiting, previous or waiting["before"], waiting["after"]))])
+            yield rows_of([(waiting, gone(waiting, previous or waiting["before"], waiting["after"]))])
 
-    return settle(rows.mapInArrow(compare, "key bigint, gone array<int>"), "gone")
+    gone_of = settle(rows.mapInArrow(compare, "host string, seq bigint, gone array<int>"), "gone")
+    return pages.join(gone_of, ["host", "seq"]).select("key", F.transform("gone", lambda i: F.get("places", i)).alias("gone"))
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``keep`` (default: all columns but the html) and ``text`` of every page: blocks joined by line feeds, empty if none is left.
 
-    Null html is empty; a null URL has empty host and path and is paired with such pages.  Repeated rows are one page.  A page alone on its host
-    keeps all blocks that no mark rules out.  A column ``text`` of the input is replaced.
+    Null html is empty; a null URL has empty host and path and is paired with such pages.  Repeated rows are one page, and pages of the same blocks on one
+    host are compared as one.  A page alone on its host keeps all blocks that no mark rules out.  A column ``text`` of the input is replaced.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", html_col)]
     page, url = F.coalesce(html_col, F.lit("")), F.coalesce(url_col, F.lit(""))
     key = F.xxhash64(url, page)
 
     def read_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
-        plain = [[(i, t) for i, (k, t) in enumerate(blocks(x)) if k == PLAIN] for x in batch.column(3).to_pylist()]
+        all_of = [blocks(x) for x in batch.column(3).to_pylist()]
+        plain = [[(i, t) for i, (k, t) in enumerate(x) if k == PLAIN] for x in all_of]
+        seq = pa.array([xxhash.xxh64_intdigest("\n".join(f"{k}{t}" for k, t in x).encode()) - 2**63 for x in all_of], pa.int64())
+        main = pa.array([any(k == MAIN for k, _ in x) for x in all_of], pa.bool_())
         places = pa.array([[i for i, _ in x] for x in plain], pa.list_(pa.int32()))
         lines = pa.array([[xxhash.xxh64_intdigest(t.encode()) - 2**63 for _, t in x] for x in plain], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], places, lines], ["key", "host", "path", "places", "lines"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], seq, main, places, lines], ["key", "host", "path", "seq", "main", "places", "lines"])
 
     def read_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [[t for _, t in blocks(x)] for x in batch.column(len(keep) + 1).to_pylist()]
@@ -249,7 +263,7 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url_col: str = "url
 
     keyed = map_batches(
         pages.select(key.alias("key"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), page.alias("html")),
-        read_lines, "key bigint, host string, path string, places array<int>, lines array<bigint>",
+        read_lines, "key bigint, host string, path string, seq bigint, main boolean, places array<int>, lines array<bigint>",
     )
     gone = shared_with_neighbour(keyed).groupBy(F.col("key").alias("_key")).agg(F.max("gone").alias("_gone"))
     fields = ", ".join([*(f"`{c}` {kind(pages, c)}" for c in keep), "_key bigint, _texts array<string>"])
