@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import chroma, packing, page_diff, piece_bpe, pieces, quality, simhash, substring, suffix_levels, toxicity, url_rules
-from barflow.llm.common import map_batches, table
+from barflow.llm import chroma, packing, page_diff, piece_bpe, pieces, quality, ring, simhash, substring, suffix_levels, toxicity, url_rules
+from barflow.llm.common import map_batches, table, text_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -157,3 +157,16 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.query").alias("best_query"), F.col("best.offset").alias("best_offset"),
         F.round("best.errors", 6).alias("best_errors"),
     )
+
+
+# Shards of the sharding query.
+SHARDS = 8
+
+
+@query("op11_bounded_ring")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    content = F.encode(text_of(), "utf-8")
+    rows = table(spark, sf, "documents").select("doc_id", (F.octet_length(content) + F.lit(1)).cast("bigint").alias("size"), F.crc32(content).alias("text_crc32"))
+    return ring.assign(rows, ["doc_id"], SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
