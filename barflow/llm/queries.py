@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import chroma, packing, page_diff, piece_bpe, pieces, quality, ring, simhash, substring, suffix_levels, toxicity, url_rules
+from barflow.llm import (
+    chroma, packing, page_diff, piece_bpe, pieces, quality, ring, simhash, substring, suffix_levels, toxicity, url_rules, whitening,
+)
 from barflow.llm.common import map_batches, table, text_of
 
 QUERIES: dict = {}
@@ -170,3 +172,15 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return ring.assign(rows, ["doc_id"], SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op12_bit_sliced_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    model = whitening.fit(vectors, "embedding")
+    shares = F.expr(f"cast(array({', '.join(f'{v!r}D' for v in model.explained.tolist())}) as array<double>)")
+    rows = whitening.transform(vectors, "embedding", model, ["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
