@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import (
-    chroma, packing, page_diff, piece_bpe, pieces, quality, ring, simhash, substring, suffix_levels, toxicity, url_rules, whitening,
+    chroma, packing, page_diff, piece_bpe, pieces, quality, repair, ring, simhash, substring, suffix_levels, toxicity, url_rules, whitening,
 )
 from barflow.llm.common import map_batches, table, text_of
 
@@ -184,3 +184,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+@query("op13_lightest_repair")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, sf, "conversations")))
