@@ -105,6 +105,14 @@ def signal_frame(df: DataFrame, s: Series, vote: str | None = None, regime: str
     )
 
 
+def strategy_frame(df: DataFrame, s: Series) -> DataFrame:
+    """The signals of the row rules with the side filter and size factor of the ledger, and nothing else to compute."""
+    d = I.add_session_vwap(df, s.keys)
+    return add_features(
+        d, s, I.rsi(14), I.macd(), I.bollinger(), I.donchian(), I.keltner(), I.flow_imbalance(), I.volatility_size(), Feature(lambda x, b: row_rules(x), 0),
+    )
+
+
 def route_by_regime(df: DataFrame, regime: str = "regime") -> DataFrame:
     """Strongest approved signal of the row's regime (first wins ties), else the mean of the approved ones."""
     name, value = F.lit(None).cast("string"), F.lit(None).cast("double")

@@ -54,12 +54,6 @@ def performance(trades: DataFrame, equity: DataFrame, s: Series, per_year: float
     ``per_year`` annualises whatever the bar length, as the summary it reproduces does.
     """
     keys = list(s.keys)
-    pnl = F.col("pnl")
-    gain, loss = F.sum(F.when(pnl > 0, pnl).otherwise(0.0)), F.abs(F.sum(F.when(pnl < 0, pnl).otherwise(0.0)))
-    money = trades.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_trades"), F.sum("pnl").alias("total_pnl"), F.sum(F.col("fees") + F.col("funding")).alias("total_fees"),
-        (F.avg(flag(pnl > 0)) * 100).alias("win_rate_pct"), gain.alias("_g"), loss.alias("_l"),
-    )
     d = windowed(equity, s, lambda x, b: x.withColumn("_r", ratio("equity", b.lag("equity")) - 1), back=1)
     d = running(d, s, {"_peak": ("max", F.col("equity"))})
     at = F.struct(*s.order)
@@ -68,6 +62,20 @@ def performance(trades: DataFrame, equity: DataFrame, s: Series, per_year: float
         F.min(F.try_divide(F.col("equity") - F.col("_peak"), "_peak")).alias("max_drawdown"), F.count(F.lit(1)).alias("_n"),
         F.min_by("equity", at).alias("_first"), F.max_by("equity", at).alias("_last"),
     )
+    return summary(trades, curve, keys, per_year)
+
+
+def summary(trades: DataFrame, curve: DataFrame, keys: Sequence[str], per_year: float = PER_YEAR) -> DataFrame:
+    """The performance table from trades and one row per series about its equity.
+
+    ``curve``: mean ``_m``, deviation ``_sd`` and downside deviation ``_dn`` of the returns, ``max_drawdown``, number ``_n`` of values, ``_first`` and ``_last``.
+    """
+    pnl = F.col("pnl")
+    gain, loss = F.sum(F.when(pnl > 0, pnl).otherwise(0.0)), F.abs(F.sum(F.when(pnl < 0, pnl).otherwise(0.0)))
+    money = trades.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_trades"), F.sum("pnl").alias("total_pnl"), F.sum(F.col("fees") + F.col("funding")).alias("total_fees"),
+        (F.avg(flag(pnl > 0)) * 100).alias("win_rate_pct"), gain.alias("_g"), loss.alias("_l"),
+    )
     j = money.join(curve, keys)
     scale = math.sqrt(per_year)
     sharpe = F.when(F.col("_sd") > 0, scale * F.col("_m") / F.col("_sd")).otherwise(0.0)

@@ -36,13 +36,10 @@ def decayed_scan(df: DataFrame, b: Block, p: Column, total: Callable[[Column], C
     ``total`` maps a position to its accumulated decay and must grow by less than
     345 per row.
     """
-    d = (
-        df.withColumn("_p", p)
-        .withColumn("_sub", F.floor(total(F.col("_p")) / _RANGE))
-        .withColumn("_o", total(F.col("_p")) - F.col("_sub") * _RANGE)
-        .withColumn("_end", F.floor(total(F.col("_p") + 1) / _RANGE) != F.col("_sub"))
-        .withColumn("_b", F.when(F.col("_p") < 0, 0.0).otherwise(gain))
-    )
+    d = df.withColumns({"_p": p, "_sub": F.floor(total(p) / _RANGE)}).withColumns({
+        "_o": total(F.col("_p")) - F.col("_sub") * _RANGE, "_end": F.floor(total(F.col("_p") + 1) / _RANGE) != F.col("_sub"),
+        "_b": F.when(F.col("_p") < 0, 0.0).otherwise(gain),
+    })
     inner = Window.partitionBy(*b.part, "_sub").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_y", F.sum(F.col("_b") * F.exp("_o")).over(inner) * F.exp(-F.col("_o")))
     ends = F.when(F.col("_end"), F.struct("_sub", "_y", "_o"))

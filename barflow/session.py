@@ -18,6 +18,8 @@ def local_session(app: str = "barflow", cores: str = "8", partitions: int = 8) -
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # window-heavy plans are worth a core each even on small partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.aggregatePushdown", "true")
         .config("spark.driver.memory", os.environ.get("BARFLOW_DRIVER_MEMORY", "8g"))
