@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators.indicators import true_range
 from barflow.plans.ordered import Block, Series, fill_gaps, windowed, with_position
+from barflow.plans.ranges import first_passage, pyramid
 from barflow.session import reliable_checkpoint
 
 
@@ -49,6 +50,28 @@ def _first_hit(df: DataFrame, s: Series, up: Column, down: Column, horizon: int,
     return windowed(df, s, add, back=0, ahead=horizon)
 
 
+def _first_passage(df: DataFrame, s: Series, up: Column, down: Column, horizon: int, label: str) -> DataFrame:
+    """The same for long horizons: the touch is looked up in a pyramid of highs and lows over row positions, so no row carries its future.
+
+    A touch that lies beyond the horizon is none; then ``t1`` is the last bar inside it.
+    """
+    keys, c = list(s.keys), F.col
+    rows = df.drop("t1")
+    d = reliable_checkpoint(rows.withColumns({"_hi": c("close") + up, "_lo": c("close") - down, "_tight": up <= down}))
+    p = pyramid(d, keys, c("_pos"), {"lo": ("min", "low"), "hi": ("max", "high")})
+    ends = d.groupBy(*keys).agg(F.max("_pos").alias("_last"))
+    met = d.select(*keys, c("_pos").alias("_at"), c("ts").alias("t1"), c("low").alias("_l"), c("high").alias("_h"))
+    d = first_passage(d, p, c("_pos") + 1, c("_lo"), c("_hi"), "_touch").join(ends, keys)
+    hit = c("_touch") <= c("_pos") + horizon
+    d = d.withColumns({"_at": F.when(hit, c("_touch")).otherwise(F.least(c("_pos") + horizon, c("_last"))), "_is": F.coalesce(hit, F.lit(False))})
+    d = d.join(met, [*keys, "_at"], "left")
+    top, bottom = c("_h") >= c("_hi"), c("_l") <= c("_lo")
+    value = F.when(~c("_is"), 0).when(top & bottom, F.when(c("_tight"), 1).otherwise(-1)).when(top, 1).otherwise(-1)
+    return d.withColumns({label: value, "_seen": F.least(F.lit(horizon), c("_last") - c("_pos"))}).select(
+        *[x for x in df.columns if x not in (label, "t1", "_seen")], label, "t1", "_seen"
+    )
+
+
 def triple_barrier(
     df: DataFrame, s: Series, pt: float = 2.5, sl: float = 1.5, max_bars: int = 12, atr_col: str = "atr_14",
 ) -> DataFrame:
@@ -77,7 +100,7 @@ def event_time_labels(
 
     d = windowed(d, s, norm, back=vol_window)
     unit = F.col("_atr") * F.col("vol_norm")
-    d = _first_hit(d, s, k_tp * unit, k_sl * unit, horizon, "label")
+    d = _first_passage(d, s, k_tp * unit, k_sl * unit, horizon, "label")
     return d.withColumn("label", F.when(F.col("_seen") < horizon, 0).otherwise(F.col("label"))).drop(
         "_atr", "_seen", *([] if had else ["_pos"])
     )

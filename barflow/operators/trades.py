@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barflow.functions.numeric import flag, ratio
 from barflow.plans.ordered import Series, fill_gaps, running, windowed
 from barflow.plans.quantiles import exact_quantiles
+from barflow.plans.ranges import first_passage, pyramid, range_extrema_of, slot_of
+from barflow.session import reliable_checkpoint
 
 # fixed values: (maker, taker) fee per preset
 FEE_PRESETS = {
@@ -182,84 +181,37 @@ def book_walk(levels: str, size: Column, buy: Column, mid: Column) -> Column:
     )
 
 
-def _first_at_most(values: np.ndarray, start: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """First place from ``start`` on where ``values`` is at most ``limit``; their number where there is none.
-
-    Blocks of 1, 2, 4... values that hold no such value are skipped: widening steps first, then halving ones.
-    """
-    n = len(values)
-    least = [np.append(values, np.inf)]
-    while 2 ** len(least) <= n:
-        half, row = 2 ** (len(least) - 1), least[-1]
-        least.append(np.minimum(row, np.append(row[half:], np.full(half, np.inf))))
-    at = start.copy()
-    for level in [*range(len(least)), *reversed(range(len(least)))]:
-        at = np.where(least[level][np.minimum(at, n)] > limit, np.minimum(at + 2**level, n), at)
-    return at
-
-
-def _extreme(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Largest of ``values[start:stop]``; minus infinity for an empty range."""
-    best = np.full(len(start), -np.inf)
-    table, size = [values], 1
-    while 2 * size <= len(values):
-        table.append(np.maximum(table[-1][:-size], table[-1][size:]))
-        size *= 2
-    length = stop - start
-    level = np.frexp(np.maximum(length, 1))[1] - 1
-    for k in range(len(table)):
-        here = (length > 0) & (level == k)
-        best[here] = np.maximum(table[k][start[here]], table[k][stop[here] - 2**k])
-    return best
-
-
-def trailing_stops(trades: DataFrame, bars: DataFrame, s: Series, percent: float = 2.0, shares: int = 16) -> DataFrame:
+def trailing_stops(trades: DataFrame, bars: DataFrame, s: Series, percent: float = 2.0) -> DataFrame:
     """First bar after the entry bar, however far, at which price has fallen ``percent`` from its best since entry (risen, for shorts).
 
-    A series' trades are dealt to ``shares`` groups, each with the series' closes (one a grid step).  A stop is the first fall below the entry price's
-    limit or below that of a later close; the latter is the same for all trades that open on a bar: the least, over later bars, of the
-    first bar that falls from theirs.  ``mfe_pct`` and ``mae_pct`` are the extremes up to the stop, or to the last bar.
+    A stop is the first passage of price through the limit of the entry price or that of a later close.  The latter is the same for all trades that open
+    on a bar: the least, over the bars after it, of the first passage from theirs, a running minimum from the end.  ``mfe_pct`` and ``mae_pct`` are the
+    extremes up to the stop, or to the last bar.  Bars (one a grid step) and trades meet in blocks of a pyramid only, so no task needs a series.
+    A trade whose ``entry_bar`` is no bar with a close gets no stop.
     """
-    keys, row = list(s.keys), [*trades.columns]
-    salt = F.pmod(F.xxhash64(*row), F.lit(shares)).cast("int")
-    closes = bars.select(*keys, "ts", F.col("close").cast("double").alias("close")).where("close is not null")
-    closes = closes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    schema = T.StructType([
-        *trades.schema.fields, T.StructField("stop_ts", T.TimestampType()), *[T.StructField(c, T.DoubleType()) for c in ("stop_price", "mfe_pct", "mae_pct")],
-    ])
-
-    def run(d: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("ts")
-        ts, close, n = b["ts"].to_numpy(), b["close"].to_numpy(float), len(b)
-        entry, long = d["entry_price"].to_numpy(float), d["direction"].to_numpy(float) > 0
-        opened = d["entry_bar"].to_numpy()
-        first = np.searchsorted(ts, opened, "right") if n else np.zeros(len(d), int)
-        known = (first > 0) & (ts[np.maximum(first - 1, 0)] == opened) if n else np.zeros(len(d), bool)
-        stop = np.full(len(d), n)
-        for side, sign, keep in ((long, 1.0, 1 - percent / 100), (~long, -1.0, 1 + percent / 100)):
-            pick = np.flatnonzero(known & side)
-            y = sign * close
-            after = np.append(np.minimum.accumulate(_first_at_most(y, np.arange(n), y * keep)[::-1])[::-1], n) if n else np.zeros(1, int)
-            stop[pick] = np.minimum(after[first[pick]], _first_at_most(y, first[pick], sign * entry[pick] * keep))
-        seen = np.where(known, np.minimum(stop + 1, n), first)
-        high = np.maximum(entry, _extreme(close, first, seen)) if n else entry
-        low = np.minimum(entry, -_extreme(-close, first, seen)) if n else entry
-        hit = known & (stop < n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up, down = high / entry - 1, low / entry - 1
-        mfe, mae = 100 * np.maximum(np.where(long, up, -down), 0), 100 * np.minimum(np.where(long, down, -up), 0)
-        zero = entry == 0
-        at = np.minimum(stop, max(n - 1, 0))
-        out = d[row].copy()
-        out["stop_ts"] = pd.Series(ts[at], index=d.index).where(hit) if n else pd.NaT
-        out["stop_price"] = np.where(hit, close[at], np.nan) if n else np.nan
-        out["mfe_pct"], out["mae_pct"] = np.where(zero, 0.0, mfe), np.where(zero, 0.0, mae)
-        for c in ("stop_price", "mfe_pct", "mae_pct"):
-            out[c] = out[c].astype(object).where(out[c].notna(), None)
-        return out
-
-    dealt = trades.withColumn("_salt", salt)
-    return dealt.groupBy(*keys, "_salt").cogroup(closes.groupBy(*keys, "_salt")).applyInPandas(lambda d, b: run(d, b) if len(d) else d[row].assign(stop_ts=pd.NaT, stop_price=None, mfe_pct=None, mae_pct=None), schema)
+    keys, c = list(s.keys), F.col
+    slot = lambda ts: slot_of(F.col(ts), s.cuts.step_seconds)
+    limits = lambda price: (F.when(c("_long"), c(price) * (1 - percent / 100)), F.when(~c("_long"), c(price) * (1 + percent / 100)))
+    closes = bars.select(*keys, "ts", c("close").cast("double").alias("close")).where("close is not null").withColumn("_slot", slot("ts"))
+    closes = reliable_checkpoint(closes)
+    p = pyramid(closes, keys, c("_slot"), {"lo": ("min", "close"), "hi": ("max", "close")})
+    both = closes.withColumn("_long", F.explode(F.array(F.lit(True), F.lit(False))))
+    falls = first_passage(both, p, c("_slot"), *limits("close"), "_fall")
+    sides = Series((*keys, "_long"), ("ts",), s.cuts, s.rows)
+    after = running(falls, sides, {"_after": ("min", c("_fall"))}, exclusive=True, reverse=True).select(*keys, "_slot", "_long", c("ts").alias("_bar"), "_after")
+
+    t = trades.withColumns({"_row": F.monotonically_increasing_id(), "_long": c("direction") > 0, "_slot": slot("entry_bar")})
+    t = first_passage(t, p, c("_slot") + 1, *limits("entry_price"), "_own").join(after, [*keys, "_slot", "_long"], "left")
+    t = t.withColumn("_stop", F.when(c("_bar") == c("entry_bar"), F.least("_own", "_after")))
+    hit = closes.select(*keys, c("_slot").alias("_stop"), c("ts").alias("stop_ts"), c("close").alias("stop_price"))
+    t = reliable_checkpoint(t.join(hit, [*keys, "_stop"], "left"))
+    seen = F.when(c("_bar") == c("entry_bar"), F.coalesce("_stop", F.lit(p.base + p.slots)))
+    d = range_extrema_of(t, p, c("_slot") + 1, seen, {"lo": ("min", "close"), "hi": ("max", "close")}, ["_row"])
+    entry = c("entry_price")
+    up, down = F.try_divide(F.greatest(entry, c("hi")), entry) - 1, F.try_divide(F.least(entry, c("lo")), entry) - 1
+    best, worst = F.when(c("_long"), up).otherwise(-down), F.when(c("_long"), down).otherwise(-up)
+    pct = lambda move, fold: F.coalesce(100 * fold(move, F.lit(0.0)), F.lit(0.0))
+    return d.select(*trades.columns, "stop_ts", "stop_price", pct(best, F.greatest).alias("mfe_pct"), pct(worst, F.least).alias("mae_pct"))
 
 
 def close_trades(trades: DataFrame) -> DataFrame:

@@ -126,15 +126,14 @@ def test_range_extrema_equals_scan(spark):
     z = np.minimum(a + rng.integers(0, 300, 60), n - 1)
     grid = pd.date_range("2024-01-01", periods=n, freq="15min")
     ranges = pd.DataFrame({"id": range(60), "symbol": "A", "start": grid[a], "stop": grid[z]})
-    for levels in (2, 14):
-        got = range_extrema(spark.createDataFrame(ranges), spark.createDataFrame(bars), ["symbol"], F.col("start"), F.col("stop"), 900,
-                            {"hi": ("max", "high"), "lo": ("min", "low")}, ["id"], levels).orderBy("id").toPandas()
-        for r in got.itertuples():
-            inside = bars[(bars.ts >= r.start) & (bars.ts <= r.stop)]
-            if len(inside):
-                assert (r.hi, r.lo) == (inside.high.max(), inside.low.min())
-            else:
-                assert pd.isna(r.hi)
+    got = range_extrema(spark.createDataFrame(ranges), spark.createDataFrame(bars), ["symbol"], F.col("start"), F.col("stop"), 900,
+                        {"hi": ("max", "high"), "lo": ("min", "low")}, ["id"]).orderBy("id").toPandas()
+    for r in got.itertuples():
+        inside = bars[(bars.ts >= r.start) & (bars.ts <= r.stop)]
+        if len(inside):
+            assert (r.hi, r.lo) == (inside.high.max(), inside.low.min())
+        else:
+            assert pd.isna(r.hi)
 
 
 def test_exact_quantiles_match_numpy_with_heavy_ties(spark):
@@ -186,3 +185,22 @@ def test_crowded_instants_are_cut(spark, instants, n, tie):
     assert got == sorted(got)
     if tie == "long":
         assert cut.groupBy("_cut").count().agg(F.max("count")).first()[0] <= max(60, 12 * rows / n)
+
+
+@pytest.mark.parametrize("n", [50, 6000])
+def test_first_passage_equals_scan(spark, n):
+    from barflow.plans.ranges import first_passage, pyramid
+
+    rng = np.random.default_rng(n)
+    slots = np.sort(rng.choice(3 * n, n, replace=False)) + 1_000_000
+    value = np.cumsum(rng.normal(0, 1, n))
+    bars = spark.createDataFrame(pd.DataFrame({"symbol": "A", "slot": slots, "v": value}))
+    p = pyramid(bars, ["symbol"], F.col("slot"), {"lo": ("min", "v"), "hi": ("max", "v")})
+    assert len(p.levels) == (2 if n == 50 else 3)
+    q = pd.DataFrame({"id": range(200), "symbol": ["A"] * 190 + ["B"] * 10, "at": rng.integers(slots[0] - 99, slots[-1] + 99, 200), "low": rng.choice(value, 200) - 5, "high": rng.choice(value, 200) + 5})
+    low, high = F.when(F.col("id") % 3 != 0, F.col("low")), F.when(F.col("id") % 5 != 0, F.col("high"))
+    got = {r["id"]: r["hit"] for r in first_passage(spark.createDataFrame(q), p, F.col("at"), low, high, "hit").collect()}
+    assert len(got) == 200
+    for r in q.itertuples():
+        ok = (slots >= r.at) & (((value <= r.low) & (r.id % 3 != 0)) | ((value >= r.high) & (r.id % 5 != 0)))
+        assert got[r.id] == (int(slots[ok][0]) if r.symbol == "A" and ok.any() else None)
