@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.plans.ordered import Series, windowed
 from barflow.session import reliable_checkpoint
 
 
@@ -21,68 +20,99 @@ def normalise_trials(trials: DataFrame, keys: Sequence[str], numeric: Sequence[s
     return d.drop(*[f"_{n}_{c}" for c in numeric for n in ("lo", "hi")])
 
 
-def _squared(a: str, b: str, numeric: Sequence[str], categorical: Sequence[str]) -> Column:
-    """Squared distance; a differing category counts twice (two one-hot columns)."""
-    total = F.lit(0.0)
-    for c in numeric:
-        diff = F.col(f"{a}._x_{c}") - F.col(f"{b}._x_{c}")
-        total = total + diff * diff
-    for c in categorical:
-        total = total + F.when(F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), 0.0).otherwise(2.0)
-    return total
+def _points(d: DataFrame, keys: Sequence[str], trial: str, coords: Sequence[str], k: int) -> DataFrame:
+    """Trials with equal parameters as one point that keeps its k + 1 lowest numbers (no list of neighbours can need more of them)."""
+    number_value = F.struct(F.col(trial).alias("t"), F.col("value").alias("v"))
+    rank = Window.partitionBy(*keys, *coords).orderBy(trial)  # the limit holds before the shuffle too, so a group of copies may hold any share of the rows
+    kept = d.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= k + 1)
+    points = kept.groupBy(*keys, *coords).agg(F.array_sort(F.collect_list(number_value)).alias("members"))  # k + 1 at most
+    return points.withColumn("_id", F.element_at("members", 1)["t"])
 
 
-def nearest_trials(d: DataFrame, keys: Sequence[str], trial: str, numeric: Sequence[str], categorical: Sequence[str], k: int, cells: int = 64) -> DataFrame:
+def _entries(points: DataFrame, numeric: Sequence[str], categorical: Sequence[str], levels: int) -> DataFrame:
+    """Every point in its cell of every level: ``_cat`` tells the categories, or is empty for the grid of all of them.  Level l halves each parameter l times."""
+    side = F.expr("shiftleft(1, _level)")
+    cell = F.array(*[F.least(F.floor(F.col(f"_x_{c}") * side), side - 1).cast("int") for c in numeric])
+    grids = F.array(F.lit(""), F.to_json(F.struct(*categorical), {"ignoreNullFields": "false"})) if categorical else F.array(F.lit(""))
+    return points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"_cell": cell, "_cat": F.explode(grids)})
+
+
+def _radius(points: DataFrame, entries: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], k: int) -> DataFrame:
+    """``points`` with ``_r2``, a bound on the squared distance at which k other trials are found.
+
+    It is that of representatives (k + 1 points at most) of the finest cell around the point that holds k + 1 trials.
+    """
+    place = [*keys, "_cat", "_level", "_cell"]
+    shape = F.struct(*[f"_x_{c}" for c in numeric], *categorical, F.size("members").alias("_n"))
+    first = Window.partitionBy(*place).orderBy("_id")
+    reps = entries.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k + 1).groupBy(*place).agg(F.collect_list(shape).alias("_reps"), F.sum(F.size("members")).alias("_held"))
+    near = entries.join(reps.where(F.col("_held") >= k + 1), place).groupBy(*keys, "_cat", "_id").agg(F.max_by("_reps", "_level").alias("_reps"))
+    d = points.join(near, [*keys, "_id"], "left").withColumn("_me", shape)
+    far = F.array_sort(F.transform(F.coalesce("_reps", F.array()), lambda o: F.struct(_pair(F.col("_me"), o, numeric, categorical).alias("d"), o["_n"].alias("n"))))
+    run = F.aggregate(
+        far, F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("r")),
+        lambda a, o: F.struct((a["n"] + o["n"]).alias("n"), F.when((a["n"] < k + 1) & (a["n"] + o["n"] >= k + 1), o["d"]).otherwise(a["r"]).alias("r")),
+    )
+    bound = d.withColumn("_r2", run["r"]).groupBy(*keys, "_id").agg(F.min("_r2").alias("_r2"))
+    return points.join(bound, [*keys, "_id"])
+
+
+def _within(points: DataFrame, entries: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], levels: int) -> DataFrame:
+    """(point, other point, squared distance) for all points within each point's bound, by cells as wide as the radius.
+
+    Points of the same categories lie within the bound; others have 2 or more of it used up by their categories, and are only looked for where it is that wide.
+    """
+    most = float(len(numeric))
+
+    def search(d: DataFrame, cat, square) -> DataFrame:
+        reach = F.sqrt(F.least(square, F.lit(most))) + 1e-12
+        level = F.greatest(F.least(F.floor(-F.log2(reach)), F.lit(levels)), F.lit(0)).cast("int")
+        d = d.withColumns({"_cat": cat, "_reach": reach, "_level": level})
+        side = F.expr("shiftleft(1, _level)")
+        at = lambda v: F.greatest(F.least(F.floor(v * side), side - 1), F.lit(0)).cast("int")
+        product = lambda cells, span: F.flatten(F.transform(cells, lambda done: F.transform(span, lambda v: F.concat(done, F.array(v)))))
+        cells = F.array(F.array().cast("array<int>"))
+        for c in numeric:  # three cells a parameter at most
+            cells = product(cells, F.sequence(at(F.col(f"_x_{c}") - F.col("_reach")), at(F.col(f"_x_{c}") + F.col("_reach"))))
+        return d.withColumn("_cell", F.explode(cells))
+
+    cats = F.to_json(F.struct(*categorical), {"ignoreNullFields": "false"}) if categorical else F.lit("")
+    wanted = search(points, cats, F.col("_r2")).withColumn("_other", F.lit(False))
+    if categorical:
+        wanted = wanted.unionByName(search(points.where("_r2 >= 2"), F.lit(""), F.col("_r2") - 2).withColumn("_other", F.lit(True)))
+    wanted = wanted.select(*keys, "_cat", "_level", "_cell", "_other", "_r2", F.col("_id").alias("_from"), F.struct(*[f"_x_{c}" for c in numeric], *categorical).alias("_me"))
+    there = entries.select(*keys, "_cat", "_level", "_cell", "members", F.struct(*[f"_x_{c}" for c in numeric], *categorical).alias("_o"))
+    met = wanted.join(there, [*keys, "_cat", "_level", "_cell"])
+    if categorical:
+        same = F.lit(True)
+        for c in categorical:
+            same = same & F.col(f"_me.{c}").eqNullSafe(F.col(f"_o.{c}"))
+        met = met.where(~(F.col("_other") & same))
+    met = met.withColumn("_d2", _pair(F.col("_me"), F.col("_o"), numeric, categorical))
+    return met.where(F.col("_d2") <= F.col("_r2")).select(*keys, F.col("_from").alias("_id"), "_d2", "members")
+
+
+def nearest_trials(d: DataFrame, keys: Sequence[str], trial: str, numeric: Sequence[str], categorical: Sequence[str], k: int, levels: int = 10) -> DataFrame:
     """The ``k`` nearest other trials of every trial, ties by trial number, without forming all pairs.
 
-    1. Trials with equal parameters collapse to one point that keeps its k+1 lowest numbers (no
-       neighbour list can need more of them).
-    2. The k+1 points on either side along the first parameter give an upper bound on the distance
-       to the k-th neighbour.
-    3. Only points within that bound along the first parameter are compared, by cells of it.
+    Parameters span a grid that is halved ``levels`` times.  The finest cell around a trial that holds enough trials bounds the distance to the k-th
+    neighbour; then the cells of about that width around it hold all candidates.  Exact for any data: a bound is a distance to trials that exist.
+    Time is near-linear while trials of a study spread over the cells; many distinct trials within one finest cell are compared pairwise.
     """
-    keys, axis = list(keys), f"_x_{numeric[0]}"
+    keys = list(keys)
     coords = [*[f"_x_{c}" for c in numeric], *categorical]
-    number_value = F.struct(F.col(trial).alias("t"), F.col("value").alias("v"))
-    # collapse copies: salted first, so a group of copies may hold any share of the rows
-    salted = d.groupBy(*keys, *coords, F.pmod(F.xxhash64(trial), F.lit(64)).alias("_salt")).agg(
-        F.slice(F.array_sort(F.collect_list(number_value)), 1, k + 1).alias("_m")
-    )
-    points = salted.groupBy(*keys, *coords).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_m"))), 1, k + 1).alias("members"))
-    points = points.withColumn("_id", F.element_at("members", 1)["t"])
-    s = Series.sampled(points, keys, [axis, "_id"])
-    shape = F.struct(*coords, F.size("members").alias("_n"))
-
-    def bound(x, b):
-        around = F.collect_list(F.struct(*coords, F.size("members").alias("_n"))).over(b.frame(-(k + 1), k + 1))
-        x = x.withColumns({"_me": shape, "_around": around})
-        far = F.transform("_around", lambda o: F.struct(_pair(F.col("_me"), o, numeric, categorical).alias("d"), o["_n"].alias("n")))
-        x = x.withColumn("_far", F.array_sort(far))
-        # smallest distance at which k other trials (plus the point itself) are covered
-        run = F.aggregate(
-            "_far", F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("r")),
-            lambda a, o: F.struct((a["n"] + o["n"]).alias("n"), F.when((a["n"] < k + 1) & (a["n"] + o["n"] >= k + 1), o["d"]).otherwise(a["r"]).alias("r")),
-        )
-        return x.withColumn("_r2", run["r"]).drop("_me", "_around", "_far")
-
-    p = windowed(points, s, bound, back=k + 1, ahead=k + 1)
-    p = reliable_checkpoint(p)
-    width = 1.0 / cells
-    reach = F.sqrt("_r2") + 1e-12
-    cell = lambda c: F.floor(c / width).cast("int")
-    lo = F.greatest(cell(F.col(axis) - reach), F.lit(-1))
-    hi = F.least(cell(F.col(axis) + reach), F.lit(cells + 1))
-    left = p.withColumn("_cell", F.explode(F.sequence(lo, hi))).alias("l")
-    right = p.withColumn("_cell", cell(F.col(axis))).alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*keys, "_cell"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    pairs = left.join(right, cond).withColumn("_d2", _squared("l", "r", numeric, categorical)).where(F.col("_d2") <= F.col("l._r2"))
-    near = pairs.select(*[F.col(f"l.{c}").alias(c) for c in keys], F.col("l._id").alias("_id"), "_d2", F.explode("r.members").alias("_o"))
-    # the k+1 nearest (the point's own trials included) per point
-    best = near.groupBy(*keys, "_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d2", F.col("_o.t").alias("t"), F.col("_o.v").alias("v")))), 1, k + 1).alias("_best"))
-    own = d.join(p.select(*keys, *coords, "_id"), [*keys, *coords]).select(*keys, F.col(trial).alias("trial"), "value", "_id")
+    points = reliable_checkpoint(_points(d, keys, trial, coords, k))
+    entries = _entries(points, numeric, categorical, levels)
+    bounded = reliable_checkpoint(_radius(points, entries, keys, numeric, categorical, k))
+    near = _within(bounded, entries, keys, numeric, categorical, levels).withColumn("_o", F.explode("members"))
+    # the k + 1 nearest, the point's own trials included; the limit also holds before the shuffle
+    rank = Window.partitionBy(*keys, "_id").orderBy("_d2", "_o.t")
+    near = near.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= k + 1)
+    best = near.groupBy(*keys, "_id").agg(F.array_sort(F.collect_list(F.struct("_d2", F.col("_o.t").alias("t"), F.col("_o.v").alias("v")))).alias("_best"))
+    same = F.lit(True)
+    for c in [*keys, *coords]:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}"))
+    own = d.alias("o").join(points.select(*keys, *coords, "_id").alias("p"), same).select(*[F.col(f"o.{c}") for c in keys], F.col(f"o.{trial}").alias("trial"), "o.value", "p._id")
     j = own.join(best, [*keys, "_id"])
     others = F.slice(F.filter("_best", lambda o: o["t"] != F.col("trial")), 1, k)
     return j.withColumn("neighbours", others).drop("_id", "_best")
