@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.plans.ordered import Series, running
-from barflow.plans.quantiles import exact_quantiles, value_counts
+from barflow.plans.quantiles import order_statistics, quantiles_of_counts, value_counts
 from barflow.session import reliable_checkpoint
 
 # fixed values: thresholds of the drift report and features that may pause trading
@@ -32,12 +31,23 @@ def _bin_of(edges: str, x) -> "F.Column":
     return F.least(below, F.size(edges) - 1) - 1
 
 
+def counted(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The one reduction that all measures come from: (keys, feature, value, ``_n``), settled; counts are returned as they are.
+
+    Equal values combine before the shuffle, so a hot value is one row a task, and the values of a hot feature spread over all tasks.
+    """
+    return long if "_n" in long.columns else reliable_checkpoint(value_counts(long, [*keys, "feature"], "value"))
+
+
 def baseline(long: DataFrame, keys: Sequence[str], n_bins: int = 10, min_values: int = 10) -> DataFrame:
-    """Per (keys, feature): mean, std, q05, q95, n, ``bin_edges`` and ``bin_props``."""
+    """Per (keys, feature): mean, std, q05, q95, n, ``bin_edges`` and ``bin_props``.  ``long`` is read once."""
+    counts = counted(long, keys)
     keys = [*keys, "feature"]
     probs = [0.05, 0.95, *[i / n_bins for i in range(n_bins + 1)]]
-    q = exact_quantiles(long, keys, "value", probs, "q").where(F.col("n") >= min_values)
-    moments = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    q = quantiles_of_counts(counts, keys, "value", probs, "q").where(F.col("n") >= min_values)
+    mean = counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias("mean"))
+    away = F.col("value") - F.col("mean")
+    moments = counts.join(mean, keys).groupBy(*keys, "mean").agg(F.sqrt(F.try_divide(F.sum(away * away * F.col("_n")), F.sum("_n") - 1)).alias("std"))
     edges = F.array_distinct(F.array_sort(F.slice("q", 3, n_bins + 1)))
     q = q.withColumn("_e", edges)
     head = F.slice("_e", 1, F.greatest(F.size("_e") - 1, F.lit(1)))
@@ -47,21 +57,21 @@ def baseline(long: DataFrame, keys: Sequence[str], n_bins: int = 10, min_values:
         *keys, "mean", "std", F.get("q", F.lit(0)).alias("q05"), F.get("q", F.lit(1)).alias("q95"), "n", "bin_edges"
     )
     stats = reliable_checkpoint(stats)  # one row per feature, used twice below
-    return stats.join(bin_shares(long, stats, keys), keys)
+    return stats.join(bin_shares(counts, stats, keys), keys)
 
 
-def bin_shares(long: DataFrame, edges: DataFrame, keys: Sequence[str], clip: bool = False) -> DataFrame:
-    """Share of values per bin of ``edges(keys, bin_edges)`` as an array ``bin_props`` (zeros kept)."""
+def bin_shares(counts: DataFrame, edges: DataFrame, keys: Sequence[str], clip: bool = False) -> DataFrame:
+    """Share of counted values per bin of ``edges(keys, bin_edges)`` as an array ``bin_props`` (zeros kept)."""
     e = edges.select(*keys, "bin_edges")
     x = F.col("value")
-    d = long.join(e, list(keys))
+    d = counts.join(e, list(keys))
     if clip:
         lo, hi = F.get("bin_edges", F.lit(0)), F.element_at("bin_edges", -1)
         eps = F.greatest(F.lit(1e-9), (hi - lo) * 1e-6)
         x = F.greatest(lo + eps, F.least(hi - eps, x))
-    counts = d.groupBy(*keys, _bin_of("bin_edges", x).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    by_bin = d.groupBy(*keys, _bin_of("bin_edges", x).alias("_bin")).agg(F.sum("_n").alias("_n"))
     # at most one row per bin from here on
-    by_bin = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_m"), F.sum("_n").alias("_t"))
+    by_bin = by_bin.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_m"), F.sum("_n").alias("_t"))
     d = by_bin.join(e, list(keys))
     share = F.transform(
         F.sequence(F.lit(0), F.size("bin_edges") - 2), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)) / F.col("_t")
@@ -70,9 +80,10 @@ def bin_shares(long: DataFrame, edges: DataFrame, keys: Sequence[str], clip: boo
 
 
 def psi(base: DataFrame, long: DataFrame, keys: Sequence[str], floor: float = 1e-4) -> DataFrame:
-    """Population stability index of actual values against a baseline, per (keys, feature)."""
+    """Population stability index of actual values (or their counts) against a baseline, per (keys, feature)."""
+    counts = counted(long, keys)
     keys = [*keys, "feature"]
-    actual = bin_shares(long, base, keys, clip=True).withColumnRenamed("bin_props", "_actual")
+    actual = bin_shares(counts, base, keys, clip=True).withColumnRenamed("bin_props", "_actual")
     d = base.join(actual, keys)
     term = F.zip_with(
         "_actual", "bin_props",
@@ -83,39 +94,60 @@ def psi(base: DataFrame, long: DataFrame, keys: Sequence[str], floor: float = 1e
 
 
 def wasserstein_relative(base: DataFrame, long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Earth mover's distance between baseline bin midpoints and actual values, over the edge span.
+    """Earth mover's distance between baseline bin midpoints and actual values (or their counts), over the edge span.
 
-    Both samples become weighted points; between neighbouring points the distance is
-    |F - G| times the step, and both distribution functions are running sums.
+    The distance is the area between both distribution functions F and G.  F is a step function with steps at the midpoints, so between two of them G
+    crosses it once, at an order statistic of the actual values.  With these crossings, the area is a sum of partial moments
+    E[max(t - X, 0)] at midpoints and crossings, which come from the counts and sums of the values between these thresholds.
     """
-    keys = [*keys, "feature"]
-    mids = base.select(
-        *keys,
-        F.posexplode(F.zip_with("bin_edges", F.slice("bin_edges", 2, F.size("bin_edges")), lambda a, b: (a + b) / 2)).alias("_i", "value"),
-        "bin_props",
-    ).where(F.col("value").isNotNull()).select(*keys, "value", F.get("bin_props", F.col("_i")).alias("_u"), F.lit(0.0).alias("_v"))
-    counted = value_counts(long.join(base.select(*keys), keys, "left_semi"), keys, "value")
-    total = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
-    points = counted.join(total, keys).select(*keys, "value", F.lit(0.0).alias("_u"), (F.col("_n") / F.col("_t")).alias("_v"))
-    merged = mids.unionByName(points).groupBy(*keys, "value").agg(F.sum("_u").alias("_u"), F.sum("_v").alias("_v"))
-    s = Series.sampled(long, keys, ["value"])
-    d = running(
-        merged, s, {"_f": ("sum", F.col("_u")), "_g": ("sum", F.col("_v")), "_x": ("last", F.col("value"))}, exclusive=True
-    )
-    raw = d.groupBy(*keys).agg(F.sum(F.abs(F.col("_f") - F.col("_g")) * (F.col("value") - F.col("_x"))).alias("_raw"))
+    counts = counted(long, keys)
+    keys, c = [*keys, "feature"], F.col
+    usable = base.where(F.size("bin_edges") > 1)
+    mid = F.zip_with("bin_edges", F.slice("bin_edges", 2, F.size("bin_edges")), lambda a, b: (a + b) / 2)
+    steps = usable.withColumns({"_mid": F.slice(mid, 1, F.size("bin_edges") - 1), "_u": F.transform("bin_props", lambda p: p / F.aggregate("bin_props", F.lit(0.0), lambda a, x: a + x))})
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_t"))
+    # height of F after each midpoint
+    upto = F.transform(F.sequence(F.lit(1), F.size("_mid")), lambda i: F.aggregate(F.slice("_u", 1, i), F.lit(0.0), lambda a, x: a + x))
+    steps = steps.join(total, keys).select(*keys, "bin_edges", "_mid", "_t", upto.alias("_f"))
+    steps = steps.withColumn("_ranks", F.transform("_f", lambda f: F.greatest(F.least(F.ceil(f * c("_t")), c("_t")) - 1, F.lit(0)).cast("bigint")))
+    held = order_statistics(counts, keys, "value", steps.select(*keys, "_ranks")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_held"))  # one a bin
+    clamp = lambda x, i: F.greatest(F.get("_mid", i), F.least(F.get("_mid", i + 1), x))
+    crossing = F.transform(F.slice("_ranks", 1, F.size("_mid") - 1), lambda r, i: clamp(F.try_element_at("_held", r), i))
+    steps = reliable_checkpoint(steps.join(held, keys).withColumn("_cross", crossing).withColumn("_marks", F.array_sort(F.array_distinct(F.concat("_mid", "_cross")))))
+    at = F.size(F.filter("_marks", lambda m: m <= c("value")))
+    # values count from the first midpoint, so that narrow spans of large values keep their digits
+    origin = F.get("_mid", F.lit(0))
+    parts = counts.join(steps.select(*keys, "_marks", "_mid"), keys).groupBy(*keys, at.alias("_at")).agg(F.sum("_n").alias("_n"), F.sum(c("_n") * (c("value") - origin)).alias("_s"))
+    parts = parts.groupBy(*keys).agg(F.collect_list(F.struct("_at", "_n", "_s")).alias("_parts"))  # one more than marks at most
+    d = steps.join(parts, keys)
+
+    def below(t: Column) -> Column:
+        """E[max(t - X, 0)] at a mark t: parts up to the one that begins at t."""
+        rank = F.array_position("_marks", t)
+        return F.aggregate("_parts", F.lit(0.0), lambda a, p: a + F.when(p["_at"] < rank, (t - origin) * p["_n"] - p["_s"]).otherwise(0.0)) / c("_t")
+
+    mean = F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["_s"]) / c("_t")
+    last = F.element_at("_mid", -1)
+
+    def area(x: Column, i: Column) -> Column:
+        lo, hi, f = F.get("_mid", i), F.get("_mid", i + 1), F.get("_f", i)
+        return f * (2 * x - lo - hi) - 2 * below(x) + below(lo) + below(hi)
+
+    inner = F.aggregate(F.transform("_cross", area), F.lit(0.0), lambda a, x: a + x)
+    raw = below(origin) + inner + (mean - (last - origin) + below(last))
     span = F.element_at("bin_edges", -1) - F.get("bin_edges", F.lit(0))
-    d = raw.join(base.select(*keys, span.alias("_span")), keys)
-    return d.select(*keys, F.when(F.col("_span") > 0, F.col("_raw") / F.col("_span")).otherwise(F.col("_raw")).alias("wasserstein_rel"))
+    return d.select(*keys, F.when(span > 0, raw / span).otherwise(raw).alias("wasserstein_rel"))
 
 
 def drift_report(
     base: DataFrame, long: DataFrame, keys: Sequence[str], hard: Sequence[str] = tuple(HARD_FEATURES), min_values: int = 30,
 ) -> DataFrame:
-    """Severity ok / warn / pause per (keys, feature); only hard features can pause."""
+    """Severity ok / warn / pause per (keys, feature); only hard features can pause.  ``long`` is read once, ``base`` too."""
     k = [*keys, "feature"]
     base = reliable_checkpoint(base)  # a baseline is a small stored table; every measure below reads it
-    enough = long.groupBy(*k).agg(F.count(F.lit(1)).alias("n_actual")).where(F.col("n_actual") >= min_values)
-    d = psi(base, long, keys).join(wasserstein_relative(base, long, keys), k).join(enough, k)
+    counts = counted(long, keys)
+    enough = counts.groupBy(*k).agg(F.sum("_n").alias("n_actual")).where(F.col("n_actual") >= min_values)
+    d = psi(base, counts, keys).join(wasserstein_relative(base, counts, keys), k).join(enough, k)
     is_hard = F.col("feature").isin(list(hard))
     severity = (
         F.when(F.col("psi") >= PSI_PAUSE, F.when(is_hard, "pause").otherwise("warn"))

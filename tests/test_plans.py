@@ -204,3 +204,32 @@ def test_first_passage_equals_scan(spark, n):
     for r in q.itertuples():
         ok = (slots >= r.at) & (((value <= r.low) & (r.id % 3 != 0)) | ((value >= r.high) & (r.id % 5 != 0)))
         assert got[r.id] == (int(slots[ok][0]) if r.symbol == "A" and ok.any() else None)
+
+
+def test_order_statistics_of_hot_and_narrow_groups(spark):
+    from barflow.plans.quantiles import order_statistics, value_counts
+
+    rng = np.random.default_rng(8)
+    v = np.concatenate([np.round(rng.normal(0, 3, 3000), 2), np.full(2000, 1.25), rng.normal(1e6, 1e-3, 800)])
+    g = np.array(["a"] * 5000 + ["b"] * 800)
+    counts = value_counts(spark.createDataFrame(pd.DataFrame({"g": g, "v": v})), ["g"], "v").cache()
+    ranks = {"a": [0, 4999, 2500, 17, 4000, 4001], "b": [0, 799, 400]}
+    got = order_statistics(counts, ["g"], "v", spark.createDataFrame(list(ranks.items()), "g string, _ranks array<bigint>")).collect()
+    assert {(r["g"], r["_rank"]): r["_value"] for r in got} == {(k, i): float(np.sort(v[g == k])[i]) for k, x in ranks.items() for i in x}
+
+
+def test_wasserstein_equals_a_scan(spark):
+    from barflow.operators import drift as D
+
+    rng = np.random.default_rng(2)
+    frames = {"shift": (rng.normal(0, 1, 900), rng.normal(0.7, 1.3, 700)), "ties": (rng.integers(0, 4, 500) * 1.0, rng.integers(1, 9, 300) * 1.0), "same": (np.full(50, 7.0), np.full(60, 7.0)), "apart": (rng.normal(0, 1, 400), rng.normal(50, 1, 100))}
+    long = lambda i: spark.createDataFrame([("c", k, float(x)) for k, p in frames.items() for x in p[i]], "cell string, feature string, value double")
+    base = D.baseline(long(0), ["cell"])
+    got = {r["feature"]: r["wasserstein_rel"] for r in D.wasserstein_relative(base, long(1), ["cell"]).collect()}
+    for b in base.collect():
+        edges, u = np.array(b["bin_edges"]), np.array(b["bin_props"])
+        mids, x = (edges[1:] + edges[:-1]) / 2, np.sort(frames[b["feature"]][1])
+        points = np.sort(np.concatenate([mids, x]))
+        at = points[:-1]
+        f, h = np.array([u[mids <= p].sum() for p in at]), np.searchsorted(x, at, "right") / len(x)
+        assert got[b["feature"]] == pytest.approx((np.abs(f - h) * np.diff(points)).sum() / (edges[-1] - edges[0]), rel=1e-6)
