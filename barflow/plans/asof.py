@@ -42,56 +42,46 @@ def asof_join(
     tie = F.struct(*[F.col(c) for c in right_tie]) if right_tie else F.struct(F.lit(0).alias("z"))
     payload = F.struct(F.col(right_ts).cast("timestamp").alias("_rts"), *[F.col(c).alias(f"_val_{c}") for c in values])
     lrows = left.select(
-        *keys, F.col(left_ts).cast("timestamp").alias("_ts"), F.lit(1).alias("_side"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
-    )
-    rrows = right.select(
-        *keys, F.col(right_ts).cast("timestamp").alias("_ts"), F.lit(0).alias("_side"),
-        payload.alias("_right"), tie.alias("_tie"),
-    )
-    both = lrows.unionByName(rrows, allowMissingColumns=True)
-    order = ["_ts"]
-    if direction == "backward":
-        # left rows of one crowded instant may be spread over sub-cuts behind the right rows of that
-        # instant: the carry from the earlier cut gives them the same match
-        crowd = F.when(F.col("_side") == 1, F.pmod(F.xxhash64("_left"), F.lit(1_000_000)) + 1).otherwise(0)
-        both, order = both.withColumn("_crowd", crowd), ["_ts", "_crowd"]
+        *keys, F.col(left_ts).cast("timestamp").alias("_ts"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
+    ).withColumn("_crowd", F.pmod(F.xxhash64("_left"), F.lit(1_000_000_000)) + 1)
+    # one row per series and instant, combined before the shuffle: the first and the last of the right rows there
+    rrows = right.select(*keys, F.col(right_ts).cast("timestamp").alias("_ts"), payload.alias("_v"), tie.alias("_tie")).where("_ts is not null")
+    ends = {"backward": [("_late", F.max_by)], "forward": [("_early", F.min_by)], "nearest": [("_late", F.max_by), ("_early", F.min_by)]}[direction]
+    rrows = rrows.groupBy(*keys, "_ts").agg(F.struct(F.col("_ts").alias("_at"), *[f("_v", "_tie").alias(n) for n, f in ends]).alias("_right"))
+    # the left rows of a crowded instant spread over sub-cuts behind its right row
+    both = lrows.unionByName(rrows.withColumn("_crowd", F.lit(0).cast("bigint")), allowMissingColumns=True)
+    order = ["_ts", "_crowd"]
     if cuts is None:
         cuts = depth_cuts(both, order)
-    both = cuts.apply(both, order).drop("_crowd")
+    both = cuts.apply(both, order)
     part = [*keys, "_cut"]
-    at = F.when(F.col("_side") == 0, F.struct("_ts", "_tie"))
-    carry_src = both.groupBy(*part).agg(
-        F.max_by("_right", at).alias("_last"), F.min_by("_right", at).alias("_first")
-    )
+    back, ahead = direction != "forward", direction != "backward"
+    at = F.when(F.col("_right").isNotNull(), F.col("_ts"))
     by_cut = Window.partitionBy(*keys).orderBy("_cut")
-    carry = carry_src.select(
-        *part,
-        F.last("_last", ignorenulls=True).over(by_cut.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(by_cut.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    carry = both.groupBy(*part).agg(F.max_by("_right", at).alias("_last"), F.min_by("_right", at).alias("_first")).select(
+        *part, F.last("_last", ignorenulls=True).over(by_cut.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        *([F.first("_first", ignorenulls=True).over(by_cut.rowsBetween(1, Window.unboundedFollowing)).alias("_after")] if ahead else []),
     )
-    w = Window.partitionBy(*part).orderBy("_ts", "_side", "_tie")
-    # forward looks from the far end; right rows at the same instant must still be visible
-    wf = Window.partitionBy(*part).orderBy(F.col("_ts").desc(), F.col("_side").asc(), F.col("_tie").desc())
     upto = (Window.unboundedPreceding, Window.currentRow)
-    scanned = both
-    if direction in ("backward", "nearest"):
-        scanned = scanned.withColumn("_lo", F.last("_right", ignorenulls=True).over(w.rowsBetween(*upto)))
-    if direction in ("forward", "nearest"):
-        scanned = scanned.withColumn("_hi", F.last("_right", ignorenulls=True).over(wf.rowsBetween(*upto)))
-    hit = scanned.where("_side = 1").join(carry, part)
-    back = F.coalesce(F.col("_lo"), F.col("_before")) if direction != "forward" else None
-    ahead = F.coalesce(F.col("_hi"), F.col("_after")) if direction != "backward" else None
+    w = Window.partitionBy(*part).orderBy("_ts", "_crowd").rowsBetween(*upto)
+    scanned = both.withColumn("_lo", F.last("_right", ignorenulls=True).over(w))
+    if ahead:
+        later = Window.partitionBy(*part).orderBy(F.col("_ts").desc(), F.col("_crowd").desc()).rowsBetween(*upto)
+        scanned = scanned.withColumn("_hi", F.last("_right", ignorenulls=True).over(later))
+    hit = scanned.where(F.col("_left").isNotNull()).join(carry, part)
+    # the last instant at or before the row, found inside the cut or carried from an earlier one; and the next one after it
+    hit = hit.withColumns({"_b": F.coalesce("_lo", "_before"), **({"_a": F.coalesce("_hi", "_after")} if ahead else {})})
     if direction == "backward":
-        match = back
-    elif direction == "forward":
-        match = ahead
+        match = F.col("_b._late")
     else:
-        gap_back = F.unix_micros("_ts") - F.unix_micros(back["_rts"])
-        gap_ahead = F.unix_micros(ahead["_rts"]) - F.unix_micros("_ts")
-        closer = gap_ahead <= gap_back if prefer == "later" else gap_ahead < gap_back
-        match = F.when(back.isNull() | closer, ahead).otherwise(back)
-        match = F.coalesce(match, back)
+        # an instant that is the row's own counts for both directions
+        next_ = F.when(F.col("_b._at") == F.col("_ts"), F.col("_b._early")).otherwise(F.col("_a._early"))
+        match = next_
+        if back:
+            gap_back = F.unix_micros("_ts") - F.unix_micros("_b._at")
+            gap_ahead = F.unix_micros(next_["_rts"]) - F.unix_micros("_ts")
+            closer = gap_ahead <= gap_back if prefer == "later" else gap_ahead < gap_back
+            match = F.coalesce(F.when(F.col("_b").isNull() | closer, next_), F.col("_b._late"))
     hit = hit.withColumn("_m", match)
     if tolerance is not None:
         close = (F.col("_m._rts") + tolerance >= F.col("_ts")) & (F.col("_m._rts") - tolerance <= F.col("_ts"))

@@ -55,11 +55,11 @@ class DepthCuts:
     """Equal-depth cuts from sampled quantiles: any (series, cut) holds about 1/n of the rows.
 
     ``splits`` cut the time axis.  An instant that alone holds more than one cut's share is itself a split; ``ties`` has, for such
-    instants, the quantiles of the tie-break column inside them.
+    instants, bounds of the tie-break column inside them, of that column's own type, so that they keep its order exactly.
     """
 
     splits: tuple[float, ...] = ()
-    ties: tuple[tuple[float, tuple[float, ...]], ...] = field(default=())
+    ties: tuple[tuple[float, tuple], ...] = field(default=())
 
     def apply(self, df: DataFrame, order: Sequence[str], out: str = "_cut") -> DataFrame:
         inf = float("inf")
@@ -79,9 +79,10 @@ class DepthCuts:
             heavy = _literal([at if at in inside else None for at in (None, *self.splits)], "double")
             at_slice = lambda parts: F.get(_literal(list(accumulate((len(x) for x in parts[:-1]), initial=0)), "int"), F.col("_slice").cast("int"))
             size = lambda parts: F.get(_literal([len(x) for x in parts], "int"), F.col("_slice").cast("int"))
-            flat = lambda parts: _literal([b for x in parts for b in x], "double")
+            kind = df.schema[order[1]].dataType.simpleString()
+            flat = lambda parts: _literal([b for x in parts for b in x], kind)
             below = lambda bounds: F.size(F.filter(bounds, lambda b: F.col("_cut_tie") >= b))
-            df = df.withColumns({"_cut_heavy": F.get(heavy, F.col("_slice").cast("int")), "_cut_tie": order_value(df, order[1])})
+            df = df.withColumns({"_cut_heavy": F.get(heavy, F.col("_slice").cast("int")), "_cut_tie": F.col(order[1])})
             df = df.withColumn("_cut_skip", below(F.slice(flat(coarse), at_slice(coarse) + 1, size(coarse))) * STRIDE)
             own = F.col("_cut_skip") + below(F.slice(flat(lists), at_slice(lists) + F.col("_cut_skip") + 1, F.greatest(F.lit(0), F.least(F.lit(STRIDE), size(lists) - F.col("_cut_skip")))))
             # rows of the slice after the heavy instant sort behind its sub-cuts
@@ -94,11 +95,23 @@ Cuts = GridCuts | DepthCuts
 
 def _literal(values: Sequence, kind: str) -> Column:
     """An array literal (one parsed text, not a column for each value)."""
-    return F.expr(f"cast(array({', '.join('null' if v is None else f'{v!r}D' if kind == 'double' else str(v) for v in values)}) as array<{kind}>)")
+
+    def text(v) -> str:
+        if v is None:
+            return "null"
+        if isinstance(v, str):
+            return f"decode(unhex('{v.encode().hex()}'), 'utf-8')"
+        if isinstance(v, (bytes, bytearray)):
+            return f"unhex('{bytes(v).hex()}')"
+        if isinstance(v, float):
+            return f"double('{v!r}')"
+        return f"'{v}'" if not isinstance(v, int) or isinstance(v, bool) else str(v)
+
+    return F.expr(f"cast(array({', '.join(map(text, values))}) as array<{kind}>)")
 
 
 def order_value(df: DataFrame, name: str) -> Column:
-    """An order column as a double: microseconds for timestamps, the first six bytes for strings (equal beginnings stay together)."""
+    """An order column as a double: microseconds for timestamps, the first six bytes for strings.  Only for the time axis; tie-breaks keep their type."""
     kind = dict(df.dtypes)[name]
     if kind.startswith("timestamp"):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
@@ -109,29 +122,37 @@ def order_value(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+# Sampled tie-break values for each bound in a heavy instant.
+SAMPLED = 50
+
+
 def depth_cuts(df: DataFrame, order: Sequence[str], n: int | None = None) -> DepthCuts:
-    """Equal-depth cuts by two column-pruned passes at most: quantiles of the order column, and those of the tie-break column in heavy instants.
+    """Equal-depth cuts: quantiles of the order column by one column-pruned pass, and bounds of the tie-break column where an instant is heavy.
 
-    Same idea as the sampling pass of a distributed sort; about ``n`` numbers come back to the driver.
+    Same idea as the sampling pass of a distributed sort; about ``n`` numbers come back to the driver.  Heavy instants take two more
+    passes over their own rows: their sizes, then a sample of ``SAMPLED`` values a bound, sorted on the driver in the column's own type.
     """
     n = n or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n == 1:
         return DepthCuts()
-    probe = df.select(order_value(df, order[0]).alias("_at"), *[order_value(df, c).alias("_tie") for c in order[1:2]])
+    probe = df.select(order_value(df, order[0]).alias("_at"), *[F.col(c).alias("_tie") for c in order[1:2]])
     shares = Counter(probe.approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n))
     heavy = {at: count for at, count in shares.items() if count >= 2}
     ties = []
     if heavy and len(order) > 1:
-        m = min(MOST_SUBCUTS, max(heavy.values()))
-        found = (
-            probe.join(F.broadcast(df.sparkSession.createDataFrame([(at,) for at in heavy], "_at double")), "_at")  # n / 2 instants at most
-            .groupBy("_at").agg(F.percentile_approx("_tie", [i / m for i in range(1, m)], max(1_000, 4 * m)).alias("_q")).collect()
-        )
-        for r in found:
-            share = min(heavy[r["_at"]], m)
-            if r["_q"]:
-                ties.append((r["_at"], tuple(sorted({float(r["_q"][i * m // share - 1]) for i in range(1, share)}))))
-    return DepthCuts(tuple(sorted(shares)), tuple(sorted(ties)))
+        bounds = {at: min(MOST_SUBCUTS, count) for at, count in heavy.items()}
+        those = probe.where(F.col("_tie").isNotNull()).join(F.broadcast(df.sparkSession.createDataFrame([(at, float(m)) for at, m in bounds.items()], "_at double, _m double")), "_at")  # n / 2 instants at most
+        sizes = {r["_at"]: r["count"] for r in those.groupBy("_at").count().collect()}
+        if sizes:
+            rates = df.sparkSession.createDataFrame([(at, min(1.0, SAMPLED * bounds[at] / k)) for at, k in sizes.items()], "_at double, _rate double")
+            picked = those.join(F.broadcast(rates), "_at").where(F.rand(17) < F.col("_rate")).select("_at", "_tie").collect()  # SAMPLED * n / 2 values or so
+            sample: dict[float, list] = {}
+            for r in picked:
+                sample.setdefault(r["_at"], []).append(r["_tie"])
+            for at, values in sample.items():
+                values.sort()
+                ties.append((at, tuple(sorted({values[i * len(values) // bounds[at]] for i in range(1, bounds[at])}))))
+    return DepthCuts(tuple(sorted(shares)), tuple(sorted(ties, key=lambda t: t[0])))
 
 
 @dataclass(frozen=True)

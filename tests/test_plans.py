@@ -170,6 +170,33 @@ def test_asof_with_a_crowded_instant(spark):
     assert got.groupby("ts")["v"].agg(["min", "max", "count"]).to_numpy().tolist() == [[1, 1, 20], [2, 2, 900], [2, 2, 20]]
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("crowded", ["left", "right", "both"])
+def test_asof_with_three_quarters_at_one_instant(spark, direction, crowded):
+    rng = np.random.default_rng(6)
+    hot = pd.Timestamp("2024-01-05")
+
+    def side(n, name):
+        ts = pd.Series(pd.to_datetime(rng.integers(1_704_067_200, 1_704_900_000, n) // 600 * 600, unit="s"))
+        if crowded in (name, "both"):
+            ts[rng.random(n) < 0.75] = hot
+        return pd.DataFrame({"k": "a", "ts": ts, "row": range(n)})
+
+    left, right = side(800, "left"), side(700, "right").rename(columns={"row": "v"})
+    got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "ts", "ts", ["v"], right_tie=["v"], direction=direction, prefer="later").toPandas().set_index("row")["v"]
+    times, last, first = np.sort(right.ts.unique()), right.groupby("ts")["v"].max(), right.groupby("ts")["v"].min()
+    for r in left.itertuples():
+        before, after = times[times <= r.ts], times[times >= r.ts]
+        b, a = (before[-1] if len(before) else None), (after[0] if len(after) else None)
+        if direction == "backward":
+            want = None if b is None else last[b]
+        elif direction == "forward":
+            want = None if a is None else first[a]
+        else:
+            want = first[a] if b is None or (a is not None and a - r.ts <= r.ts - b) else last[b]
+        assert (None if pd.isna(got[r.row]) else int(got[r.row])) == (None if want is None else int(want))
+
+
 @pytest.mark.parametrize("tie", ["long", "string"])
 @pytest.mark.parametrize("instants,n", [(1, 2400), (500, 2000)])
 def test_crowded_instants_are_cut(spark, instants, n, tie):
@@ -177,14 +204,13 @@ def test_crowded_instants_are_cut(spark, instants, n, tie):
 
     rows = 8000
     at = F.when(F.col("id") % 4 < 3, (F.col("id") % instants) * 1000).otherwise(F.col("id") * 7).cast("long")
-    df = spark.range(rows).select(at.alias("ts"), F.lpad(F.xxhash64("id").cast("string"), 20, "0").alias("u") if tie == "string" else F.xxhash64("id").alias("u"))
+    df = spark.range(rows).select(at.alias("ts"), F.concat(F.lit("https://www.example.org/it's/"), F.lpad(F.xxhash64("id").cast("string"), 20, "0")).alias("u") if tie == "string" else F.xxhash64("id").alias("u"))
     cut = depth_cuts(df, ["ts", "u"], n).apply(df, ["ts", "u"]).cache()
     assert cut.columns == ["ts", "u", "_cut"]
     # cuts follow the order, and none is much larger than its share
     got = [r["_cut"] for r in cut.orderBy("ts", "u").collect()]
     assert got == sorted(got)
-    if tie == "long":
-        assert cut.groupBy("_cut").count().agg(F.max("count")).first()[0] <= max(60, 12 * rows / n)
+    assert cut.groupBy("_cut").count().agg(F.max("count")).first()[0] <= max(60, 12 * rows / n)
 
 
 @pytest.mark.parametrize("n", [50, 6000])
