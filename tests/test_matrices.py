@@ -16,6 +16,7 @@ S = Series.on_grid(["symbol"], "ts", 3600, rows=90)
 @pytest.mark.parametrize("kind,checks", [
     ("futures", [(I.rsi(14), "rsi_14"), (I.fractional_diff(), "frac_diff_d40"), (I.funding_zscore(), "funding_z")]),
     ("scalping", [(I.rsi(7), "rsi_7"), (I.macd(5, 13, 3), "macd"), (I.bollinger(10), "bb_pb")]),
+    ("base", [(I.rsi(14), "rsi_14"), (I.flow_imbalance(20), "ofi_z"), (I.trend_flags(), "trend_strength")]),
 ])
 def test_matrix_columns(walk, kind, checks):
     df, _ = walk
@@ -23,7 +24,7 @@ def test_matrix_columns(walk, kind, checks):
     assert len(m) > 100 and set(m.target) == {0, 1} and not m[X.FEATURES[kind]].isna().any().any()
     for feature, column in checks:
         own = I.add_features(df, S, feature).toPandas().set_index(["symbol", "ts"])[column]
-        name = "macd_fast" if column == "macd" else column
+        name = "macd_fast" if column == "macd" and kind == "scalping" else column
         assert np.allclose(m[name], own.loc[m.index], atol=1e-7)
     pt, sl, horizon = X.BARRIERS[kind]
     lab = L.triple_barrier(I.add_features(df, S, I.atr()), S, pt, sl, horizon).toPandas().set_index(["symbol", "ts"])["label"]
@@ -31,6 +32,24 @@ def test_matrix_columns(walk, kind, checks):
     assert ((lab.loc[m.index] == positive).astype(int) == m.target).all()
 
 
+def test_trend_matrix_keeps_rows_that_only_lack_warm_up(walk):
+    """A range and a label are needed; other unknown features are 0."""
+    df, _ = walk
+    m = X.training_matrix("trend", df, S, "1h").toPandas()
+    columns = X.FEATURES["trend"]
+    assert not m[columns].isna().any().any() and {"taker_buy_ratio", "avg_trade_size", "news_sentiment"} <= set(columns)
+    atr = I.add_features(df, S, I.atr()).toPandas().set_index(["symbol", "ts"])["atr_14"]
+    lab = L.triple_barrier(I.add_features(df, S, I.atr()), S, 4.0, 2.0, X.TREND_BARS["1h"]).toPandas().set_index(["symbol", "ts"])["label"]
+    want = {k for k in lab.index if lab[k] != 0 and atr[k] == atr[k]}
+    assert {tuple(x) for x in m[["symbol", "ts"]].to_numpy()} == {tuple(k) for k in want} and (m["frac_diff_d40"] == 0).any()
+
+
+def test_base_matrix_has_the_market_context(walk):
+    df, _ = walk
+    m = X.training_matrix("base", df, S, "1h").toPandas()
+    assert {"oi_change_pct", "fear_greed_norm"} <= set(m.columns) and set(m["fear_greed_norm"]) == {0.5} and set(m["oi_change_pct"]) == {0.0}
+
+
 def test_broken_or_mismatched_model_blocks(spark):
     df = spark.range(5).withColumn("a", F.col("id").cast("double"))
 
