@@ -8,7 +8,9 @@ from barflow.plans.ordered import Series
 from barflow.queries.base import TICKS_SQL, bar_series, bars, bars_sql, micros, query, r, show, sql_round, table, ticks
 from barflow.queries.join_queries import NEWS_SQL, news
 from barflow.queries.quality_queries import DIRTY_SQL, dirty_bars
+from barflow.session import scratch_path
 from barflow.sources import landing, store
+from barflow.sources.snapshots import SnapshotTable
 
 
 @query("store_time_slice", f"WITH {TICKS_SQL}, {bars_sql('1h')} SELECT ts, {sql_round('close, volume')} FROM bars WHERE symbol = 'view' AND ts >= epoch_us(TIMESTAMP '2024-01-10') AND ts < epoch_us(TIMESTAMP '2024-01-20')")
@@ -194,3 +196,69 @@ def landing_line_protocol(spark, sf):
                     F.lit(',note="n/a" '), (F.unix_micros("ts") * 1000).cast("string"))
     d = landing.line_protocol(ticks(spark, sf).select(line.alias("line")))
     return d.select("table", c("tags")["symbol"].alias("symbol"), c("longs")["id"].alias("id"), r(c("doubles")["price"]).alias("price"), c("flags")["big"].alias("big"), c("strings")["note"].alias("note"), micros().alias("ts"))
+
+
+# --- stores on disk: written to the scratch folder from the given tables, and read back ------------
+
+_OHLC = "open, high, low, close, volume"
+
+
+def _stored(spark, name: str, rows) -> SnapshotTable:
+    return SnapshotTable(spark, scratch_path(spark, name), rows.schema)
+
+
+@query("store_scan_snapshot", f"WITH {TICKS_SQL}, {bars_sql('1h')} SELECT symbol, ts, {sql_round(_OHLC)} FROM bars")
+def store_scan_snapshot(spark, sf):
+    """Hourly bars appended in two batches (one of them twice) and scanned."""
+    b = bars(spark, sf, "1h").select("symbol", "ts", *_OHLC.split(", "))
+    t = _stored(spark, "scan", b)
+    late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
+    t.append(b.where(~late), "a")
+    t.append(b.where(late), "b")
+    t.append(b.where(late), "b")  # a batch that is there changes nothing
+    return show(t.read(), *_OHLC.split(", "))
+
+
+@query("store_ingest_csv", f"WITH {TICKS_SQL.replace('event_type AS symbol', chr(39) + 'ALL' + chr(39) + ' AS symbol')}, {bars_sql('1h')} SELECT symbol, '1h' AS timeframe, ts, {sql_round(_OHLC)} FROM bars")
+def store_ingest_csv(spark, sf):
+    """Bars of all trades as CSV, ingested twice: months that are there are skipped."""
+    from barflow.operators.bars import bars_from_ticks
+
+    b = bars_from_ticks(ticks(spark, sf).withColumn("symbol", F.lit("ALL")), "1h")
+    csv, path = scratch_path(spark, "csv"), scratch_path(spark, "ingested")
+    b.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *_OHLC.split(", ")).write.option("header", True).csv(csv)
+    store.ingest_csv(spark, csv, path, "ALL", "1h")
+    store.ingest_csv(spark, csv, path, "ALL", "1h")
+    return show(spark.read.parquet(path), *_OHLC.split(", "), keys=("symbol", "timeframe", "ts"))
+
+
+@query("store_upsert_snapshot", f"""WITH {TICKS_SQL}, {bars_sql('1h')} SELECT symbol, ts, round(CASE WHEN ts >= epoch_us(TIMESTAMP '2024-01-15') THEN close * 3 ELSE close END, 6) + 0.0 AS close FROM bars""")
+def store_upsert_snapshot(spark, sf):
+    """Upsert into the stored months; of two new rows with one key the later arrival wins."""
+    b = bars(spark, sf, "1h").select("symbol", "ts", "close", F.lit(0).alias("arrived"))
+    t = _stored(spark, "upsert", b)
+    t.append(b.where(F.col("ts") < F.lit("2024-01-18").cast("timestamp")))
+    new = b.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))
+    twice = new.withColumns({"close": F.col("close") * 3, "arrived": F.lit(2)}).unionByName(new.withColumns({"close": F.col("close") * 2, "arrived": F.lit(1)}))
+    t.upsert(twice, ["symbol", "ts"], ["arrived"])
+    return show(t.read(), "close")
+
+
+@query("store_compaction", f"{DIRTY_SQL} SELECT symbol, ts, id, round(close, 6) + 0.0 AS close FROM dirty QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY id) = 1")
+def store_compaction(spark, sf):
+    d = dirty_bars(spark, sf).select("symbol", "ts", "id", "close")
+    t = _stored(spark, "compact", d)
+    t.append(d.where("id % 2 = 0"))
+    t.append(d.where("id % 2 = 1"))
+    t.compact(["symbol", "ts"], ["id"])
+    return show(t.read(), "id", "close")
+
+
+@query("store_manifest_rows", f"WITH {TICKS_SQL}, {bars_sql('1h')} SELECT symbol, strftime(make_timestamp(ts), '%Y-%m') AS yyyymm, count(*) AS rows, TRUE AS has_files FROM bars GROUP BY 1, 2")
+def store_manifest_rows(spark, sf):
+    """Rows of the stored months from the manifest, and whether file metadata shows files for them."""
+    b = bars(spark, sf, "1h").select("symbol", "ts", "close")
+    t = _stored(spark, "status", b)
+    t.append(b)
+    sizes = t.sizes().select("symbol", "yyyymm", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("has_files"))
+    return t.manifest().groupBy("symbol", "yyyymm").agg(F.sum("_rows").alias("rows")).join(sizes, ["symbol", "yyyymm"], "left")

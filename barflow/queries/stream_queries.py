@@ -130,3 +130,26 @@ def rollover_day_rows(spark, sf):
 def stale_agents(spark, sf):
     hb = table(spark, sf, "events").select(F.col("user_id").alias("agent"), "ts", F.col("event_type").alias("status"))
     return show(jobs.stale_agents(hb, F.timestamp_micros(F.lit(1_706_572_800_000_000)), 36_000), "last_ts", "status", "lag_s", "stale", keys=("agent",), digits=3)
+
+
+@query("stream_live_news", """WITH n AS (SELECT doc_id AS id, 1704067200000000 + doc_id * 2580000000 AS ts, length(text) AS n FROM documents)
+  SELECT id, ts, n FROM n WHERE ts >= (SELECT max(ts) FROM n) - 172800000000""")
+def stream_live_news(spark, sf):
+    """The view over the last 48 hours of a news stream, after all of it has arrived."""
+    d = event_stream(spark, sf, "documents")
+    items = d.select(F.col("doc_id").alias("id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("doc_id") * 2_580_000_000).alias("ts"), F.length("text").cast("bigint").alias("n"))
+    view = f"live_news_{abs(hash(scratch_path(spark, 'n')))}"
+    jobs.live_news(items, view, scratch_path(spark, "live-news-state"), scratch_path(spark, "live-news"), 48, every=None).awaitTermination()
+    return show(spark.table(f"global_temp.{view}"), "n", keys=("id", "ts"))
+
+
+@query("stream_routed_tables", f"""WITH {TICKS_SQL} SELECT CASE WHEN volume > 50 THEN 'large' ELSE 'small' END AS kind, symbol, strftime(make_timestamp(us), '%Y-%m') AS yyyymm, count(*) AS n, round(sum(price), 4) + 0.0 AS total FROM ticks GROUP BY 1, 2, 3""")
+def stream_routed_tables(spark, sf):
+    """A tick stream split into two committed tables."""
+    from barflow.sources.snapshots import SnapshotTable
+
+    s = tick_stream(spark, sf)
+    large, small = (SnapshotTable(spark, scratch_path(spark, k), s.schema) for k in ("large", "small"))
+    jobs.snapshot_sink(s, [(large, lambda d: d.where("volume > 50")), (small, lambda d: d.where("volume <= 50"))], scratch_path(spark, "routed-state"), every=None).awaitTermination()
+    both = large.read().withColumn("kind", F.lit("large")).unionByName(small.read().withColumn("kind", F.lit("small")))
+    return both.groupBy("kind", "symbol", "yyyymm").agg(F.count(F.lit(1)).alias("n"), r(F.sum("price"), 4).alias("total"))

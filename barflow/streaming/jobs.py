@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from barflow import schemas
 from barflow.functions.book import top_of_book
 from barflow.operators.bars import TIMEFRAME_SECONDS
 from barflow.operators.quality import keep_last
+from barflow.sources.snapshots import SnapshotTable
 
 DEPTH = "stream STRING, data STRUCT<E: BIGINT, bids: ARRAY<ARRAY<STRING>>, asks: ARRAY<ARRAY<STRING>>>"
 
@@ -165,15 +166,39 @@ def stale_agents(heartbeats: DataFrame, now: Column, seconds: float, key: str =
     return d.withColumn("lag_s", lag).withColumn("stale", F.col("lag_s") > seconds)
 
 
+def snapshot_sink(stream: DataFrame, tables: Sequence[tuple[SnapshotTable, Callable[[DataFrame], DataFrame]]], checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
+    """A stream into several tables, each with the part of the batch that its function picks.
+
+    Every table commits a micro-batch by its number, so a batch that is replayed after a failure adds nothing where it had been committed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            for target, pick in tables:
+                target.append(pick(batch), f"{batch_id:020d}")
+        finally:
+            batch.unpersist()
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
 def live_news(stream: DataFrame, view: str, checkpoint: str, path: str, hours: int = 48, every: str | None = "5 minutes") -> StreamingQuery:
-    """Keep the global view ``global_temp.<view>`` over the last hours of news; each refresh appends its batch and re-points it."""
+    """Keep the global view ``global_temp.<view>`` over the last hours of news.
+
+    Each refresh appends its batch to a snapshot table by month and re-points the view; the view opens only the months that its window touches.
+    """
+    spark = stream.sparkSession
+    news = SnapshotTable(spark, path, T.StructType([*stream.schema.fields, T.StructField("_all", T.StringType())]), ["_all"])
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-        all_news = spark.read.parquet(path)
-        newest = all_news.agg(F.max("ts")).scalar()
-        all_news.where(F.col("ts") >= newest - F.make_dt_interval(hours=F.lit(hours))).drop("batch_id").createOrReplaceGlobalTempView(view)
+        news.append(batch.withColumn("_all", F.lit("news")), f"{batch_id:020d}")
+        months = [r["yyyymm"] for r in news.manifest().select("yyyymm").distinct().orderBy(F.desc("yyyymm")).where("yyyymm <> 'unknown'").limit(1).collect()]
+        newest = news.read(where=lambda m: m.where(F.col("yyyymm").isin(months))).agg(F.max("ts")).first()[0] if months else None
+        since = F.lit(newest) - F.make_dt_interval(hours=F.lit(hours))
+        window = news.read(where=news.months(since, F.lit(newest))) if newest else news.read()
+        window.where(F.col("ts") >= since).select(*stream.columns).createOrReplaceGlobalTempView(view)
 
     w = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

@@ -22,7 +22,8 @@ HEADLINE = [
     "splits_walk_forward", "asof_backward", "asof_nearest", "trailing_day_mean", "training_frame_aligned", "trade_excursions", "quality_report",
     "drift_report", "classifier_metrics", "rolling_threshold", "mean_pairwise_correlation", "strategy_performance", "trade_ledger",
     "backtest_performance", "text_tone_documents", "news_coin_tags", "log_error_signatures", "linear_recurrence_varying_decay", "plateau_winners",
-    "stream_window_bars", "stream_ema",
+    "stream_window_bars", "stream_ema", "table_row_counts", "coverage_matrix", "series_inventory", "store_recent_news", "trades_backfilled", "trailing_stops",
+    "backtest_walk_forward",
 ]
 
 
