@@ -153,3 +153,17 @@ def stream_routed_tables(spark, sf):
     jobs.snapshot_sink(s, [(large, lambda d: d.where("volume > 50")), (small, lambda d: d.where("volume <= 50"))], scratch_path(spark, "routed-state"), every=None).awaitTermination()
     both = large.read().withColumn("kind", F.lit("large")).unionByName(small.read().withColumn("kind", F.lit("small")))
     return both.groupBy("kind", "symbol", "yyyymm").agg(F.count(F.lit(1)).alias("n"), r(F.sum("price"), 4).alias("total"))
+
+
+@query("stream_trailing_stop", """WITH p AS (SELECT user_id AS trade_id, epoch_us(ts) AS ts, value AS price, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS dir,
+    greatest(50.0::DOUBLE, max(value) OVER w) AS hi, least(50.0::DOUBLE, min(value) OVER w) AS lo FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  h AS (SELECT *, CASE WHEN dir > 0 THEN price <= hi * 0.01 ELSE price >= lo * 1.99 END AS stop_hit FROM p),
+  e AS (SELECT trade_id, min(ts) FILTER (stop_hit) AS last FROM h GROUP BY 1)
+  SELECT trade_id, ts, round(100 * greatest(CASE WHEN dir > 0 THEN hi / 50 - 1 ELSE 1 - lo / 50 END, 0), 6) + 0.0 AS mfe_pct, round(100 * least(CASE WHEN dir > 0 THEN lo / 50 - 1 ELSE 1 - hi / 50 END, 0), 6) + 0.0 AS mae_pct, stop_hit
+  FROM h JOIN e USING (trade_id) WHERE last IS NULL OR ts <= last""")
+def stream_trailing_stop(spark, sf):
+    """Every user's events as the prices of one trade, followed until its stop at 99 percent."""
+    d = event_stream(spark, sf).select(
+        F.col("user_id").alias("trade_id"), "ts", F.col("value").alias("price"), F.lit(50.0).alias("entry_price"), F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1).alias("direction")
+    )
+    return show(drain(stateful.trailing_stop(d, 99.0), "trailing-stop"), "mfe_pct", "mae_pct", "stop_hit", keys=("trade_id", "ts"))

@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql import types as T
 
@@ -69,19 +71,61 @@ def loss_streak(df: DataFrame, limit: int = 5, keys=("strategy",), order=("ts",
     return keyed_fold(df, keys, order, {"n": "bigint"}, step, {"losses": "bigint", "paused": "boolean"})
 
 
-def trailing_stop(df: DataFrame, percent: float = 2.0, keys=("trade_id",), order=("ts",)) -> DataFrame:
-    """Best price, excursions and stop flag of open trades fed with prices ``(trade_id, ts, price, entry_price, direction)``."""
+class _TrailingStops(StatefulProcessor):
+    """Extremes of a trade since its entry; once stopped, only a mark that a timer removes."""
 
-    def step(st, row):
-        entry, long = row["entry_price"], row["direction"] > 0
-        high, low = (entry, entry) if st is None else (st[0], st[1])
-        high, low = max(high, row["price"]), min(low, row["price"])
-        best, worst = high / entry - 1, low / entry - 1
-        hit = row["price"] <= high * (1 - percent / 100) if long else row["price"] >= low * (1 + percent / 100)
-        mfe, mae = (best, worst) if long else (-worst, -best)
-        return (float(high), float(low)), {"mfe_pct": 100 * max(mfe, 0.0), "mae_pct": 100 * min(mae, 0.0), "stop_hit": bool(hit)}
-
-    return keyed_fold(df, keys, order, {"high": "double", "low": "double"}, step, {"mfe_pct": "double", "mae_pct": "double", "stop_hit": "boolean"})
+    def __init__(self, percent: float, keep_seconds: int, columns: list[str]):
+        self.percent, self.keep_ms, self.columns = percent, keep_seconds * 1000, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("trade", "high double, low double, stopped boolean, last_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        high, low, stopped, last = self.held.get() if self.held.exists() else (None, None, False, None)
+        # one trade's prices of one micro-batch; what is not after the last price seen is late and left out
+        d = pd.concat(list(rows), ignore_index=True)
+        d["_us"] = d["ts"].astype("datetime64[us]").astype("int64")
+        d = d.sort_values("_us", kind="stable", ignore_index=True)
+        d = d[d["_us"] > last] if last is not None else d
+        if stopped or not len(d):
+            return
+        price, entry, long = d["price"].to_numpy(float), d["entry_price"].to_numpy(float), d["direction"].to_numpy(float) > 0
+        highs = np.maximum.accumulate(np.maximum(price, np.concatenate([[entry[0] if high is None else high], np.full(len(d) - 1, -np.inf)])))
+        lows = np.minimum.accumulate(np.minimum(price, np.concatenate([[entry[0] if low is None else low], np.full(len(d) - 1, np.inf)])))
+        hit = np.where(long, price <= highs * (1 - self.percent / 100), price >= lows * (1 + self.percent / 100))
+        n = int(np.argmax(hit)) + 1 if hit.any() else len(d)
+        best, worst = highs / entry - 1, lows / entry - 1
+        out = d[self.columns].assign(mfe_pct=100 * np.maximum(np.where(long, best, -worst), 0.0), mae_pct=100 * np.minimum(np.where(long, worst, -best), 0.0), stop_hit=hit)
+        newest = int(d["_us"].iloc[-1])
+        self.held.update((float(highs[n - 1]), float(lows[n - 1]), bool(hit.any()), newest))
+        if hit.any():
+            self.handle.registerTimer(max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms)
+        yield out.iloc[:n]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+# Timers and typed state variables need this store; set it before the query starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def trailing_stop(df: DataFrame, percent: float = 2.0, key: str = "trade_id", keep_seconds: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """Best price, excursions and stop flag of open trades fed with prices ``(trade_id, ts, price, entry_price, direction)``.
+
+    A trade's rows end with its stop.  Its state is then a mark that swallows later prices, and is removed ``keep_seconds`` of event time after.
+    Prices that are not after the last one seen of their trade are late and left out.
+    """
+    columns = [key, "ts", "price", "entry_price", "direction"]
+    d = df.select(*columns).withWatermark("ts", delay)
+    schema = T.StructType([*d.schema.fields, T.StructField("mfe_pct", T.DoubleType()), T.StructField("mae_pct", T.DoubleType()), T.StructField("stop_hit", T.BooleanType())])
+    df.sparkSession.conf.set(*STATE_STORE)
+    return d.groupBy(key).transformWithStateInPandas(_TrailingStops(percent, keep_seconds, columns), schema, "append", "EventTime")
 
 
 def supertrend(df: DataFrame, period: int = 10, mult: float = 3.0, keys=("symbol",), order=("ts",)) -> DataFrame:

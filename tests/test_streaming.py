@@ -71,15 +71,23 @@ def test_online_supertrend_equals_batch(spark, walk):
         assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True)
 
 
-def test_trailing_stop_and_streak_state(spark, tmp_path):
-    rows = [(1, t, p, 100.0, 1) for t, p in enumerate([101.0, 105.0, 104.0, 102.0])]
-    path = str(tmp_path / "p")
-    schema = "trade_id long, ts long, price double, entry_price double, direction int"
-    for r in rows:
-        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(path)
-    got = drain(stateful.trailing_stop(jobs.read_files(spark, path, schema, files_per_trigger=1)), "t-stop").orderBy("ts").toPandas()
-    assert list(got.stop_hit) == [False, False, False, True]
-    assert got.mfe_pct.iloc[-1] == pytest.approx(5.0) and got.mae_pct.iloc[-1] == 0.0
+def test_trailing_stop_ends_with_the_stop_and_its_mark_expires(spark, tmp_path):
+    at = lambda h: (pd.Timestamp("2025-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
+    batches = [
+        [(1, at(0), 101.0), (1, at(1), 105.0)], [(1, at(3), 102.0), (1, at(2), 104.0), (1, at(4), 90.0)],
+        [(1, at(5), 200.0), (2, at(5), 100.0)],  # after the stop: swallowed
+        [(2, at(90), 101.0)], [(2, at(91), 101.5)],  # time passes, the mark of trade 1 goes
+        [(1, at(92), 99.0), (2, at(1), 500.0)],  # so the number can be used again; the other row is late
+    ]
+    path, schema = str(tmp_path / "p"), "trade_id long, ts timestamp, price double"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    prices = jobs.read_files(spark, path, schema, files_per_trigger=1).withColumns({"entry_price": F.lit(100.0), "direction": F.lit(1)})
+    got = drain(stateful.trailing_stop(prices), "t-stop").orderBy("trade_id", "ts").toPandas()
+    assert [(i, t.hour + 24 * (t.day - 1), s) for i, t, s in zip(got.trade_id, got.ts, got.stop_hit)] == [
+        (1, 0, False), (1, 1, False), (1, 2, False), (1, 3, True), (1, 92, False), (2, 5, False), (2, 90, False), (2, 91, False)
+    ]
+    assert got.mfe_pct.iloc[3] == pytest.approx(5.0) and got.mae_pct.iloc[3] == 0.0 and got.mae_pct.iloc[4] == pytest.approx(-1.0)
 
 
 def test_agents_time_out(spark, tmp_path):
