@@ -103,7 +103,7 @@ parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 ruled AS (
   SELECT *, CASE {cases} END AS rule
   FROM parts)
-SELECT page_id, host, path, rule, CASE {verdicts} WHEN regexp_matches(lower(host || chr(10) || path), '(^|[^a-z0-9])({words})($|[^a-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, CASE {verdicts} WHEN regexp_matches(translate(host || chr(10) || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])({words})($|[^a-z0-9])') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled"""
 
 

@@ -30,6 +30,11 @@ class Rule:
     weight: int
 
 
+def words_of(text: str) -> list[str]:
+    """Tokens of a rule's text, cut as those of URLs are."""
+    return re.findall(TOKEN, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
 def path_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits a host and its subdomains if the path starts with ``path``; longer rules weigh more.
 
@@ -37,19 +42,24 @@ def path_rule(host: str, path: str, verdict: str) -> Rule:
     """
     name = host + path
     segments = path.split("/")[1:-1]
-    tokens = [t for part in [*host.split("."), *segments] for t in re.findall(TOKEN, part.lower())]
+    tokens = [t for part in [*host.split("."), *segments] for t in words_of(part)]
     return Rule(name, f"^(?:[^\\n]*\\.)?{re.escape(host)}\\n{re.escape(path)}", tuple(dict.fromkeys(tokens)), verdict, PATH_WEIGHT + len(name))
 
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
     """Fits URLs that hold a word between marks anywhere in host or path."""
-    tokens = tuple(dict.fromkeys(re.findall(TOKEN, word.lower())))
+    tokens = tuple(dict.fromkeys(words_of(word)))
     return Rule(word, f"(?i)(?:^|[^a-z0-9]){re.escape(word)}(?:$|[^a-z0-9])", tokens, verdict, len(word))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and nothing else, as patterns do: other letters stay marks."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """Lower-cased (A-Z) part after the first ``://`` up to ``/``, ``?``, ``#`` or the end; null or no ``://``: empty."""
-    return F.coalesce(F.translate(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(ascii_lower(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -70,7 +80,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, id_cols: list[str], url_col:
     """
     keyed = pages.select(*id_cols, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     places = keyed.select("host", "path").distinct()
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", "host", "path")), F.lit(TOKEN), F.lit(0)))
+    tokens = F.array_distinct(F.regexp_extract_all(ascii_lower(F.concat_ws("\n", "host", "path")), F.lit(TOKEN), F.lit(0)))
     spread = places.select("host", "path", F.explode(tokens).alias("token"))
     checked = rules.select("*", F.assert_true(F.size("tokens") > 0, "a rule has no token").alias("_ok")).where(F.col("_ok").isNull()).drop("_ok")
     filed = checked.withColumn("token", F.explode("tokens"))

@@ -6,7 +6,7 @@ from barflow.llm import url_rules
 
 URLS = [
     "http://a.org/日本casino", "http://a.org/casino日本", "http://écasino.org/", "http://a.org/x/winé", "http://a.org/日本casinos", "http://a.org/日本/CASINO", "http://日本.example.com/en/é7",
-    "http://example.comé/en/7", "http://a.org/ca日sino", "http://a.org/\U0001f600win\U0001f600",
+    "http://example.comé/en/7", "http://a.org/ca日sino", "http://a.org/\u212acasino", "http://a.org/win\u0130", "http://a.org/w\u0130n", "http://a.org/\U0001f600win\U0001f600",
 ]
 
 
@@ -16,6 +16,6 @@ def test_words_next_to_other_letters_against_brute_force(spark):
     got = {r["url"]: r["hit"] and r["hit"]["rule"] for r in url_rules.apply_rules(spark.createDataFrame([(u,) for u in URLS], "url string"), rules, ["url"], "url").collect()}
     for u in URLS:
         own, path = re.match("http://([^/]*)(.*)", u).groups()
-        want = next((w for w in words if re.search(f"(^|[^a-z0-9]){w}($|[^a-z0-9])", f"{own}\n{path}", re.I)), None)
+        want = next((w for w in words if re.search(f"(^|[^a-z0-9]){w}($|[^a-z0-9])", f"{own}\n{path}", re.I | re.A)), None)
         assert got[u] == (host + start if f".{own}".endswith(f".{host}") and path.startswith(start) else want), u
-    assert sum(x == "casino" for x in got.values()) == 4
+    assert sum(x == "casino" for x in got.values()) == 5
