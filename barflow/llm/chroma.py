@@ -22,6 +22,7 @@ from barflow.llm.common import kind, map_batches, settle
 CLASSES = 12
 # (shape, first class, classes, frames): what of a rectangle is compared.  Shapes: 0 all against nothing, 1 upper and lower half, 2 first and second half,
 # 3 diagonal quarters, 4 middle third of the classes against the rest, 5 middle third of the frames against the rest.
+# fixed values: the filter table published with the open-source Chromaprint library, whose own source is under the MIT licence
 FILTERS = [
     (0, 4, 3, 15), (4, 4, 6, 15), (1, 0, 4, 16), (3, 8, 2, 12), (3, 4, 4, 8), (4, 0, 3, 5), (1, 2, 2, 9), (2, 7, 3, 4),
     (2, 6, 2, 16), (2, 1, 3, 2), (5, 10, 1, 15), (3, 6, 2, 10), (2, 1, 1, 14), (3, 5, 6, 4), (1, 9, 2, 12), (3, 4, 2, 14),
@@ -142,14 +143,19 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio", settin
     return map_batches(media.select(id_col, audio_col), run, f"`{id_col}` {kind(media, id_col)}, frames array<int>, ints array<int>", 64)
 
 
+# Votes that an offset needs before a pair is looked at.
+LEAST_VOTES = 2
+
+
 def align(prints: DataFrame, wanted: DataFrame, id_col: str, most_errors: float = 0.15, least_overlap: int = 12) -> tuple[DataFrame, DataFrame]:
     """Align the recordings of ``wanted`` (ids) with all of ``prints``: (classes, links).
 
     ``classes`` has a row for each input row: ``id_col`` and ``class_id``, the smallest id with the same fingerprint (null: no fingerprint); equal recordings are
     aligned once.  ``links`` has a row for each pair of a wanted class ``query`` and another class ``found`` that overlaps at the best ``offset`` (frames of
     ``found`` minus frames of ``query``) in ``least_overlap`` frames or more with at most ``most_errors`` differing bits: ``errors`` is their share.  Halves of
-    integers vote for offsets (runs of one half in a recording count once); all offsets with at least half the votes of the first are measured, and the best
-    has the fewest errors (then most votes, then the smallest offset).  A pair without an equal half at its offset is not seen.
+    integers vote for offsets (runs of one half in a recording count once); offsets with at least two votes and at least half the votes of the first are
+    measured, and the best has the fewest errors (then most votes, then the smallest offset).  A pair without two equal halves at its offset is not seen:
+    unrelated recordings share one half by chance, but hardly ever two at one offset, so only likely pairs meet their fingerprints.
     """
     rows = settle(prints, "prints")
     heard = rows.where(F.size("ints") > 0)
@@ -167,6 +173,7 @@ def align(prints: DataFrame, wanted: DataFrame, id_col: str, most_errors: float
     votes = (
         posting.join(asked, "value").where("class_id <> query")
         .groupBy("query", F.col("class_id").alias("found"), (F.col("frame") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
+        .where(F.col("votes") >= LEAST_VOTES)
     )
     offsets = votes.groupBy("query", "found").agg(F.max("votes").alias("most"), F.collect_list(F.struct("votes", "offset")).alias("o"))
     offsets = offsets.select("query", "found", F.filter("o", lambda x: x["votes"] * 2 >= F.col("most")).alias("o"))
