@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 A text is normalised as the model asks (a leading word mark, blanks turned into word marks), cut into chunks that no
-merge can cross, and every chunk is merged by a score-ordered agenda: adjacent symbol pairs that form a piece wait in a
-heap, the best score (leftmost on ties) is merged first, and its new neighbours join the agenda.  Characters outside the
+merge can cross, and every chunk is merged by a score-ordered agenda: adjacent symbol pairs that form a piece wait in
+it, the best score (leftmost on ties) is merged first, and its new neighbours join the agenda.  Characters outside the
 vocabulary fall back to byte pieces.
 
+The agendas of all new chunks of a batch are worked together: those of chunks with equally many symbols are the rows of one array of
+ranks, of which each step takes the least of every row.  A merge leaves one symbol less, so the rows then join the chunks of
+the next length.  A long chunk, for which that would be a step for each of its symbols, has a heap of its own.
+
 Every distinct chunk that a worker meets is also encoded and decoded by the sentencepiece library, in one call for each
 Arrow batch; a difference fails the job.  As chunks are independent, this checks every whole text.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,9 @@ MARK = "▁"
 # Chunks whose encodings a worker remembers (about 250 bytes each), and the longest it remembers.
 REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
+# Symbols up to which agendas are worked together.
+TOGETHER = 48
+_NEVER = np.iinfo(np.int32).max
 
 _MODELS: dict[str, PieceModel] = {}
 
@@ -37,6 +45,32 @@ def _one_mark_per_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("one_mark_per_byte", _one_mark_per_byte)
 
 
+class PairTable:
+    """Symbols are the characters that pieces hold, and the longer pieces; the table has every parting of a piece into two symbols, by left * symbols + right."""
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, int]):
+        symbols = [*sorted({c for p in ids for c in p}), *(p for p in ids if len(p) > 1)]
+        number = {p: k for k, p in enumerate(symbols)}
+        self.id_of = np.array([ids.get(p, -1) for p in symbols], np.int32)
+        self.char_of = np.full(0x110000, -1, np.int32)
+        for c in symbols:
+            if len(c) == 1:
+                self.char_of[ord(c)] = number[c]
+        pairs = sorted(
+            (number[p[:k]] * len(symbols) + number[p[k:]], rank[p], number[p]) for p in rank for k in range(1, len(p)) if p[:k] in number and p[k:] in number
+        )
+        self.pair_key, pair_rank, pair_symbol = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else [np.zeros(0, np.int64)] * 3
+        self.pair_rank, self.pair_symbol = np.append(pair_rank, _NEVER).astype(np.int32), np.append(pair_symbol, -1).astype(np.int32)
+        self.pair_key = np.append(self.pair_key, np.iinfo(np.int64).max)
+
+    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair of symbols in the pair table; the last place if it forms no piece."""
+        n, none = len(self.id_of), len(self.pair_key) - 1
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * n + right, -1)
+        at = np.searchsorted(self.pair_key, key)
+        return np.where(self.pair_key[at] == key, at, none)
+
+
 class PieceModel:
     """Vocabulary tables of one model file, read once in each worker."""
 
@@ -57,6 +91,9 @@ class PieceModel:
         for value, i in self.byte_id.items():
             self.raw[i] = bytes([value])
         self.raw[lib.unk_id()] = " ⁇ ".encode()
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        self.raw_first = np.cumsum(self.raw_size) - self.raw_size
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces that span words; chunks would not be independent")
         self.lines = not any("\n" in p for p in self.ids)  # line feeds part chunks too, unless a piece holds one
@@ -64,6 +101,61 @@ class PieceModel:
         self.feed = lib.encode("\n")
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def table(self) -> PairTable:
+        """Pairs of symbols by rank, made when first asked for."""
+        return PairTable(self.ids, self.rank)
+
+    def merge_together(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of many chunks, as little-endian 32-bit numbers."""
+        table = self.table
+        out: list[bytes] = [b""] * len(chunks)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        for i in np.flatnonzero(sizes > TOGETHER).tolist():
+            out[i] = np.array(self.merge(chunks[i]), "<i4").tobytes()
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum(sizes) - sizes
+        names = table.char_of[points]
+        apart = np.zeros(len(chunks), bool)  # chunks with a character that is not a piece: their bytes take its place
+        apart[np.repeat(np.arange(len(chunks)), sizes)[np.append(table.id_of, -1)[names] < 0]] = True
+        for i in np.flatnonzero(apart & (sizes <= TOGETHER)).tolist():
+            out[i] = np.array(self.merge(chunks[i]), "<i4").tobytes()
+        open_ = ~apart & (sizes <= TOGETHER)
+        rows, held, ranks, places = np.zeros(0, np.int64), None, None, None
+        for n in range(int(sizes[open_].max(initial=0)), 0, -1):
+            mine = np.flatnonzero(open_ & (sizes == n))
+            fresh = names[first[mine, None] + np.arange(n)]
+            fresh_places = table.places(fresh[:, :-1], fresh[:, 1:])
+            rows, held, places = (np.r_[rows, mine], np.r_[held, fresh], np.r_[places, fresh_places]) if len(rows) else (mine, fresh, fresh_places)
+            if not len(rows):
+                continue
+            ranks = table.pair_rank[places]
+            k = ranks.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
+            line = np.arange(len(rows))
+            best = ranks[line, k] if n > 1 else np.full(len(rows), _NEVER)
+            done = best == _NEVER
+            if done.any():
+                raw, step = np.ascontiguousarray(table.id_of[held[done]], "<i4").tobytes(), 4 * n
+                for j, i in enumerate(rows[done].tolist()):
+                    out[i] = raw[j * step : (j + 1) * step]
+                rows, held, places, k = rows[~done], held[~done], places[~done], k[~done]
+                line = np.arange(len(rows))
+            if len(rows):
+                held[line, k] = table.pair_symbol[places[line, k]]
+                stay = np.ones(held.shape, bool)
+                stay[line, k + 1] = False
+                held = held[stay].reshape(len(rows), n - 1)
+                stay = np.ones(places.shape, bool)
+                stay[line, k] = False
+                places = places[stay].reshape(len(rows), n - 2)
+                inner = k > 0
+                at, to = line[inner], k[inner]
+                places[at, to - 1] = table.places(held[at, to - 1], held[at, to])
+                inner = k < n - 2
+                at, to = line[inner], k[inner]
+                places[at, to] = table.places(held[at, to], held[at, to + 1])
+        return out
+
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk by the agenda: numbers (rank of the score, then place), smallest first."""
         rank, symbols, n = self.rank, list(chunk), len(chunk)
@@ -107,24 +199,47 @@ class PieceModel:
         first = next((i for i in ids if i not in self.control), None)
         return text[1:] if first in self.marked else text
 
+    def decode_rows(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """Texts of the sequences of ids that lie between consecutive ``cuts``."""
+        ids = ids[cuts[0] : cuts[-1]].astype(np.int64)
+        cuts = cuts - cuts[0]
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.raw):
+            raise IndexError("an id is outside the vocabulary")
+        size = self.raw_size[ids]
+        ends = np.cumsum(size)
+        whole = self.raw_bytes[np.repeat(self.raw_first[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = np.r_[0, ends][cuts].tolist()
+        texts = []
+        for first, last, lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), at, at[1:], strict=False):
+            text = str(whole[lo:hi], "utf-8", "one_mark_per_byte")
+            while first < last and ids[first] in self.control:
+                first += 1
+            texts.append(text[1:] if first < last and ids[first] in self.marked else text)
+        return texts
+
     def code_new(self, words: list[str], check: bool) -> list[bytes]:
         """Ids of words as :meth:`cut` gives them, compared with the library's."""
         feed, lib = self.feed, self.library
-        found = [self.feed[1:] + (self.merge(w[1:]) if len(w) > 1 else []) if w[0] == "\n" else self.merge(w if w[0] == MARK else MARK + w) for w in words]
+        # What is merged: a word with a mark before it, or what follows a line feed.
+        coded = self.merge_together([w[1:] if w[0] == "\n" else w if w[0] == MARK else MARK + w for w in words])
+        line = np.array(feed[1:], "<i4").tobytes()
+        coded = [line + ids if w[0] == "\n" else ids for w, ids in zip(words, coded, strict=True)]
         if check and words:
             # The library puts a mark before each text; before a line feed it stands alone.  Words that blanks part are coded as if alone, so
             # all of them are one text; chunks of several marks are texts of their own.
-            plain = [(w, feed[:1] + own if w[0] == "\n" else own) for w, own in zip(words, found, strict=True) if w[0] != MARK]
-            odd = [(w[1:], own) for w, own in zip(words, found, strict=True) if w[0] == MARK and len(w) > 1]
-            together = [(" ".join(w for w, _ in plain), [i for _, own in plain for i in own])] if plain else []
-            for text, own in [*together, *odd]:
+            head = np.array(feed[:1], "<i4").tobytes()
+            plain = [(w, head + own if w[0] == "\n" else own) for w, own in zip(words, coded, strict=True) if w[0] != MARK]
+            odd = [(w[1:], own) for w, own in zip(words, coded, strict=True) if w[0] == MARK and len(w) > 1]
+            together = [(" ".join(w for w, _ in plain), b"".join(own for _, own in plain))] if plain else []
+            for text, raw in [*together, *odd]:
+                own = np.frombuffer(raw, "<i4").tolist()
                 other = lib.encode(text, num_threads=1)
                 if own != other:
-                    wrong = [w for w, ids in plain if lib.encode(w) != ids][:3] or [text[:200]]
+                    wrong = [w for w, ids in plain if lib.encode(w) != np.frombuffer(ids, "<i4").tolist()][:3] or [text[:200]]
                     raise ValueError(f"encoding differs from the sentencepiece library for {wrong}")
-                if self.decode(own) != lib.decode(own):
+                if self.decode_rows(np.frombuffer(raw, "<i4"), np.array([0, len(own)])) != [lib.decode(own)]:
                     raise ValueError(f"decoding differs from the sentencepiece library for {text[:200]!r}")
-        return [np.array(ids, "<i4").tobytes() for ids in found]
+        return coded
 
     def cut(self, text: str) -> list[str]:
         """Words no merge can leave.  A word stands for itself with a mark before it, unless it begins with marks or a line feed."""
@@ -191,7 +306,11 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = model_at(model_path)
-        texts = [model.decode(ids or ()) for ids in batch.column(place).to_pylist()]
+        column = batch.column(place)
+        if column.null_count:
+            texts = [model.decode(ids or ()) for ids in column.to_pylist()]
+        else:
+            texts = model.decode_rows(column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return map_batches(coded, run, ", ".join([*fields, "decoded string"]))

@@ -117,6 +117,24 @@ def test_pieces_equal_the_library(make, odd):
     assert piece_bpe.encode(make([]), MODEL).count() == 0
 
 
+def test_agendas_worked_together_equal_single_heaps():
+    model, rng = piece_bpe.model_at(MODEL), random.Random(11)
+    chunks = ["".join(rng.choice("aeiostnr\u2581é漢😀\x00Z'") for _ in range(rng.randint(0, 2 * piece_bpe.TOGETHER))) for _ in range(600)]
+    assert model.merge_together(chunks) == [np.array(model.merge(c), "<i4").tobytes() for c in chunks]
+    assert model.merge_together([]) == []
+
+
+def test_rows_are_decoded_like_single_sequences():
+    model, rng = piece_bpe.model_at(MODEL), random.Random(5)
+    rows = [[rng.randrange(32_000 if rng.random() < 0.5 else 260) for _ in range(rng.randint(0, 9))] for _ in range(500)]
+    cuts = np.cumsum([0, *map(len, rows)])
+    texts = model.decode_rows(np.array([i for r in rows for i in r]), cuts)
+    assert texts == [model.library.decode(r) for r in rows] == [model.decode(r) for r in rows]
+    assert model.decode_rows(np.array([i for r in rows for i in r]), cuts[100:]) == texts[100:]
+    with pytest.raises(IndexError):
+        model.decode_rows(np.array([5, -1]), np.array([0, 2]))
+
+
 def test_any_ids_decode_like_the_library():
     model, rng = piece_bpe.model_at(MODEL), random.Random(7)
     for _ in range(3000):
