@@ -92,7 +92,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
 # The path rules of the contract, and words whose pages are not wanted.
 PATH_RULES = [
-    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 ]
 UNWANTED_WORDS = ["adult", "betting", "casino", "escort", "gambling", "hentai", "poker", "porn", "sex", "slots", "viagra", "warez", "xxx"]
 URL_SQL = """
