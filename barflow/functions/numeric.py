@@ -34,6 +34,18 @@ def ratio(a: str | Column, b: str | Column, eps: float | None = None) -> Column:
     return F.try_divide(col(a), col(b) if eps is None else nonzero(b, eps))
 
 
+def quotient(a: str | Column, b: str | Column) -> Column:
+    """a / b as floating-point numbers divide: infinity over zero, NaN for 0 / 0."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.when(b == 0, a * F.lit(math.inf)).otherwise(F.try_divide(a, b))
+
+
+def log(c: str | Column) -> Column:
+    """Natural logarithm; that of zero is minus infinity (``F.ln`` has null)."""
+    c = col(c)
+    return F.when(c == 0, F.lit(-math.inf)).otherwise(F.ln(c))
+
+
 def sign3(up: Column, down: Column) -> Column:
     """+1 / -1 / 0 from two predicates; unknown predicates count as false."""
     return F.when(up, 1.0).when(down, -1.0).otherwise(0.0)

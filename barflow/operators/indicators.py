@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.functions.numeric import at_least, clip, flag, nonzero, ratio, sign3
+from barflow.functions.numeric import at_least, clip, flag, log, nonzero, quotient, ratio, sign3
 from barflow.plans.ordered import Block, Series, running, windowed
 from barflow.plans.recurrence import decayed_scan, ewm, ewm_back, span_alpha
 
@@ -365,22 +365,25 @@ def trend_flags() -> Feature:
 
 
 def price_shape() -> Feature:
-    """Moving-average distances, stochastic %K, lagged returns, volume and range shape columns."""
+    """Moving-average distances, stochastic %K, lagged returns, volume and range shape columns.
+
+    Distances to a level of zero, and the range over a close of zero, are infinite (0 / 0: NaN), and so is the log return to zero.
+    """
 
     def add(d, b):
-        d = d.withColumns({"ret": bar_return(b), "log_ret": F.ln(ratio("close", b.lag("close")))})
+        d = d.withColumns({"ret": bar_return(b), "log_ret": log(ratio("close", b.lag("close")))})
         low14, high14 = b.roll(F.min, "low", 14), b.roll(F.max, "high", 14)
         vol20 = b.roll(F.avg, "volume", 20)
         return d.withColumns({
-            **{f"dist_sma_{n}": ratio("close", b.roll(F.avg, "close", n)) - 1 for n in (7, 30)},
+            **{f"dist_sma_{n}": quotient("close", b.roll(F.avg, "close", n)) - 1 for n in (7, 30)},
             "sma_align": flag(b.roll(F.avg, "close", 50) > b.roll(F.avg, "close", 200)),
             "stoch_k": 100 * (F.col("close") - low14) / nonzero(high14 - low14, 1e-4),
             **{f"ret_lag_{k}": b.lag("ret", k) for k in (1, 2, 3, 5)},
             "volume_momentum": ratio("volume", b.roll(F.avg, "volume", 14)),
             "volume_surge": flag(F.col("volume") > vol20 * 1.5),
             "volume_drop": flag(F.col("volume") < vol20 * 0.5),
-            **{f"dist_low_{n}": ratio("close", b.roll(F.min, "low", n)) - 1 for n in (15, 30)},
-            "range_pct": ratio(F.col("high") - F.col("low"), "close"),
+            **{f"dist_low_{n}": quotient("close", b.roll(F.min, "low", n)) - 1 for n in (15, 30)},
+            "range_pct": quotient(F.col("high") - F.col("low"), "close"),
         })
 
     return Feature(add, 202)
