@@ -476,10 +476,10 @@ def volatility_size() -> Feature:
 
 
 def annual_volatility(n: int = 30, per_year: float = 8760) -> Feature:
-    """Annualised deviation of log returns (0 until there are n) and the volatility-scaled size."""
+    """Annualised deviation of log returns (0 until there are n, NaN with a return to zero among them) and the volatility-scaled size."""
 
     def add(d, b):
-        d = d.withColumn("_lr", F.ln(ratio("close", b.lag("close"))))
+        d = d.withColumn("_lr", log(ratio("close", b.lag("close"))))
         vol = F.coalesce(b.roll(F.stddev_samp, "_lr", n) * math.sqrt(per_year), F.lit(0.0))
         d = d.withColumn("hist_vol", vol)
         size = clip(0.5 / F.greatest("hist_vol", F.lit(0.05)), 0.25, 3.0)

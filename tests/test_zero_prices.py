@@ -34,3 +34,8 @@ def both(spark, tables, name):
 def test_price_shape_over_zero_levels(spark, tables):
     got, want, _ = both(spark, tables, "indicator_price_shape")
     assert got == want and any("inf" in x for x in want)
+
+
+def test_volatility_with_a_return_to_zero(spark, tables):
+    got, want, _ = both(spark, tables, "indicator_volatility_size")
+    assert got == want and any("nan" in x for x in want)
