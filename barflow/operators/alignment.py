@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions import text as T
-from barflow.functions.numeric import clip, ratio
+from barflow.functions.numeric import clip, quotient, ratio
 from barflow.operators.bars import TIMEFRAME_SECONDS
 from barflow.plans.asof import asof_join
 from barflow.plans.ordered import Series, running, windowed
@@ -202,13 +202,13 @@ def coverage_summary(cells: DataFrame) -> DataFrame:
 
 def excursions(trades: DataFrame, bars: DataFrame, step_seconds: float, keys: Sequence[str] = ("symbol",),
                trade_id: str = "trade_id") -> DataFrame:
-    """Best and worst unrealised result between entry and exit: MFE >= 0, MAE <= 0, as fractions of entry."""
+    """Best and worst unrealised result between entry and exit: MFE >= 0, MAE <= 0, as fractions of entry (an entry at zero: infinite, or NaN)."""
     d = range_extrema(
         trades, bars, keys, F.col("entry_ts"), F.col("exit_ts"), step_seconds,
         {"_hi": ("max", "high"), "_lo": ("min", "low")}, [trade_id],
     )
-    up = ratio("_hi", "entry_price") - 1
-    down = ratio("_lo", "entry_price") - 1
+    up = quotient("_hi", "entry_price") - 1
+    down = quotient("_lo", "entry_price") - 1
     long = F.col("direction") > 0
     return d.withColumns({
         "mfe": F.greatest(F.when(long, up).otherwise(-down), F.lit(0.0)),

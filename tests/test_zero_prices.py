@@ -39,3 +39,8 @@ def test_price_shape_over_zero_levels(spark, tables):
 def test_volatility_with_a_return_to_zero(spark, tables):
     got, want, _ = both(spark, tables, "indicator_volatility_size")
     assert got == want and any("nan" in x for x in want)
+
+
+def test_excursions_of_an_entry_at_zero(spark, tables):
+    got, want, _ = both(spark, tables, "trade_excursions")
+    assert got == want and any("inf" in x for x in want)
