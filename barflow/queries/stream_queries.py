@@ -23,8 +23,10 @@ def drain(stream: DataFrame, name: str, partition=()) -> DataFrame:
 
 def event_stream(spark, sf, name: str = "events") -> DataFrame:
     use_utc(spark)
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    d = jobs.read_files(spark, sf, schema, glob=f"{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    there = spark.read.parquet(path)
+    single = [f.rsplit("/", 1)[1] for f in there.inputFiles()] == [f"{name}.parquet"]  # a stream lists folders: that of the file, or the table's own
+    d = jobs.read_files(spark, sf, there.schema, glob=f"{name}.parquet") if single else jobs.read_files(spark, path, there.schema)
     return d.withColumns({c: F.col(c).cast("timestamp") for c, k in d.dtypes if k == "timestamp_ntz"})
 
 

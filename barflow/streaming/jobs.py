@@ -192,13 +192,17 @@ def live_news(stream: DataFrame, view: str, checkpoint: str, path: str, hours: i
     spark = stream.sparkSession
     news = SnapshotTable(spark, path, T.StructType([*stream.schema.fields, T.StructField("_all", T.StringType())]), ["_all"])
 
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        news.append(batch.withColumn("_all", F.lit("news")), f"{batch_id:020d}")
+    def point() -> None:
         months = [r["yyyymm"] for r in news.manifest().select("yyyymm").distinct().orderBy(F.desc("yyyymm")).where("yyyymm <> 'unknown'").limit(1).collect()]
         newest = news.read(where=lambda m: m.where(F.col("yyyymm").isin(months))).agg(F.max("ts")).first()[0] if months else None
-        since = F.lit(newest) - F.make_dt_interval(hours=F.lit(hours))
+        since = F.lit(newest).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours))
         window = news.read(where=news.months(since, F.lit(newest))) if newest else news.read()
         window.where(F.col("ts") >= since).select(*stream.columns).createOrReplaceGlobalTempView(view)
 
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        news.append(batch.withColumn("_all", F.lit("news")), f"{batch_id:020d}")
+        point()
+
+    point()  # the view is there before the first batch, and after a restart without new items
     w = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

@@ -130,3 +130,24 @@ def test_live_news_view_keeps_the_last_hours(spark, tmp_path):
     q = jobs.live_news(jobs.read_files(spark, path, schema), "live_news", scratch_path(spark, "t-news"), scratch_path(spark, "t-news-out"), 48, every=None)
     q.awaitTermination()
     assert sorted(r["title"] for r in spark.table("global_temp.live_news").collect()) == ["2025-01-03", "2025-01-04"]
+
+
+def test_live_news_view_exists_before_the_first_item(spark, tmp_path):
+    from barflow.session import scratch_path
+
+    (tmp_path / "n").mkdir()
+    stream = jobs.read_files(spark, str(tmp_path / "n"), "ts timestamp, title string")
+    jobs.live_news(stream, "no_news", scratch_path(spark, "t-news"), scratch_path(spark, "t-news-out"), 48, every=None).awaitTermination()
+    assert spark.table("global_temp.no_news").columns == ["ts", "title"] and spark.table("global_temp.no_news").isEmpty()
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streamed_tables_may_be_files_or_folders(spark, tmp_path, folder):
+    from barflow.queries.registry import QUERIES
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(1, 201)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / ("documents.parquet" if folder else "d")))
+    if not folder:
+        rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = sorted((r["id"], r["n"]) for r in QUERIES["stream_live_news"](spark, str(tmp_path)).collect())
+    assert got == [(i, i) for i in range(134, 201)]  # 2580 seconds between items: 48 hours hold 66 before the newest
