@@ -1,7 +1,8 @@
 """Keyed state over streams: the online form of recurrences and position machines.
 
 Each key carries a few numbers of state.  Within one micro-batch a key's rows are sorted by
-time before they are applied, so size the trigger (``maxFilesPerTrigger`` or the
+time before they are applied: its columns that are needed are held as arrays (some tens of bytes
+a row), all else goes through in chunks.  So size the trigger (``maxFilesPerTrigger`` or the
 interval) to what one key may bring.
 """
 
@@ -17,18 +18,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql import types as T
 
+# Rows of a key that are applied and returned at once.
+CHUNK = 20_000
 _TYPES = {"double": T.DoubleType(), "bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
 
 
 def keyed_fold(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], state: dict[str, str], step: Callable[[tuple | None, dict], tuple[tuple, dict]],
-    out: dict[str, str], carry: Sequence[str] = (),
+    out: dict[str, str], carry: Sequence[str] = (), reads: Sequence[str] | None = None,
 ) -> DataFrame:
     """``step(state, row) -> (state, output columns)`` over each key's rows in time order.
 
-    ``state`` and ``out`` map names to double / bigint / string / boolean; ``carry`` columns pass through.
+    ``state`` and ``out`` map names to double / bigint / string / boolean; ``carry`` columns pass through.  ``reads`` names the columns that
+    ``step`` looks at (all if none are named); others are not sent to it.
     """
     keys, order, carry = list(keys), list(order), list(carry)
+    needed = list(dict.fromkeys([*order, *carry, *(reads if reads is not None else df.columns)]))
+    df = df.select(*dict.fromkeys([*keys, *needed]))
     fields = [df.schema[k] for k in keys] + [df.schema[c] for c in order if c not in keys] + [df.schema[c] for c in carry]
     schema = T.StructType([*fields, *[T.StructField(n, _TYPES[k]) for n, k in out.items()]])
     state_schema = T.StructType([T.StructField(n, _TYPES[k]) for n, k in state.items()])
@@ -36,17 +42,21 @@ def keyed_fold(
 
     def run(key, batches, held: GroupState):
         current = held.get if held.exists else None
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
-        results: dict[str, list] = {n: [] for n in out}
-        for row in pdf.to_dict("records"):
-            current, values = step(current, row)
-            for n in out:
-                results[n].append(values[n])
-        held.update(tuple(current))
-        made = {k: [v] * len(pdf) for k, v in zip(keys, key)}
-        made.update({c: pdf[c] for c in passed})
-        made.update(results)
-        yield pd.DataFrame(made)[[f.name for f in schema.fields]]
+        pdf = pd.concat([b[needed] for b in batches], ignore_index=True)
+        at = pdf[order].sort_values(order).index.to_numpy()
+        for start in range(0, len(at), CHUNK):
+            part = pdf.iloc[at[start : start + CHUNK]].reset_index(drop=True)
+            results: dict[str, list] = {n: [] for n in out}
+            for row in part.to_dict("records"):
+                current, values = step(current, row)
+                for n in out:
+                    results[n].append(values[n])
+            made = {k: [v] * len(part) for k, v in zip(keys, key)}
+            made.update({c: part[c] for c in passed})
+            made.update(results)
+            if start + CHUNK >= len(at):
+                held.update(tuple(current))
+            yield pd.DataFrame(made)[[f.name for f in schema.fields]]
 
     return df.groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
@@ -58,7 +68,7 @@ def ema(df: DataFrame, col: str, alpha: float, keys=("symbol",), order=("ts", "i
         y = row[col] if st is None else (1 - alpha) * st[0] + alpha * row[col]
         return (float(y),), {"ema": float(y)}
 
-    return keyed_fold(df, keys, order, {"y": "double"}, step, {"ema": "double"})
+    return keyed_fold(df, keys, order, {"y": "double"}, step, {"ema": "double"}, reads=[col])
 
 
 def loss_streak(df: DataFrame, limit: int = 5, keys=("strategy",), order=("ts", "id")) -> DataFrame:
@@ -68,7 +78,7 @@ def loss_streak(df: DataFrame, limit: int = 5, keys=("strategy",), order=("ts",
         n = 0 if row["pnl"] > 0 else (0 if st is None else st[0]) + 1
         return (int(n),), {"losses": int(n), "paused": bool(n >= limit)}
 
-    return keyed_fold(df, keys, order, {"n": "bigint"}, step, {"losses": "bigint", "paused": "boolean"})
+    return keyed_fold(df, keys, order, {"n": "bigint"}, step, {"losses": "bigint", "paused": "boolean"}, reads=["pnl"])
 
 
 class _TrailingStops(StatefulProcessor):
@@ -158,7 +168,7 @@ def supertrend(df: DataFrame, period: int = 10, mult: float = 3.0, keys=("symbol
 
     return keyed_fold(
         df, keys, order, {"prev": "double", "fu": "double", "fl": "double", "dir": "bigint", "ranges": "string"}, step,
-        {"supertrend": "double", "supertrend_dir": "double", "signal_supertrend": "double"},
+        {"supertrend": "double", "supertrend_dir": "double", "signal_supertrend": "double"}, reads=["high", "low", "close"],
     )
 
 

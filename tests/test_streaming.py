@@ -151,3 +151,26 @@ def test_streamed_tables_may_be_files_or_folders(spark, tmp_path, folder):
         rows.toPandas().to_parquet(tmp_path / "documents.parquet")
     got = sorted((r["id"], r["n"]) for r in QUERIES["stream_live_news"](spark, str(tmp_path)).collect())
     assert got == [(i, i) for i in range(134, 201)]  # 2580 seconds between items: 48 hours hold 66 before the newest
+
+
+def test_one_key_is_folded_in_chunks(spark, tmp_path):
+    """The state function's memory: about the arrays of the columns in use, not a Python object for each row and column."""
+    n, path = 300_000, str(tmp_path / "n")
+    # text that no step reads, and rows in no order
+    ticks = spark.range(n).select(
+        F.lit("a").alias("symbol"), F.timestamp_seconds(F.pmod(F.col("id") * 7919, F.lit(n))).alias("ts"), "id", F.col("id").cast("double").alias("price"), F.repeat(F.lit("x"), 500).alias("text"),
+    )
+    ticks.write.parquet(path)
+
+    def step(st, row):
+        import resource
+
+        seen = 1 if st is None else st[0] + 1
+        return (seen,), {"seen": seen, "width": len(row), "peak": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss}
+
+    d = stateful.keyed_fold(jobs.read_files(spark, path, ticks.schema), ["symbol"], ["ts", "id"], {"n": "bigint"}, step, {"seen": "bigint", "width": "bigint", "peak": "bigint"}, reads=["price"])
+    got = drain(d, "chunks")
+    first, last = got.orderBy("seen").select("ts", "peak").first(), got.orderBy(F.desc("seen")).select("ts", "peak").first()
+    assert got.select("seen").distinct().count() == n and first["ts"] < last["ts"] and [r[0] for r in got.select("width").distinct().collect()] == [3]
+    # folding the rows adds little to what the sorted columns took
+    assert last["peak"] - first["peak"] < 150_000
