@@ -420,8 +420,8 @@ def trade_cost_columns(spark, sf):
     round(CASE WHEN size <= 0 THEN 0 WHEN f <= 0 THEN 10000 WHEN buy THEN (nt / f / mid - 1) * 1e4 ELSE (1 - nt / f / mid) * 1e4 END, 5) + 0.0 AS slippage_bps, CASE WHEN size <= 0 THEN 0 ELSE u END::BIGINT AS levels_used FROM g""")
 def book_walk_fills(spark, sf):
     buy = F.col("volume") > 50
-    lv = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.struct(
-        F.when(buy, F.col("price") * (1 + 0.001 * j)).otherwise(F.col("price") * (1 - 0.001 * j)).alias("price"), ((F.col("volume") + j) / 6).alias("qty")))
+    lv = F.array(*[F.struct(
+        F.when(buy, F.col("price") * (1 + 0.001 * j)).otherwise(F.col("price") * (1 - 0.001 * j)).alias("price"), ((F.col("volume") + j) / 6).alias("qty")) for j in range(5)])
     t = spread(ticks(spark, sf)).withColumn("levels", lv)
     d = t.select("id", D.book_walk("levels", F.col("taker"), buy, F.col("price")).alias("_f")).select("id", "_f.*")
     return d.select("id", r("fill_size").alias("fill_size"), r("avg_price").alias("avg_price"), r("slippage_bps", 5).alias("slippage_bps"), F.col("levels_used").cast("bigint").alias("levels_used"))
@@ -431,7 +431,8 @@ def book_walk_fills(spark, sf):
 def book_top_levels(spark, sf):
     from barflow.functions.book import top_of_book
 
-    side = lambda f, q: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.struct((F.col("price") * f * (1 + 0.001 * j)).alias("price"), ((F.col(q) + j) / 6).alias("qty")))
+    # an array of ten expressions, not a function of the level: that would parse the event's JSON again for each level
+    side = lambda f, q: F.array(*[F.struct((F.col("price") * f * (1 + 0.001 * j)).alias("price"), ((F.col(q) + j) / 6).alias("qty")) for j in range(10)])
     t = spread(ticks(spark, sf)).select("id", side(1.0, "volume").alias("bids"), side(1.001, "taker").alias("asks"))
     d = top_of_book(t, 3)
     return show(d, "p_bid", "p_ask", "v_bid", "v_ask", keys=("id",))

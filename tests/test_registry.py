@@ -45,3 +45,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = entry_point.queries()["asof_backward"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type," in plan
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp" in plan and "props" not in plan
+
+
+@pytest.mark.parametrize("name", ["book_top_levels", "book_walk_fills"])
+def test_levels_do_not_parse_the_event_again(spark, monkeypatch, name):
+    from barflow.queries import report_queries
+
+    monkeypatch.setattr(report_queries, "spread", lambda d: d)  # as with a table of as many partitions as cores
+    plan = entry_point.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" in plan and not any("get_json_object" in line and "lambda" in line for line in plan.split("\n"))
