@@ -46,15 +46,15 @@ def _radius(points: DataFrame, entries: DataFrame, keys: Sequence[str], numeric:
     shape = F.struct(*[f"_x_{c}" for c in numeric], *categorical, F.size("members").alias("_n"))
     first = Window.partitionBy(*place).orderBy("_id")
     reps = entries.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k + 1).groupBy(*place).agg(F.collect_list(shape).alias("_reps"), F.sum(F.size("members")).alias("_held"))
-    near = entries.join(reps.where(F.col("_held") >= k + 1), place).groupBy(*keys, "_cat", "_id").agg(F.max_by("_reps", "_level").alias("_reps"))
-    d = points.join(near, [*keys, "_id"], "left").withColumn("_me", shape)
+    near = entries.join(reps.where(F.col("_held") >= k + 1).hint("merge"), place).groupBy(*keys, "_cat", "_id").agg(F.max_by("_reps", "_level").alias("_reps"))
+    d = points.join(near.hint("merge"), [*keys, "_id"], "left").withColumn("_me", shape)
     far = F.array_sort(F.transform(F.coalesce("_reps", F.array()), lambda o: F.struct(_pair(F.col("_me"), o, numeric, categorical).alias("d"), o["_n"].alias("n"))))
     run = F.aggregate(
         far, F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("r")),
         lambda a, o: F.struct((a["n"] + o["n"]).alias("n"), F.when((a["n"] < k + 1) & (a["n"] + o["n"] >= k + 1), o["d"]).otherwise(a["r"]).alias("r")),
     )
     bound = d.withColumn("_r2", run["r"]).groupBy(*keys, "_id").agg(F.min("_r2").alias("_r2"))
-    return points.join(bound, [*keys, "_id"])
+    return points.join(bound.hint("merge"), [*keys, "_id"])
 
 
 def _within(points: DataFrame, entries: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], levels: int) -> DataFrame:
@@ -82,7 +82,7 @@ def _within(points: DataFrame, entries: DataFrame, keys: Sequence[str], numeric:
         wanted = wanted.unionByName(search(points.where("_r2 >= 2"), F.lit(""), F.col("_r2") - 2).withColumn("_other", F.lit(True)))
     wanted = wanted.select(*keys, "_cat", "_level", "_cell", "_other", "_r2", F.col("_id").alias("_from"), F.struct(*[f"_x_{c}" for c in numeric], *categorical).alias("_me"))
     there = entries.select(*keys, "_cat", "_level", "_cell", "members", F.struct(*[f"_x_{c}" for c in numeric], *categorical).alias("_o"))
-    met = wanted.join(there, [*keys, "_cat", "_level", "_cell"])
+    met = wanted.join(there.hint("merge"), [*keys, "_cat", "_level", "_cell"])
     if categorical:
         same = F.lit(True)
         for c in categorical:
@@ -97,6 +97,7 @@ def nearest_trials(d: DataFrame, keys: Sequence[str], trial: str, numeric: Seque
 
     Parameters span a grid that is halved ``levels`` times.  The finest cell around a trial that holds enough trials bounds the distance to the k-th
     neighbour; then the cells of about that width around it hold all candidates.  Exact for any data: a bound is a distance to trials that exist.
+    Both sides of every join grow with the trials, so none is broadcast: arrays pack well in a shuffle and would take many times that size in the driver.
     Time is near-linear while trials of a study spread over the cells; many distinct trials within one finest cell are compared pairwise.
     """
     keys = list(keys)
@@ -112,8 +113,8 @@ def nearest_trials(d: DataFrame, keys: Sequence[str], trial: str, numeric: Seque
     same = F.lit(True)
     for c in [*keys, *coords]:
         same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}"))
-    own = d.alias("o").join(points.select(*keys, *coords, "_id").alias("p"), same).select(*[F.col(f"o.{c}") for c in keys], F.col(f"o.{trial}").alias("trial"), "o.value", "p._id")
-    j = own.join(best, [*keys, "_id"])
+    own = d.alias("o").join(points.select(*keys, *coords, "_id").alias("p").hint("merge"), same).select(*[F.col(f"o.{c}") for c in keys], F.col(f"o.{trial}").alias("trial"), "o.value", "p._id")
+    j = own.join(best.hint("merge"), [*keys, "_id"])
     others = F.slice(F.filter("_best", lambda o: o["t"] != F.col("trial")), 1, k)
     return j.withColumn("neighbours", others).drop("_id", "_best")
 

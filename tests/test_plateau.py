@@ -61,3 +61,16 @@ def test_compared_pairs_grow_with_the_trials(spark):
 
     small, large = compared(2000), compared(32000)
     assert large < 20 * small and large < 32000 * 100
+
+
+def test_tables_of_trials_are_not_broadcast(spark):
+    d = P.normalise_trials(spark.createDataFrame(cloud("spread", 240), SCHEMA).withColumn("value", F.col("v")), ["study"], ["a", "b"], ["c"])
+    points = P._points(d, ["study"], "trial", ["_x_a", "_x_b", "c"], 5)
+    entries = P._entries(points, ["a", "b"], ["c"], 10)
+    bounded = P._radius(points, entries, ["study"], ["a", "b"], ["c"], 5)
+    near = P._within(bounded, entries, ["study"], ["a", "b"], ["c"], 10)
+    near.count()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    # the bounds of a study's parameters are small and may be sent to all tasks; every join on trials or cells is sorted
+    big = [line for line in plan.split("\n") if "Join [" in line and ("_id" in line or "_cell" in line)]
+    assert big and all("SortMergeJoin" in line for line in big)
