@@ -147,8 +147,9 @@ def apart(keys: DataFrame) -> DataFrame:
     return keys.repartition(F.xxhash64(F.lit(1), *keys.columns))
 
 
-def scan(occurrences: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tell what repeats: (distinct contexts of the new rows with their number of ``copies``, found).
+def scan(occurrences: DataFrame, old: DataFrame | None = None, level: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """Tell what repeats: (distinct contexts of the new rows with their number of ``copies``, found).  Without ``level``, rows of grams that
+    occur once are not written and the first is none.
 
     ``occurrences`` and ``old`` (rows of an existing index) have ``OCCURRENCE``.  ``found`` has rows of two kinds: 1, a text whose whole context there occurs
     elsewhere too; 2, a context with unlike contexts around the same gram (one of them new): these may share parts.
@@ -160,7 +161,7 @@ def scan(occurrences: DataFrame, old: DataFrame | None = None) -> tuple[DataFram
     if old is not None:
         rows = rows.union(old.withColumn("old", F.lit(True)))
     twice = apart(rows.groupBy("g").agg(F.sum("copies").alias("n")).where("n > 1").select("g"))
-    told = settle(rows.join(twice.withColumn("again", F.lit(True)), "g", "left"), "grams")
+    told = settle(rows.join(twice.withColumn("again", F.lit(True)), "g", "left" if level else "inner"), "grams")
     again = told.where("again")
     contexts = settle(
         again.groupBy("g", "c").agg(F.min(F.struct("tk", "tl", "pos")).alias("at"), F.sum("copies").cast("int").alias("copies"), F.max(~F.col("old")).alias("added"))
@@ -168,12 +169,12 @@ def scan(occurrences: DataFrame, old: DataFrame | None = None) -> tuple[DataFram
         "contexts",
     )
     columns = ["g", "c", "tk", "tl", "pos", "copies"]
-    level = told.where("again is null and not old").select(*columns).union(contexts.where("added").select(*columns))
+    new = told.where("again is null and not old").select(*columns).union(contexts.where("added").select(*columns)) if level else None
     # a text that the index has counted as repeated needs no second mention
     whole = again.where("not (old and copies > 1)").join(contexts.where("copies > 1").select("g", "c"), ["g", "c"])
     unlike = apart(contexts.groupBy("g").agg(F.count("*").alias("n"), F.max("added").alias("new")).where("n > 1 and new").select("g"))
     found = whole.select(F.lit(1).cast("tinyint").alias("kind"), *columns).union(contexts.join(unlike, "g").select(F.lit(2).cast("tinyint").alias("kind"), *columns))
-    return level, settle(found, "found")
+    return new, settle(found, "found")
 
 
 def whole_spans(found: DataFrame, runs: Runs) -> DataFrame:
@@ -215,10 +216,21 @@ def at_texts(places: DataFrame, docs: DataFrame, text_col: str = "text") -> Data
     return distinct_texts(docs, text_col).join(lists, "tk")
 
 
+def _keyed(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    return docs.select(*keep, text_of(text_col).alias("_text"), text_key(text_col).alias("tk"))
+
+
+def at_rows(places: DataFrame, docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """As ``at_texts``, but ``tk, text, places, keep`` for every row of such a text, copies too: a function of Arrow batches that takes all of these columns
+    reads the rows from the one shuffle that :func:`with_spans` of the same ``keep`` and query makes of them."""
+    lists = places.groupBy("tk").agg(F.collect_set(F.struct(*[c for c in places.columns if c != "tk"])).alias("places"))
+    return _keyed(docs, keep, text_col).join(lists, "tk").select("tk", F.col("_text").alias("text"), "places", *keep)
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep``, ``_text`` and ``_spans`` (null: none) for every row of ``docs``; spans are not merged yet."""
     lists = spans.groupBy("tk").agg(F.collect_set(F.struct("tl", "lo", "hi")).alias("_spans"))
-    return docs.select(*keep, text_of(text_col).alias("_text"), text_key(text_col).alias("tk")).join(lists, "tk", "left").select(*keep, "_text", "_spans")
+    return _keyed(docs, keep, text_col).join(lists, "tk", "left").select(*keep, "_text", "_spans")
 
 
 def own_spans(found: list[dict] | None, tokens: int) -> list[tuple[int, int]]:

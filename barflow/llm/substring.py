@@ -12,16 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.anchors import Rolling, Runs, at_texts, mix, own_spans, repeated, scan, whole_spans, with_spans
+from barflow.llm.anchors import Rolling, Runs, at_rows, mix, own_spans, repeated, scan, whole_spans, with_spans
 from barflow.llm.common import kind, map_batches
 
 
 def _windows(around: DataFrame, runs: Runs) -> DataFrame:
-    """``h1, h2, tk, tl, lo`` of every window that runs through an unsettled anchor of its text."""
+    """``h1, h2, tk, tl, lo`` of every window that runs through an unsettled anchor of its text; copies of a text that meet in a slice of a task are hashed once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))
         tks, h1, h2, sizes, tls, los = [], [], [], [], [], []
-        for tk, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for tk, text, places in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
             values, _ = runs.tokens([text.encode()])
             pos = np.array([p["pos"] for p in places if p["tl"] == len(values)], np.int64)
             lo = np.unique((pos[:, None] - np.arange(runs.length - runs.gram + 1)).ravel())
@@ -40,11 +41,11 @@ def _windows(around: DataFrame, runs: Runs) -> DataFrame:
     return map_batches(around, run, "h1 bigint, h2 int, tk bigint, tl int, lo int")
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 12, text_col: str = "text") -> DataFrame:
-    """``tk, tl, lo, hi``: word spans of each text that are covered by repeated windows (not merged)."""
+def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 12, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``tk, tl, lo, hi``: word spans of each text that are covered by repeated windows (not merged).  ``keep``: columns that go with the texts (see ``at_rows``)."""
     runs = Runs(window, gram, True)
-    _, found = scan(runs.occurrences(docs, text_col))
-    windows = _windows(at_texts(found.where("kind = 2").select("tk", "tl", "pos"), docs, text_col), runs)
+    _, found = scan(runs.occurrences(docs, text_col), level=False)
+    windows = _windows(at_rows(found.where("kind = 2").select("tk", "tl", "pos"), docs, keep or [], text_col), runs)
     return whole_spans(found, runs).union(repeated(windows, runs))
 
 
@@ -69,5 +70,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, id_col: st
         span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], [id_col, "n_words", "n_removed", "spans", "kept"])
 
-    found = with_spans(docs, repeated_spans(docs, window, gram, text_col), [id_col], text_col)
+    found = with_spans(docs, repeated_spans(docs, window, gram, text_col, [id_col]), [id_col], text_col)
     return map_batches(found, run, f"`{id_col}` {kind(docs, id_col)}, n_words bigint, n_removed bigint, spans array<struct<lo:int,hi:int>>, kept string")

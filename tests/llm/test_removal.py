@@ -176,3 +176,23 @@ def test_runs_over_both_edges_of_a_shared_passage(make):
 def test_empty_tables(make):
     assert remove_bytes(make([])).count() == 0
     assert remove_repeats(make([])).count() == 0
+
+
+def test_words_shuffle_the_texts_once(spark, make):
+    """The windows' texts and the rows to be cut come from one exchange."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        texts = [" ".join(f"w{(i * j) % 13}" for j in range(90)) for i in range(20)]
+        plan = remove_repeats(make(list(enumerate(texts))))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum("Exchange hashpartitioning(tk" in x and "Reused" not in x for x in _exchanges_of_texts(plan)) == 1
+
+
+def _exchanges_of_texts(plan):
+    """Exchanges whose child computes the text's key."""
+    lines = plan.split("\n")
+    return [a for i, a in enumerate(lines) if "Exchange hashpartitioning(tk" in a and any("xxhash64(coalesce(" in b for b in lines[i + 1 : i + 6])]
