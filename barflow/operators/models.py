@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -103,8 +104,12 @@ def walk_forward_classifier(
     """Gradient-boosted trees fitted per fold on its train rows; classifier metrics on its test rows.
 
     ``folds(keys, fold, role, row)`` come from the purged splits; ``matrix`` carries the row number.
-    The number of folds is fixed, so the loop over them is a handful of distributed fits.
+    The number of folds is fixed, so the loop over them is a handful of distributed fits.  Trees only use the order of a feature's values, so
+    infinite ones, which Spark's trees refuse, stand at the ends of the doubles.
     """
+    most = sys.float_info.max
+    x = {c: F.col(c).cast("double") for c in features}
+    matrix = matrix.withColumns({c: F.when(v == float("inf"), most).when(v == float("-inf"), -most).otherwise(v) for c, v in x.items()})
     data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(matrix)
     joined = reliable_checkpoint(folds.join(data.select(*keys, row, "_x", F.col("target").cast("double").alias("target")), [*keys, row]))
     out = None

@@ -71,3 +71,12 @@ def test_regimes_are_ordered_by_volatility(spark):
     df = spark.createDataFrame(pd.concat(parts, ignore_index=True))
     got = M.fit_regimes(df, components=3)(df).groupBy("regime").agg(F.avg("rv").alias("rv")).orderBy("regime").collect()
     assert [r["regime"] for r in got] == [0, 1, 2] and got[0]["rv"] < got[1]["rv"] < got[2]["rv"]
+
+
+def test_classifier_takes_infinite_features(spark):
+    rows = [("A", i, float("inf") if i % 50 == 7 else float("-inf") if i % 50 == 2 else None if i == 150 else float("nan") if i == 151 else float(i % 10), int(i % 10 > 4)) for i in range(200)]
+    matrix = spark.createDataFrame(rows, "symbol string, row long, x double, target int")
+    folds = spark.createDataFrame([("A", 1, "train" if i < 100 else "test", i) for i in range(200)], "symbol string, fold int, role string, row long")
+    got = M.walk_forward_classifier(matrix, folds, ["x"], ["symbol"], iterations=2).collect()
+    # all rows but the null and the NaN are scored, each on its side
+    assert len(got) == 1 and got[0]["auc_roc"] == 1.0 and round(got[0]["win_rate_pct"] * 98 / 100) == 50
