@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,8 +180,18 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Fit on at most ``sample`` toxic and ordinary documents (the ids with the lowest hashes) and ``sample_chars`` characters of each kind.
 
     Rows of :func:`held_out`, without a label or without an id teach nothing.  Equal texts count once.  With no toxic (or no ordinary) text the
-    model scores zero everywhere.
+    model scores zero everywhere.  One task fits on the sample; the driver gets the model only.
     """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: tuple[list[str], list[str]] = ([], [])
+        for batch in batches:
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kinds[toxic != 1].append(text)
+        m = fit(*kinds)
+        types = {"toxic": pa.binary(), "ordinary": pa.binary(), "evidence": pa.list_(pa.float64()), "probability": pa.list_(pa.float64())}
+        yield pa.RecordBatch.from_arrays([pa.array([getattr(m, n)], k) for n, k in types.items()], list(types))
+
     order = F.xxhash64(F.col(id_col).cast("string"))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_toxic"))
     parts = [known.where(F.col("_toxic") == toxic).orderBy(order, id_col).limit(n) for toxic, n in ((1, sample[0]), (0, sample[1]))]
@@ -188,8 +199,11 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col), text_of(text_col).alias("_text")).join(F.broadcast(chosen), id_col)  # 7,000 ids at most by default
     once = texts.groupBy("_toxic", "_text").agg(F.min(order).alias("_order"))
     running = F.sum(F.length("_text")).over(Window.partitionBy("_toxic").orderBy("_order", "_text").rowsBetween(Window.unboundedPreceding, 0))
-    rows = once.withColumn("_sum", running).where(F.col("_sum") <= sample_chars).orderBy("_order", "_text").select("_toxic", "_text").collect()
-    return fit([r["_text"] for r in rows if r["_toxic"] == 1], [r["_text"] for r in rows if r["_toxic"] == 0])
+    rows = once.withColumn("_sum", running).where(F.col("_sum") <= sample_chars).repartition(1).sortWithinPartitions("_order", "_text").select(F.col("_toxic").cast("int"), "_text")
+    found = rows.mapInArrow(learn, "toxic binary, ordinary binary, evidence array<double>, probability array<double>").collect()
+    if not found:  # no rows may be no task
+        return fit([], [])
+    return ToxicityModel(bytes(found[0]["toxic"]), bytes(found[0]["ordinary"]), tuple(found[0]["evidence"]), tuple(found[0]["probability"]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

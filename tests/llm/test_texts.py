@@ -1,5 +1,6 @@
 """Quality rules, toxicity, SentencePiece coding and packing."""
 
+import os
 import random
 import re
 import zlib
@@ -217,3 +218,15 @@ def test_pieces_of_documents(odd):
         want += [(r["doc_id"], k, 4096 * k, len(ids[4096 * k : 4096 * (k + 1)]), zlib.crc32(np.array(ids[4096 * k : 4096 * (k + 1)], "<u4").tobytes())) for k in range(-(-len(ids) // 4096))]
     got = pieces.cut_documents(odd, path).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_toxicity_is_not_fitted_on_the_driver(spark, make, monkeypatch):
+    texts = [(i, f"plain words about {i % 7} things and {i} more" + (f" vile{i % 3} scum" if i % 2 else "")) for i in range(400)]
+    docs, labels = make(texts), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    used = sorted((i, t) for i, t in texts if (zlib.crc32(str(i).encode()) % 3) != 1)
+    order = {r["doc_id"]: r["o"] for r in docs.selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as o").collect()}
+    used.sort(key=lambda x: order[x[0]])
+    want = toxicity.fit([t for i, t in used if i % 2], [t for i, t in used if not i % 2])
+    driver, real = os.getpid(), toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *kinds: real(*kinds) if os.getpid() != driver else pytest.fail("fitted on the driver"))
+    assert toxicity.fit_documents(docs, labels) == want
