@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barflow.functions.numeric import at_least, clip, flag, normal_cdf, ratio
 from barflow.operators.indicators import bar_return, recent_rows
 from barflow.plans.ordered import Series, running, windowed, with_position
-from barflow.plans.quantiles import exact_quantiles, value_counts
+from barflow.plans.quantiles import quantiles_of_counts, value_counts
 from barflow.session import reliable_checkpoint
 
 
@@ -182,14 +182,27 @@ def win_loss(trades: DataFrame, s: Series, last: int = 50) -> DataFrame:
     return windowed(trades, s, add, back=last)
 
 
+def _scenarios(rets: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ``_r``): weighted return of each book at each instant; null where none of its symbols has a known return.
+
+    An instant's returns and a book's weights are one row each, so the product of both tables is made once and never grouped: tiles of books meet all instants.
+    """
+    n = int(rets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    instants = rets.where(F.col("ret").isNotNull()).groupBy("ts").agg(F.collect_list(F.struct("symbol", "ret")).alias("_x"))  # one a symbol
+    held = weights.groupBy(*keys, "symbol").agg(F.sum("weight").alias("weight")).where("symbol is not null and weight is not null")
+    books = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("symbol", "weight"))).alias("_w")).withColumn("_tile", F.pmod(F.xxhash64(*keys), F.lit(n)))
+    tiles = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    part = lambda x: x["ret"] * F.try_element_at("_w", x["symbol"])
+    total = F.aggregate("_x", F.lit(None).cast("double"), lambda a, x: F.coalesce(a + part(x), part(x), a))
+    return instants.withColumn("_tile", tiles).repartition(n, "_tile").join(books, "_tile").select(*keys, total.alias("_r"))
+
+
 def tail_risk(rets: DataFrame, weights: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("book",)) -> DataFrame:
     """Empirical VaR (alpha quantile) and CVaR (mean at or below it) of weighted scenario returns per book."""
     keys = list(keys)
-    scen = rets.where(F.col("ret").isNotNull()).join(weights, "symbol").groupBy(*keys, "ts").agg(
-        F.sum(F.col("ret") * F.col("weight")).alias("_r")
-    )
-    scen = reliable_checkpoint(scen)  # one number per book and scenario, read by the quantile and the tail mean
-    q = exact_quantiles(scen, keys, "_r", [alpha], "_q").select(*keys, "n", F.get("_q", F.lit(0)).alias("var"))
+    # one number per book and scenario, read by the quantile and the tail mean; equal ones need not be counted first
+    scen = reliable_checkpoint(_scenarios(rets, weights, keys)).where("_r is not null").withColumn("_n", F.lit(1))
+    q = quantiles_of_counts(scen, keys, "_r", [alpha], "_q").select(*keys, "n", F.get("_q", F.lit(0)).alias("var"))
     d = scen.join(q, keys)
     return d.groupBy(*keys).agg(
         F.first("n").alias("n_scenarios"), F.first("var").alias("var"),

@@ -259,3 +259,32 @@ def test_wasserstein_equals_a_scan(spark):
         at = points[:-1]
         f, h = np.array([u[mids <= p].sum() for p in at]), np.searchsorted(x, at, "right") / len(x)
         assert got[b["feature"]] == pytest.approx((np.abs(f - h) * np.diff(points)).sum() / (edges[-1] - edges[0]), rel=1e-6)
+
+
+def test_tail_risk_spreads_its_scenarios(spark, monkeypatch):
+    """The product of books and instants is not made in one task; unknown returns and weights count for nothing."""
+    from barflow.operators import stats
+
+    rng = np.random.default_rng(5)
+    rets = [(f"s{k}", t, None if rng.random() < 0.2 else float(rng.normal())) for t in range(60) for k in range(3)] + [("s9", 99, 1.0)]
+    weights = [(b, f"s{k}", None if (b, k) == (3, 1) else float(rng.random())) for b in range(20) for k in range(3) if (b + k) % 4]
+    tasks, real = [], stats.reliable_checkpoint
+
+    def kept(df):
+        df = real(df)
+        tasks.append(df.groupBy(F.spark_partition_id()).count().count())
+        return df
+
+    monkeypatch.setattr(stats, "reliable_checkpoint", kept)
+    got = {r["book"]: r for r in stats.tail_risk(spark.createDataFrame(rets, "symbol string, ts long, ret double"), spark.createDataFrame(weights, "book long, symbol string, weight double")).collect()}
+    for b in range(20):
+        own = {s: w for x, s, w in weights if x == b and w is not None}
+        x = {}
+        for s, t, v in rets:
+            if s in own and v is not None:
+                x[t] = x.get(t, 0.0) + v * own[s]
+        x = np.array(list(x.values()))
+        var = np.quantile(x, 0.05)
+        assert got[b]["n_scenarios"] == len(x)
+        assert np.allclose([got[b]["var"], got[b]["cvar"], got[b]["expected_return"]], [var, x[x <= var].mean(), x.mean()])
+    assert tasks[0] > 1
