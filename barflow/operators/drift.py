@@ -17,6 +17,8 @@ HARD_FEATURES = [
     "don_pos_20", "vwap_dist", "trend_strength", "vol_regime", "taker_buy_ratio",
 ]
 Z_LIMIT = 2.58
+# Shuffled bytes of value counts for one task: they compress well, so that tasks of Spark's default size would need gigabytes for their hash tables and sorts.
+COUNT_BYTES = "1m"
 
 
 def melt(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -36,7 +38,18 @@ def counted(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Equal values combine before the shuffle, so a hot value is one row a task, and the values of a hot feature spread over all tasks.
     """
-    return long if "_n" in long.columns else reliable_checkpoint(value_counts(long, [*keys, "feature"], "value"))
+    return long if "_n" in long.columns else _small_tasks(value_counts(long, [*keys, "feature"], "value"))
+
+
+def _small_tasks(df: DataFrame) -> DataFrame:
+    """A checkpoint whose tasks read at most ``COUNT_BYTES`` of value counts, as far as there are shuffle partitions."""
+    conf, size = df.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    held = conf.get(size, None)
+    try:
+        conf.set(size, COUNT_BYTES)
+        return reliable_checkpoint(df)
+    finally:
+        conf.set(size, held) if held is not None else conf.unset(size)
 
 
 def baseline(long: DataFrame, keys: Sequence[str], n_bins: int = 10, min_values: int = 10) -> DataFrame:
@@ -47,7 +60,7 @@ def baseline(long: DataFrame, keys: Sequence[str], n_bins: int = 10, min_values:
     q = quantiles_of_counts(counts, keys, "value", probs, "q").where(F.col("n") >= min_values)
     mean = counts.groupBy(*keys).agg((F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias("mean"))
     away = F.col("value") - F.col("mean")
-    moments = counts.join(mean, keys).groupBy(*keys, "mean").agg(F.sqrt(F.try_divide(F.sum(away * away * F.col("_n")), F.sum("_n") - 1)).alias("std"))
+    moments = counts.join(F.broadcast(mean), keys).groupBy(*keys, "mean").agg(F.sqrt(F.try_divide(F.sum(away * away * F.col("_n")), F.sum("_n") - 1)).alias("std"))
     edges = F.array_distinct(F.array_sort(F.slice("q", 3, n_bins + 1)))
     q = q.withColumn("_e", edges)
     head = F.slice("_e", 1, F.greatest(F.size("_e") - 1, F.lit(1)))
@@ -56,7 +69,7 @@ def baseline(long: DataFrame, keys: Sequence[str], n_bins: int = 10, min_values:
     stats = q.join(moments, keys).select(
         *keys, "mean", "std", F.get("q", F.lit(0)).alias("q05"), F.get("q", F.lit(1)).alias("q95"), "n", "bin_edges"
     )
-    stats = reliable_checkpoint(stats)  # one row per feature, used twice below
+    stats = _small_tasks(stats)  # one row per feature, used twice below
     return stats.join(bin_shares(counts, stats, keys), keys)
 
 
@@ -64,7 +77,7 @@ def bin_shares(counts: DataFrame, edges: DataFrame, keys: Sequence[str], clip: b
     """Share of counted values per bin of ``edges(keys, bin_edges)`` as an array ``bin_props`` (zeros kept)."""
     e = edges.select(*keys, "bin_edges")
     x = F.col("value")
-    d = counts.join(e, list(keys))
+    d = counts.join(F.broadcast(e), list(keys))  # one row a feature; a join by the few keys would put a whole feature into one task
     if clip:
         lo, hi = F.get("bin_edges", F.lit(0)), F.element_at("bin_edges", -1)
         eps = F.greatest(F.lit(1e-9), (hi - lo) * 1e-6)
@@ -113,11 +126,11 @@ def wasserstein_relative(base: DataFrame, long: DataFrame, keys: Sequence[str])
     held = order_statistics(counts, keys, "value", steps.select(*keys, "_ranks")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_held"))  # one a bin
     clamp = lambda x, i: F.greatest(F.get("_mid", i), F.least(F.get("_mid", i + 1), x))
     crossing = F.transform(F.slice("_ranks", 1, F.size("_mid") - 1), lambda r, i: clamp(F.try_element_at("_held", r), i))
-    steps = reliable_checkpoint(steps.join(held, keys).withColumn("_cross", crossing).withColumn("_marks", F.array_sort(F.array_distinct(F.concat("_mid", "_cross")))))
+    steps = _small_tasks(steps.join(held, keys).withColumn("_cross", crossing).withColumn("_marks", F.array_sort(F.array_distinct(F.concat("_mid", "_cross")))))
     at = F.size(F.filter("_marks", lambda m: m <= c("value")))
     # values count from the first midpoint, so that narrow spans of large values keep their digits
     origin = F.get("_mid", F.lit(0))
-    parts = counts.join(steps.select(*keys, "_marks", "_mid"), keys).groupBy(*keys, at.alias("_at")).agg(F.sum("_n").alias("_n"), F.sum(c("_n") * (c("value") - origin)).alias("_s"))
+    parts = counts.join(F.broadcast(steps.select(*keys, "_marks", "_mid")), keys).groupBy(*keys, at.alias("_at")).agg(F.sum("_n").alias("_n"), F.sum(c("_n") * (c("value") - origin)).alias("_s"))
     parts = parts.groupBy(*keys).agg(F.collect_list(F.struct("_at", "_n", "_s")).alias("_parts"))  # one more than marks at most
     d = steps.join(parts, keys)
 

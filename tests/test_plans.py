@@ -288,3 +288,15 @@ def test_tail_risk_spreads_its_scenarios(spark, monkeypatch):
         assert got[b]["n_scenarios"] == len(x)
         assert np.allclose([got[b]["var"], got[b]["cvar"], got[b]["expected_return"]], [var, x[x <= var].mean(), x.mean()])
     assert tasks[0] > 1
+
+
+def test_drift_does_not_join_features_in_one_task(spark):
+    """Values meet their feature's edges without a sort by the few (cell, feature) keys."""
+    from barflow.operators import drift
+    from barflow.session import reliable_checkpoint
+
+    counts = spark.createDataFrame([("a", "f", float(i), 1) for i in range(50)], "cell string, feature string, value double, _n long")
+    edges = spark.createDataFrame([("a", "f", [0.0, 20.0, 60.0])], "cell string, feature string, bin_edges array<double>")
+    d = drift.bin_shares(reliable_checkpoint(counts), reliable_checkpoint(edges), ["cell", "feature"])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and d.first()["bin_props"] == [0.4, 0.6]
