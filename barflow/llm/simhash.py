@@ -10,7 +10,7 @@ replicated to every anchor within the covering radius plus the block's threshold
 home anchor of either (triangle inequality), and all comparisons are made anchor by anchor, with no candidate left out.
 
 Equal fingerprints are one row before replication, whatever the number of copies.  An anchor emits a minimum spanning
-forest of its links, not its pairs.  An anchor with more than ``crowd`` rows is dealt out to pairs of its shares.
+forest of its links, not its pairs; where only groups are sought, the groups that its links join.  An anchor with more than ``crowd`` rows is dealt out to pairs of its shares.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.anchors import distinct_texts, mix, text_key
@@ -169,36 +169,91 @@ def _forest(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarr
     return rows[np.array(a, int)], rows[np.array(b, int)]
 
 
+def _joined(fps: np.ndarray, home: np.ndarray, roots: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the roots that links among home rows and what they link to bring together: the smallest of them and each other one."""
+    order = np.lexsort(roots.T[::-1])
+    new = np.r_[True, (roots[order[1:]] != roots[order[:-1]]).any(axis=1)]
+    own = np.empty(len(roots), np.int64)
+    own[order] = np.cumsum(new) - 1
+    label, homes = own.copy(), np.flatnonzero(home)
+    step = max(1, 1_000_000 // len(fps))
+    for at in range(0, len(homes) if own.any() else 0, step):
+        part = homes[at : at + step]
+        bits = np.bitwise_count(fps[part, None, 0] ^ fps[None, :, 0])
+        for word in range(1, fps.shape[1]):
+            bits += np.bitwise_count(fps[part, None, word] ^ fps[None, :, word])
+        near = bits <= threshold
+        for i in np.flatnonzero((near & (label[part, None] != label[None, :])).any(axis=1)).tolist():
+            met = np.unique(label[near[i]])
+            if len(met) > 1:  # not joined by a row before
+                label[np.isin(label, met)] = met[0]
+    first = roots[order[new]]
+    moved = np.unique(np.stack([label, own], axis=1)[label != own], axis=0)
+    return first[moved[:, 0]], first[moved[:, 1]]
+
+
 def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_threshold: int | None = None, crowd: int = 4096, stars: bool = False) -> DataFrame:
     """Links ``a, b`` (a < b) between the distinct rows of the columns ``fp``, ``fp2`` (64 bits each) within ``threshold`` bits.
 
     They are minimum spanning forests of the links at each anchor, so they connect all that the links connect and hold every
     link of a minimum spanning forest of them all.  Blocks of ``fp`` to ``fp4``, as far as there are such columns, have anchors.  Without
-    ``block_threshold`` (bits that may differ in a block) no link of ``fp`` alone is missed.  With ``stars`` each tree of a forest is told as pairs with its
-    smallest row instead: these connect the same, and are mostly the same at all anchors of a group.  ``a`` and ``b`` are structs of the fingerprint columns, or plain longs if there is one.
+    ``block_threshold`` (bits that may differ in a block) no link of ``fp`` alone is missed.  ``a`` and ``b`` are structs of the fingerprint columns, or plain longs if there is one.
+
+    With ``stars`` the pairs connect the same, but need not be links: first rows meet at their own home anchors of at most four blocks only, and what is linked
+    there gets one root; then all anchors tell only which roots their links join, each with the smallest of them.  So a group is told once, not at each of its anchors.
     """
     anchored = [c for c in WORDS if c in distinct.columns]
     names = anchored[:2]
-    width, n = len(names), len(names)
     codes = block_codes(threshold if block_threshold is None else block_threshold * blocks, blocks)
+    distinct = distinct.select(*anchored)
+    if not stars:
+        return _meet(distinct, anchored, [], codes, threshold, crowd)
+    roots = [f"root_{c}" for c in names]
+    alone = distinct.select(*anchored, *[F.col(c).alias(r) for c, r in zip(names, roots, strict=True)])
+    first = settle(_meet(alone, anchored, roots, codes, threshold, crowd, homes_only=True), "first")
+    grouped, end = components(first), _end(names)
+    found = [F.col("root")] if len(names) == 1 else [F.col("root")[c] for c in names]
+    rooted = distinct.join(grouped, end == F.col("node"), "left").select(*anchored, *[F.coalesce(x, c).alias(r) for x, c, r in zip(found, names, roots, strict=True)])
+    return first.union(_meet(settle(rooted, "rooted"), anchored, roots, codes, threshold, crowd)).distinct()
+
+
+def _end(columns: list[str], names: list[str] | None = None) -> Column:
+    """Fingerprint columns as one end of a link."""
+    return F.struct(*[F.col(c).alias(name) for c, name in zip(columns, names or columns, strict=True)]) if len(columns) > 1 else F.col(columns[0])
+
+
+def _meet(distinct: DataFrame, anchored: list[str], roots: list[str], codes: list[BlockCode], threshold: int, crowd: int, homes_only: bool = False) -> DataFrame:
+    """What meets at the anchors: links ``a, b`` between fingerprints (a forest an anchor), or, with ``roots`` (columns), pairs of roots that links join.
+
+    With ``homes_only`` rows go to their home anchors of at most four blocks, and a crowded anchor's shares do not meet each other.
+    """
+    names = anchored[:2]
+    kept = [*names, *roots]
+    width, n = len(names), len(kept)
+    blocks = [(c, code) for c in range(len(anchored)) for code in codes]
+    if homes_only:
+        blocks = blocks[:: -(-len(blocks) // 4)]
 
     def replicate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [code.anchors(c.to_numpy().view(np.uint64)) for c in batch.columns for code in codes]
+        parts = [code.anchors(batch.column(c).to_numpy().view(np.uint64)) for c, code in blocks]
+        if homes_only:
+            parts = [(r[h], a[h], h[h]) for r, a, h in parts]
         row = pa.array(np.concatenate([r for r, _, _ in parts]))
         anchor = np.concatenate([a + (np.int64(i) << 32) for i, (_, a, _) in enumerate(parts)])
-        return pa.RecordBatch.from_arrays([pa.array(anchor), *[c.take(row) for c in batch.columns[:n]], pa.array(np.concatenate([h for _, _, h in parts]))], ["anchor", *names, "home"])
+        columns = [*batch.columns[:width], *batch.columns[len(anchored) :]]
+        return pa.RecordBatch.from_arrays([pa.array(anchor), *[c.take(row) for c in columns], pa.array(np.concatenate([h for _, _, h in parts]))], ["anchor", *kept, "home"])
 
-    fields = ", ".join(f"{c} bigint" for c in names)
-    spread = map_batches(distinct.select(*anchored), replicate, f"anchor bigint, {fields}, home boolean", 2048)
+    fields = ", ".join(f"{c} bigint" for c in kept)
+    spread = map_batches(distinct.select(*anchored, *roots), replicate, f"anchor bigint, {fields}, home boolean", 2048)
     crowded = spread.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(crowd)).cast("int").alias("shares")).where("shares > 1")
     shares = settle(crowded, "crowded")  # written first, so that its size decides how it is joined
     share = F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")
     others = F.sequence(F.lit(0), F.col("shares") - 1)
     # a row in share s meets every share t in the cell (min, max)
-    cells = F.transform(others, lambda t: F.least(t, share) * F.col("shares") + F.greatest(t, share))
+    cells = F.array(share) if homes_only else F.transform(others, lambda t: F.least(t, share) * F.col("shares") + F.greatest(t, share))
     dealt = (
         spread.join(shares, "anchor", "left")
-        .select("anchor", F.explode(F.when(F.col("shares").isNull(), F.array(F.lit(-1))).otherwise(cells)).alias("cell"), *names, "home")
+        .select("anchor", F.explode(F.when(F.col("shares").isNull(), F.array(F.lit(-1))).otherwise(cells)).alias("cell"), *kept, "home")
         .repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
     )
 
@@ -211,21 +266,17 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_thresh
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(group)], strict=True):
                 home = group[lo:hi, -1].astype(bool)
                 if hi - lo > 1 and home.any():
-                    x, y = _forest(np.ascontiguousarray(group[lo:hi, 2 : 2 + width]).view(np.uint64), home, threshold)
-                    if stars and len(x):
-                        tree: dict[int, int] = {}
-                        for parent, child in zip(x.tolist(), y.tolist(), strict=True):  # parents come before their children
-                            tree[child] = tree.setdefault(parent, parent)
-                        least: dict[int, int] = {}
-                        for row in np.lexsort(group[lo:hi, 2 : 2 + width].T[::-1]).tolist():
-                            if row in tree:
-                                least.setdefault(tree[row], row)
-                        pairs = [(least[t], row) for row, t in tree.items() if least[t] != row]
-                        x, y = np.array(pairs, int).T
-                    if len(x):
-                        found.append(np.concatenate([group[lo + x, 2 : 2 + width], group[lo + y, 2 : 2 + width]], axis=1))
+                    ends = group[lo:hi, 2 : 2 + width]
+                    fps = np.ascontiguousarray(ends).view(np.uint64)
+                    if roots:
+                        one, other = _joined(fps, home, group[lo:hi, 2 + width : 2 + n], threshold)
+                    else:
+                        x, y = _forest(fps, home, threshold)
+                        one, other = ends[x], ends[y]
+                    if len(one):
+                        found.append(np.concatenate([one, other], axis=1))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found).T], [f"{s}{i}" for s in "ab" for i in range(n)])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found).T], [f"{s}{i}" for s in "ab" for i in range(width)])
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
@@ -240,8 +291,8 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int = 3, block_thresh
         if held:
             yield from edges(np.concatenate(held))
 
-    ends = [F.struct(*[F.col(f"{s}{i}").alias(c) for i, c in enumerate(names)]) if n > 1 else F.col(f"{s}0") for s in "ab"]
-    pairs = dealt.mapInArrow(compare, ", ".join(f"{s}{i} bigint" for s in "ab" for i in range(n)))
+    ends = [_end([f"{s}{i}" for i in range(width)], names) for s in "ab"]
+    pairs = dealt.mapInArrow(compare, ", ".join(f"{s}{i} bigint" for s in "ab" for i in range(width)))
     return pairs.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
 
 
