@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,6 +146,79 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio", settin
 
 # Votes that an offset needs before a pair is looked at.
 LEAST_VOTES = 2
+# Integers of the queries that one task holds at a time, of the recordings that one cell of a tile meets them with, and votes counted at once.
+TILE, CELL, VOTES_AT_ONCE = 2**18, 2**16, 2**19
+
+
+def _postings(prints: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(recording, frame, part and value) of the halves of integers that differ from the half before them."""
+    sizes = np.array([len(x["ints"]) for x in prints])
+    owner = np.repeat(np.arange(len(prints)), sizes)
+    frame = np.concatenate([np.asarray(x["frames"], np.int64) for x in prints])
+    ints = np.concatenate([np.asarray(x["ints"], np.int32) for x in prints]).view(np.uint32)
+    found = []
+    for i, shift in enumerate(range(0, 32, PART)):
+        value = (ints >> np.uint32(shift) & np.uint32(2**PART - 1)).astype(np.int64)
+        new = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]
+        found.append((owner[new], frame[new], value[new] + i * 2**PART))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+class Tile:
+    """Queries that recordings are compared with: their postings in the order of their values."""
+
+    def __init__(self, prints: list[dict]):
+        self.prints = [(np.asarray(x["frames"], np.int64), np.asarray(x["ints"], np.int32).view(np.uint32)) for x in prints]
+        owner, frame, value = _postings(prints)
+        order = np.argsort(value, kind="stable")
+        self.owner, self.frame, self.last = owner[order], frame[order], int(frame.max())
+        self.starts = np.searchsorted(value[order], np.arange(2 * 2**PART + 1))
+
+    def votes(self, prints: list[dict]) -> tuple[np.ndarray, ...]:
+        """(recording, query, offset, votes) of all offsets with ``LEAST_VOTES`` or more."""
+        owner, frame, value = _postings(prints)
+        order = np.argsort(owner, kind="stable")
+        owner, frame, value = owner[order], frame[order], value[order]
+        n = self.starts[value + 1] - self.starts[value]
+        offsets = self.last + int(frame.max()) + 1
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        done = np.cumsum(n)
+        cuts = np.searchsorted(done, np.arange(VOTES_AT_ONCE, done[-1] + VOTES_AT_ONCE, VOTES_AT_ONCE), side="right")
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(n)], strict=True):
+            some = n[lo:hi]
+            if some.sum():
+                at = np.repeat(self.starts[value[lo:hi]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+                key = (np.repeat(owner[lo:hi], some) * len(self.prints) + self.owner[at]) * offsets + np.repeat(frame[lo:hi], some) - self.frame[at] + self.last
+                key, count = np.unique(key, return_counts=True)
+                keys, which = np.unique(np.r_[keys, key], return_inverse=True)
+                counts = np.bincount(which, np.r_[counts, count]).astype(np.int64)
+        keys, counts = keys[counts >= LEAST_VOTES], counts[counts >= LEAST_VOTES]
+        return keys // offsets // len(self.prints), keys // offsets % len(self.prints), keys % offsets - self.last, counts
+
+    def links(self, prints: list[dict], most_errors: float, least_overlap: int) -> list[tuple]:
+        """(recording, query, votes, offset, overlap, errors) of each pair with few enough errors at its best offset."""
+        found, query, offset, votes = self.votes(prints)
+        first = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (query[1:] != query[:-1])][: len(found)])
+        out, held, place = [], -1, np.zeros(0, np.int64)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(found)][: len(first)], strict=True):
+            f, (at, ints), best = int(found[lo]), self.prints[query[lo]], None
+            if f != held:
+                held, to, other = f, np.asarray(prints[f]["frames"], np.int64), np.asarray(prints[f]["ints"], np.int32).view(np.uint32)
+                place = np.full(to[-1] + 1, -1)
+                place[to] = np.arange(len(to))
+            most = votes[lo:hi].max()
+            for o, v in zip(offset[lo:hi].tolist(), votes[lo:hi].tolist(), strict=True):
+                if v * 2 >= most:
+                    moved = at + o
+                    inside = (moved >= 0) & (moved <= to[-1])
+                    inside[inside] = place[moved[inside]] >= 0
+                    n = int(inside.sum())
+                    if n >= least_overlap:
+                        errors = float(np.bitwise_count(ints[inside] ^ other[place[moved[inside]]]).sum()) / (32 * n)
+                        best = min(best or (2.0,), (errors, -v, abs(o), -o, n))
+            if best and best[0] <= most_errors:
+                out.append((f, int(query[lo]), -best[1], -best[3], best[4], best[0]))
+        return out
 
 
 def align(prints: DataFrame, wanted: DataFrame, id_col: str, most_errors: float = 0.15, least_overlap: int = 12) -> tuple[DataFrame, DataFrame]:
@@ -156,6 +230,7 @@ def align(prints: DataFrame, wanted: DataFrame, id_col: str, most_errors: float
     integers vote for offsets (runs of one half in a recording count once); offsets with at least two votes and at least half the votes of the first are
     measured, and the best has the fewest errors (then most votes, then the smallest offset).  A pair without two equal halves at its offset is not seen:
     unrelated recordings share one half by chance, but hardly ever two at one offset, so only likely pairs meet their fingerprints.
+    Queries are dealt to tiles, recordings to shares, and each cell (tile, share) counts votes in its task: votes and pairs without a link are never rows.
     """
     rows = settle(prints, "prints")
     heard = rows.where(F.size("ints") > 0)
@@ -163,42 +238,44 @@ def align(prints: DataFrame, wanted: DataFrame, id_col: str, most_errors: float
     classes = heard.groupBy(F.xxhash64(key).alias("h1"), F.hash(key).alias("h2")).agg(F.min(id_col).alias("class_id"), F.min_by(key, id_col).alias("print"))
     classes = settle(classes, "classes")
     member = rows.join(classes.select("h1", "h2", "class_id"), (F.xxhash64(key) == F.col("h1")) & (F.hash(key) == F.col("h2")) & (F.size("ints") > 0), "left").select(id_col, "class_id")
-    part_of = lambda at: F.transform("print.ints", lambda x: F.shiftrightunsigned(x, at).bitwiseAND(2**PART - 1))
-    parts = F.array(*map(part_of, range(0, 32, PART)))
-    spread = classes.select("class_id", F.col("print.frames").alias("frames"), F.posexplode(parts).alias("part", "values"))
-    starts = spread.select("class_id", "part", F.explode(F.filter(F.arrays_zip("frames", "values"), lambda x, i: (i == 0) | (F.get("values", i - 1) != x["values"]))).alias("x"))
-    posting = starts.select("class_id", F.col("x.frames").alias("frame"), (F.col("part") * 2**PART + F.col("x.values")).alias("value"))
-    queries = member.join(wanted.select(id_col).distinct(), id_col, "left_semi").where(F.col("class_id").isNotNull()).select("class_id").distinct()
-    asked = posting.join(queries, "class_id", "left_semi").select(F.col("class_id").alias("query"), F.col("frame").alias("at"), "value")
-    votes = (
-        posting.join(asked, "value").where("class_id <> query")
-        .groupBy("query", F.col("class_id").alias("found"), (F.col("frame") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-        .where(F.col("votes") >= LEAST_VOTES)
+    asked = member.join(wanted.select(id_col).distinct(), id_col, "left_semi").where(F.col("class_id").isNotNull()).select("class_id").distinct()
+    known = classes.where("class_id is not null").select("class_id", "print")
+    queries = settle(known.join(asked, "class_id", "left_semi"), "queries")
+    # every query meets every recording in one cell: its tile's, of the recording's share
+    size = F.coalesce(F.sum(F.size("print.ints").cast("bigint")), F.lit(0))
+    (ints,), (asked_ints,) = known.agg(size).first(), queries.agg(size).first()
+    shares, tiles = int(-(-ints // CELL)) or 1, int(-(-asked_ints // TILE)) or 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n: F.pmod(F.xxhash64("print"), F.lit(n)).cast("int")
+    dealt = (
+        queries.select(of(tiles).alias("tile"), each(shares).alias("share"), F.lit(0).alias("side"), "class_id", "print")
+        .union(known.select(each(tiles).alias("tile"), of(shares).alias("share"), F.lit(1).alias("side"), "class_id", "print"))
+        .repartition("tile", "share").sortWithinPartitions("tile", "share", "side")
     )
-    offsets = votes.groupBy("query", "found").agg(F.max("votes").alias("most"), F.collect_list(F.struct("votes", "offset")).alias("o"))
-    offsets = offsets.select("query", "found", F.filter("o", lambda x: x["votes"] * 2 >= F.col("most")).alias("o"))
-    ends = offsets.join(classes.select(F.col("class_id").alias("query"), F.col("print").alias("q")), "query").join(classes.select(F.col("class_id").alias("found"), F.col("print").alias("f")), "found")
-
-    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for tried, q, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            at, ints = np.array(q["frames"]), np.array(q["ints"], np.int32).view(np.uint32)
-            to, other = np.array(f["frames"]), np.array(f["ints"], np.int32).view(np.uint32)
-            place = np.full(to[-1] + 1, -1)
-            place[to] = np.arange(len(to))
-            best = None
-            for o in tried:
-                moved = at + o["offset"]
-                inside = (moved >= 0) & (moved <= to[-1])
-                inside[inside] = place[moved[inside]] >= 0
-                n = int(inside.sum())
-                if n >= least_overlap:
-                    errors = float(np.bitwise_count(ints[inside] ^ other[place[moved[inside]]]).sum()) / (32 * n)
-                    best = min(best or (2.0,), (errors, -o["votes"], abs(o["offset"]), -o["offset"], n))
-            out.append(best or (1.0, 0, 0, 0, 0))
-        columns = [pa.array([-x[1] for x in out], pa.int64()), pa.array([-x[3] for x in out], pa.int32()), pa.array([x[4] for x in out], pa.int32()), pa.array([x[0] for x in out], pa.float64())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["query", "found", "votes", "offset", "overlap", "errors"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, tile, held, names = None, None, [], []
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                ids, tracks = batch.column(3), batch.column(4).to_pylist()
+                cells = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+                for lo in [i for i, x in enumerate(cells) if not i or x != cells[i - 1]]:
+                    hi = next((i for i in range(lo, len(cells)) if cells[i] != cells[lo]), len(cells))
+                    if cells[lo][:2] != cell:
+                        cell, tile, held, names = cells[lo][:2], None, [], []
+                    if not cells[lo][2]:
+                        held += tracks[lo:hi]
+                        names.append(ids.slice(lo, hi - lo))
+                    elif held:
+                        if tile is None:
+                            tile, names = Tile(held), pa.concat_arrays(names)
+                        met = [(lo + f, q, *x) for f, q, *x in tile.links(tracks[lo:hi], most_errors, least_overlap)]
+                        if met:
+                            found, query, votes, offset, overlap, errors = zip(*met, strict=True)
+                            columns = [pa.array(votes, pa.int64()), pa.array(offset, pa.int32()), pa.array(overlap, pa.int32()), pa.array(errors, pa.float64())]
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(found)), *columns], ["query", "found", "votes", "offset", "overlap", "errors"])
 
     t = kind(prints, id_col)
-    links = map_batches(ends.select("query", "found", "o", "q", "f"), measure, f"query {t}, found {t}, votes bigint, offset int, overlap int, errors double")
-    return member, links.where((F.col("overlap") >= least_overlap) & (F.col("errors") <= most_errors))
+    links = dealt.mapInArrow(compare, f"query {t}, found {t}, votes bigint, offset int, overlap int, errors double")
+    return member, links.where("query <> found")
