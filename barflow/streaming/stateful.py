@@ -94,24 +94,28 @@ class _TrailingStops(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         high, low, stopped, last = self.held.get() if self.held.exists() else (None, None, False, None)
         # one trade's prices of one micro-batch; what is not after the last price seen is late and left out
-        d = pd.concat(list(rows), ignore_index=True)
-        d["_us"] = d["ts"].astype("datetime64[us]").astype("int64")
-        d = d.sort_values("_us", kind="stable", ignore_index=True)
-        d = d[d["_us"] > last] if last is not None else d
-        if stopped or not len(d):
+        d = list(rows)
+        d = d[0] if len(d) == 1 else pd.concat(d, ignore_index=True)
+        us = d["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        order = np.argsort(us, kind="stable")
+        if last is not None:
+            order = order[us[order] > last]
+        if stopped or not len(order):
             return
-        price, entry, long = d["price"].to_numpy(float), d["entry_price"].to_numpy(float), d["direction"].to_numpy(float) > 0
-        highs = np.maximum.accumulate(np.maximum(price, np.concatenate([[entry[0] if high is None else high], np.full(len(d) - 1, -np.inf)])))
-        lows = np.minimum.accumulate(np.minimum(price, np.concatenate([[entry[0] if low is None else low], np.full(len(d) - 1, np.inf)])))
+        price, entry, long = (d[c].to_numpy(float)[order] for c in ("price", "entry_price", "direction"))
+        long = long > 0
+        highs = np.maximum.accumulate(np.maximum(price, np.concatenate([[entry[0] if high is None else high], np.full(len(order) - 1, -np.inf)])))
+        lows = np.minimum.accumulate(np.minimum(price, np.concatenate([[entry[0] if low is None else low], np.full(len(order) - 1, np.inf)])))
         hit = np.where(long, price <= highs * (1 - self.percent / 100), price >= lows * (1 + self.percent / 100))
-        n = int(np.argmax(hit)) + 1 if hit.any() else len(d)
+        n = int(np.argmax(hit)) + 1 if hit.any() else len(order)
         best, worst = highs / entry - 1, lows / entry - 1
-        out = d[self.columns].assign(mfe_pct=100 * np.maximum(np.where(long, best, -worst), 0.0), mae_pct=100 * np.minimum(np.where(long, worst, -best), 0.0), stop_hit=hit)
-        newest = int(d["_us"].iloc[-1])
+        made = {"mfe_pct": 100 * np.maximum(np.where(long, best, -worst), 0.0), "mae_pct": 100 * np.minimum(np.where(long, worst, -best), 0.0), "stop_hit": hit}
+        newest = int(us[order[-1]])
         self.held.update((float(highs[n - 1]), float(lows[n - 1]), bool(hit.any()), newest))
         if hit.any():
             self.handle.registerTimer(max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms)
-        yield out.iloc[:n]
+        # columns are put together once: a table of one trade is small, and each step on it costs more than its rows
+        yield pd.DataFrame({**{c: d[c].array[order[:n]] for c in self.columns}, **{c: x[:n] for c, x in made.items()}})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.held.clear()
