@@ -88,6 +88,8 @@ def merge_news_sentiment(bars: DataFrame, news: DataFrame, causal: bool = False)
 def trailing_mean(df: DataFrame, s: Series, value: str, seconds: float, out: str) -> DataFrame:
     """Mean over the trailing (t - seconds, t] by prefix sums: prefix at t minus prefix as of t - seconds."""
     d = running(df, s, {"_sum": ("sum", F.col(value)), "_cnt": ("sum", F.when(F.col(value).isNotNull(), 1).otherwise(0))})
+    # both sides of the join below are made of the sums, and each is read for the carries and for the match
+    d = reliable_checkpoint(d)
     ts = s.order[0]
     before = d.select(*s.keys, F.col(ts).alias("_at"), F.col("_sum").alias("_psum"), F.col("_cnt").alias("_pcnt"), *s.order[1:])
     d = d.withColumn("_from", F.timestamp_micros(F.unix_micros(ts) - F.lit(int(seconds * 1_000_000))))
@@ -105,7 +107,7 @@ def merge_series(bars: DataFrame, points: DataFrame, metrics: Sequence[str]) ->
     wide = points.groupBy("ts").pivot("metric", list(metrics)).agg(F.avg("value")).withColumn("_all", F.lit(0))
     s = Series.sampled(wide, ["_all"], ["ts"])
     filled = running(wide, s, {f"_f_{m}": ("last", F.col(f"`{m}`")) for m in metrics})
-    filled = filled.select("_all", "ts", *[F.col(f"_f_{m}").alias(m) for m in metrics])
+    filled = reliable_checkpoint(filled.select("_all", "ts", *[F.col(f"_f_{m}").alias(m) for m in metrics]))
     d = asof_join(bars.withColumn("_all", F.lit(0)), filled, ["_all"], "ts", "ts", list(metrics))
     return d.drop("_all")
 
@@ -113,7 +115,8 @@ def merge_series(bars: DataFrame, points: DataFrame, metrics: Sequence[str]) ->
 def training_frame(bars: DataFrame, funding: DataFrame | None = None, news: DataFrame | None = None,
                    macro: DataFrame | None = None, metrics: Sequence[str] = ()) -> DataFrame:
     """Bars with funding, 24 h news mean and macro series, all as of the bar time; absent sources are skipped."""
-    d = bars
+    # every as-of join reads its sides for the carries and for the match
+    d = reliable_checkpoint(bars)
     if funding is not None:
         d = asof_join(d, funding, ["symbol"], "ts", "ts", ["funding_rate"])
     if news is not None:
@@ -121,7 +124,6 @@ def training_frame(bars: DataFrame, funding: DataFrame | None = None, news: Data
         mean = reliable_checkpoint(trailing_mean(news, s, "score", 86_400, "news_24h"))
         d = asof_join(reliable_checkpoint(d), mean, ["symbol"], "ts", "ts", ["news_24h"], right_tie=["id"])
     if macro is not None and metrics:
-        # every as-of join reads its left side for the carries and for the match
         d = merge_series(reliable_checkpoint(d), macro, metrics)
     return d
 
