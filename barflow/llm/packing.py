@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.llm.common import settle
+from barflow.llm.common import begin_task, tidy, settle
 
 # One bin: lengths in order as (length, repeats); a plan is a list of (bin, number of such bins).
 Pattern = tuple[tuple[int, int], ...]
@@ -156,6 +156,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
 
     def number(batches):
         """Rank among the pieces of the same length in this partition."""
+        begin_task()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             w = batch.column(place)
@@ -170,6 +171,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
             rank[order] = np.arange(len(w)) - np.repeat(starts, sizes) + seen[ordered]
             np.add.at(seen, w, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(w), part, np.int32)), pa.array(rank)], names)
+            if batch.num_rows:
+                tidy()
 
     numbered = settle(pieces.select(*keep).mapInArrow(number, ", ".join([*fields, "_part int", "_rank bigint"])), "pieces")
     w = F.col(length_col).cast("bigint")

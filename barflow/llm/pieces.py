@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import kind, map_batches, text_of
+from barflow.llm.common import kind, map_batches, settle, text_of
 from barflow.llm.word_ids import coder_at
 
 
@@ -40,3 +40,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, en
 
     ids = ", ids array<int>" if with_ids else ""
     return map_batches(docs.select(F.col(id_col), text_of(text_col).alias("text")), run, f"`{id_col}` {kind(docs, id_col)}, piece int, start bigint, length bigint, ids_crc32 bigint{ids}")
+
+
+def settled(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, **options) -> DataFrame:
+    """:func:`cut_documents` as a written table: a step that numbers the pieces in Python then shares no task with it, so a core has one worker and not two."""
+    return settle(cut_documents(docs, tokenizer_path, capacity, **options), "cut")

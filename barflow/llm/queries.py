@@ -66,8 +66,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    cut = pieces.cut_documents(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE)
-    return packing.pack(cut, SEQUENCE)
+    return packing.pack(pieces.settled(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), SEQUENCE), SEQUENCE)
 
 
 @query("op9_decision_list")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.llm.common import kind, map_batches, text_of
+from barflow.llm.common import kind, map_batches, remembered, text_of
 
 WORDS_A_WINDOW = 8
 LEVEL = 6  # lower levels do not search the dictionary well enough for lengths to be comparable
@@ -97,11 +97,7 @@ class ToxicityModel:
     probability: tuple[float, ...]
 
     def scorer(self) -> Scorer:
-        key = zlib.crc32(self.toxic + self.ordinary)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(self)
-        return _SCORERS[key]
+        return remembered(("toxicity", zlib.crc32(self.toxic + self.ordinary)), lambda: Scorer(self))
 
 
 class Scorer:
@@ -141,9 +137,6 @@ class Scorer:
         return float(np.interp(self.evidence(text), self.model.evidence, self.model.probability))
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Rising steps of the share of ones (with one half of each kind added to a step), by pooling neighbours."""
     blocks: list[list[float]] = []  # mean x, ones, rows

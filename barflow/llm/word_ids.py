@@ -6,12 +6,12 @@ import re
 
 import numpy as np
 
-from barflow.llm.common import SPACE
+from barflow.llm.common import SPACE, remembered
 
 REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
+WORDS_A_CALL = 1024  # the library keeps an object for each token of a call
 _GAP = re.compile(f"[^{re.escape(SPACE)}]+")
-_CODERS: dict[str, WordCoder] = {}
 
 
 class WordCoder:
@@ -51,7 +51,10 @@ class WordCoder:
         coded = [list(map(known.get, words)) for words in cut]
         new = list({w for words, codes in zip(cut, coded, strict=True) if None in codes for w, code in zip(words, codes, strict=True) if code is None})
         if new:
-            fresh = dict(zip(new, self.code_new(new), strict=True))
+            fresh: dict[str, bytes] = {}
+            for at in range(0, len(new), WORDS_A_CALL):
+                some = new[at : at + WORDS_A_CALL]
+                fresh.update(zip(some, self.code_new(some), strict=True))
             known.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST_REMEMBERED)
             coded = [[fresh[w] if code is None else code for w, code in zip(words, codes, strict=True)] if None in codes else codes for words, codes in zip(cut, coded, strict=True)]
         return [b"".join(codes) for codes in coded]
@@ -61,6 +64,4 @@ def coder_at(path: str) -> WordCoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    return remembered(("words", path), lambda: WordCoder(path))
