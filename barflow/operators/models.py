@@ -104,20 +104,19 @@ def walk_forward_classifier(
     """Gradient-boosted trees fitted per fold on its train rows; classifier metrics on its test rows.
 
     ``folds(keys, fold, role, row)`` come from the purged splits; ``matrix`` carries the row number.
-    The number of folds is fixed, so the loop over them is a handful of distributed fits.  Trees only use the order of a feature's values, so
-    infinite ones, which Spark's trees refuse, stand at the ends of the doubles.
+    The number of folds is fixed, so the loop over them is a handful of distributed fits.  A fold without a train row whose features are all known is
+    skipped; without any fold there is no row.  Trees only use the order of a feature's values, so infinite ones, which Spark's trees refuse, stand at
+    the ends of the doubles.
     """
     most = sys.float_info.max
     x = {c: F.col(c).cast("double") for c in features}
     matrix = matrix.withColumns({c: F.when(v == float("inf"), most).when(v == float("-inf"), -most).otherwise(v) for c, v in x.items()})
     data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(matrix)
     joined = reliable_checkpoint(folds.join(data.select(*keys, row, "_x", F.col("target").cast("double").alias("target")), [*keys, row]))
-    out = None
-    for fold in sorted(r["fold"] for r in joined.select("fold").distinct().collect()):
+    y = F.col("target").cast("int").alias("y")
+    out = joined.where("false").select("fold", y, F.lit(None).cast("double").alias("p"))
+    for fold in sorted(r["fold"] for r in joined.where("role = 'train'").select("fold").distinct().collect()):
         part = joined.where(F.col("fold") == fold)
         model = GBTClassifier(featuresCol="_x", labelCol="target", maxIter=iterations, maxDepth=depth, seed=seed).fit(part.where("role = 'train'"))
-        scored = model.transform(part.where("role = 'test'")).select(
-            "fold", F.col("target").cast("int").alias("y"), vector_to_array("probability")[1].alias("p")
-        )
-        out = scored if out is None else out.unionByName(scored)
+        out = out.unionByName(model.transform(part.where("role = 'test'")).select("fold", y, vector_to_array("probability")[1].alias("p")))
     return classifier_metrics(out, ["fold"])

@@ -1,9 +1,12 @@
 """Training matrices: every column equals the operator it comes from, and nothing is null."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from barflow.operators import indicators as I
 from barflow.operators import labels as L
 from barflow.operators import matrices as X
@@ -80,3 +83,24 @@ def test_classifier_takes_infinite_features(spark):
     got = M.walk_forward_classifier(matrix, folds, ["x"], ["symbol"], iterations=2).collect()
     # all rows but the null and the NaN are scored, each on its side
     assert len(got) == 1 and got[0]["auc_roc"] == 1.0 and round(got[0]["win_rate_pct"] * 98 / 100) == 50
+
+
+def test_classifier_without_folds_or_rows_to_learn_from(spark):
+    """No fold at all gives no row; a fold whose train rows all lack a feature is skipped, the others are kept."""
+    kinds = "symbol string, row long, x double, target int", "symbol string, fold int, role string, row long"
+    matrix = spark.createDataFrame([("A", i, None if i < 100 else float(i % 10), int(i % 10 > 4)) for i in range(300)], kinds[0])
+    none = M.walk_forward_classifier(matrix, spark.createDataFrame([], kinds[1]), ["x"], ["symbol"], iterations=2)
+    assert none.columns == ["fold", "auc_roc", "win_precision", "win_rate_pct", "n_high_conf"] and none.collect() == []
+    rows = [("A", 1, "train" if i < 100 else "test", i) for i in range(200)] + [("A", 2, "train" if i < 200 else "test", i) for i in range(300)]
+    got = M.walk_forward_classifier(matrix, spark.createDataFrame(rows, kinds[1]), ["x"], ["symbol"], iterations=2).collect()
+    assert [r["fold"] for r in got] == [2] and got[0]["auc_roc"] == 1.0
+
+
+def test_classifier_query_over_bars_that_reach_no_barrier(spark, tmp_path):
+    """Bars of one price never reach a barrier, so that the matrix has no row and there is no fold."""
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(minutes=15 * (i // 2), seconds=i % 2), i % 5, "a", 10.0 + i % 2, f'{{"k": {(i * 37) % 90 + 5}}}') for i in range(400)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, "profit gain", "en", "web", 11) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry_point.queries()["walk_forward_classifier"](spark, str(tmp_path))
+    assert got.columns == ["fold", "auc_roc", "win_precision", "win_rate_pct", "n_high_conf"] and got.collect() == []
