@@ -161,7 +161,8 @@ def scan(occurrences: DataFrame, old: DataFrame | None = None, level: bool = Tru
     if old is not None:
         rows = rows.union(old.withColumn("old", F.lit(True)))
     twice = apart(rows.groupBy("g").agg(F.sum("copies").alias("n")).where("n > 1").select("g"))
-    told = settle(rows.join(twice.withColumn("again", F.lit(True)), "g", "left" if level else "inner"), "grams")
+    # an old row whose gram the new rows lack stays where it is
+    told = settle(rows.join(twice.withColumn("again", F.lit(True)), "g", "left" if level else "inner").where("again or not old"), "grams")
     again = told.where("again")
     contexts = settle(
         again.groupBy("g", "c").agg(F.min(F.struct("tk", "tl", "pos")).alias("at"), F.sum("copies").cast("int").alias("copies"), F.max(~F.col("old")).alias("added"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.session import scratch_path, use_utc
+from barflow.session import scratch_path, shared_dir, use_utc
 
 # Rows that a function of an Arrow batch gets at a time.
 ROWS_AT_ONCE = 256
@@ -36,6 +36,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the written tables that ``df`` reads, those in the shared scratch folder only; nothing may read them afterwards."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    near = lambda p: p.toUri().getPath()
+    scratch = near(path(shared_dir(spark))).rstrip("/") + "/"
+    for table in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = path(table)
+        if near(at).startswith(scratch):
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kind(df: DataFrame, column: str) -> str:
     """DDL type of a column."""
     return df.schema[column].dataType.simpleString()

@@ -2,9 +2,10 @@
 
 A suffix array here is sparse: it holds the suffixes that start at content-chosen anchors (see :mod:`barflow.llm.anchors`), ordered by the
 hash of their first bytes, then of their whole context, so that suffixes with a common beginning are neighbours; texts stay with
-the documents.  A level of the family is such an array as a sorted Parquet table.  A new batch is
+the documents.  A level of the family is such an array as a Parquet table; neighbours are found by counting these hashes, not by their
+places in the order.  A new batch is
 
-* turned into an array and merge-scanned with all levels: neighbours that agree in their whole context settle the long matches of
+* turned into an array and scanned with all levels: neighbours that agree in their whole context settle the long matches of
   both; neighbours that agree in their beginning only are noted as unsettled;
 * added as a level of its own size.  Before a batch is added, levels of equal size are merged, so that their number grows with the logarithm of
   the number of batches.
@@ -30,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm.anchors import OCCURRENCE, Rolling, Runs, apart, at_texts, mix, own_spans, repeated, scan, text_key, whole_spans, with_spans
-from barflow.llm.common import kind, map_batches, settle
+from barflow.llm.common import discard, kind, map_batches, settle
 
+# Batches in which a table is added: with three, levels are merged (1 + 1) before the last batch meets them; every further one shuffles all older levels once more.
+BATCHES = 3
 # Contexts that are settled together by sorting, as whole groups; a gram with more unlike contexts is settled by counting.
 TOGETHER = 20_000
 
@@ -205,6 +208,7 @@ class SuffixFamily:
             first = F.min(F.struct("tk", "tl", "pos"))
             merged = a.union(b).groupBy("g", "c").agg(first.alias("at"), F.sum("copies").cast("int").alias("copies")).select("g", "c", "at.tk", "at.tl", "at.pos", "copies")
             self.levels.append((n + m, settle(merged, "level")))
+            discard(a.union(b))
 
     def add(self, batch: DataFrame, text_col: str = "text") -> None:
         """Merge-scan a batch of documents against the levels, then add it as a level."""
@@ -223,7 +227,7 @@ class SuffixFamily:
         return whole_spans(found, self.runs).union(_settled(unsettled, docs, self.runs, text_col, self.together))
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: int = 2, text_col: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: int = BATCHES, text_col: str = "text") -> DataFrame:
     """Byte spans covered by ``length``-byte strings that occur elsewhere, the documents added in ``batches`` by the hash of their text."""
     family = SuffixFamily(docs.sparkSession, Runs(length, gram, False))
     for i in range(batches):
@@ -231,7 +235,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches:
     return family.spans(docs, text_col)
 
 
-def remove_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: int = 2, keep: list[str] | None = None, text_col: str = "text", as_text: bool = False) -> DataFrame:
+def remove_bytes(docs: DataFrame, length: int = 200, gram: int = 32, batches: int = BATCHES, keep: list[str] | None = None, text_col: str = "text", as_text: bool = False) -> DataFrame:
     """``keep`` (default: all columns but the text), ``n_bytes``, ``spans`` and ``kept`` (binary) of every row.
 
     ``kept`` is the UTF-8 text without the bytes of ``spans`` (half-open, maximal, ascending); it may cut a character.  With ``as_text`` it is a string

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from barflow.llm.anchors import Runs, text_key
+from barflow.llm.common import discard, settle
 from barflow.llm.substring import remove_repeats
 from barflow.llm.suffix_levels import SuffixFamily, remove_bytes
 
@@ -76,6 +77,36 @@ def test_levels_merge_geometrically(spark, make):
     assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]
 
 
+def test_registered_uses_merge_levels(spark, make, monkeypatch):
+    """The pipeline's stage and op4 add so many batches that levels are merged, with the spans of brute force."""
+    import corpus_pipeline
+    from barflow.llm import suffix_levels
+
+    sizes, add = [], SuffixFamily.add
+    monkeypatch.setattr(SuffixFamily, "add", lambda self, *a: add(self, *a) or sizes.append([n for n, _ in self.levels]))
+    merged = []
+    monkeypatch.setattr(suffix_levels, "settle", lambda df, name: merged.append(name == "level") or settle(df, name))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [" ".join(word() for _ in range(45)) for _ in range(6)]
+    texts = [" ".join([word(), shared[i % 7] if i % 7 < 6 else word(), word()]) for i in range(40)]
+    docs = make(list(enumerate(texts))).selectExpr("doc_id", "text", "'en' lang", "'web' source", "cast(length(text) as bigint) n_chars")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()}
+    assert sizes[-1] == [2, 1] and sum(merged) == 1
+    for i, spans in enumerate(spans_of([t.encode() for t in texts], 200)):
+        assert got[i] == "".join(c for k, c in enumerate(texts[i]) if not any(lo <= k < hi for lo, hi in spans))
+
+
+def test_tables_of_merged_levels_are_deleted(spark, make, tmp_path):
+    """Scratch tables only, never a given one."""
+    given = spark.read.parquet(make([(1, "a")]).write.parquet(f"{tmp_path}/given") or f"{tmp_path}/given")
+    mine = settle(given, "mine")
+    discard(mine.union(given))
+    assert given.count() == 1
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        mine.count()
+
+
 @pytest.mark.parametrize("seed,words", [(1, 4), (2, 60), (3, 1)])
 def test_words_against_brute_force(make, seed, words):
     rng = random.Random(seed)
