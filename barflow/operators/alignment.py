@@ -204,11 +204,15 @@ def coverage_summary(cells: DataFrame) -> DataFrame:
 
 def excursions(trades: DataFrame, bars: DataFrame, step_seconds: float, keys: Sequence[str] = ("symbol",),
                trade_id: str = "trade_id") -> DataFrame:
-    """Best and worst unrealised result between entry and exit: MFE >= 0, MAE <= 0, as fractions of entry (an entry at zero: infinite, or NaN)."""
+    """Best and worst unrealised result between entry and exit: MFE >= 0, MAE <= 0, as fractions of entry (an entry at zero: infinite, or NaN).
+
+    Rows of one trade, direction and entry price are parts of one trade: one row, with the extremes of all of them.  A trade without an exit has no row.
+    """
+    ids = [trade_id, "direction", "entry_price"]
     d = range_extrema(
-        trades, bars, keys, F.col("entry_ts"), F.col("exit_ts"), step_seconds,
-        {"_hi": ("max", "high"), "_lo": ("min", "low")}, [trade_id],
-    )
+        trades.where(F.col("exit_ts").isNotNull()), bars, keys, F.col("entry_ts"), F.col("exit_ts"), step_seconds,
+        {"_hi": ("max", "high"), "_lo": ("min", "low")}, ids,
+    ).dropDuplicates(ids)
     up = quotient("_hi", "entry_price") - 1
     down = quotient("_lo", "entry_price") - 1
     long = F.col("direction") > 0

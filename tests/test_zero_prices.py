@@ -44,3 +44,12 @@ def test_volatility_with_a_return_to_zero(spark, tables):
 def test_excursions_of_an_entry_at_zero(spark, tables):
     got, want, _ = both(spark, tables, "trade_excursions")
     assert got == want and any("inf" in x for x in want)
+
+
+def test_excursions_of_repeated_trades_and_of_one_without_an_exit(spark, tmp_path):
+    """Copies of an id are one trade where direction and price agree, else trades of their own; a missing volume leaves no exit."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i // 2, start + datetime.timedelta(minutes=15 * (i * 5 % 80)), 1, "ab"[i % 2], 10.0 + i // 4 % 3 + (i % 8 == 1), f'{{"k": {(i // 2 * 37) % 90 + 5}}}' if i != 9 else "{}") for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got, want, _ = both(spark, str(tmp_path), "trade_excursions")
+    assert got == want and 40 < len(want) < 79
